@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gaugeline.operators import abtest, moments
+from gaugeline.session import cut_lineage
 from gaugeline.spec import ExperimentSpec
 
 
@@ -65,11 +66,12 @@ def text_date_extract_cut(events: DataFrame, experiment: DataFrame, spec: Experi
 
 
 def experiment_cells(extract: DataFrame, spec: ExperimentSpec) -> DataFrame:
-    """The only pass over the extract."""
+    """The only pass over the extract. The cells are a few hundred rows; they are written out once, so every
+    statistic that follows reads them and not the extract."""
     spec.validate_extract(extract)
     metrics = list(dict.fromkeys([spec.primary_metric, *[g for g in spec.guardrail_metrics if g in extract.columns]]))
     keys = ["variant", *[c for c in (spec.week_col, *spec.segment_cols) if c in extract.columns]]
-    return moments.cell_moments(extract, keys, metrics, spec.primary_metric, spec.covariate)
+    return cut_lineage(moments.cell_moments(extract, keys, metrics, spec.primary_metric, spec.covariate))
 
 
 def flagship(events: DataFrame, experiment: DataFrame, spec: ExperimentSpec) -> DataFrame:

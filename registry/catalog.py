@@ -1,6 +1,6 @@
 """Imports every query module so that all queries are registered."""
 
-from registry import experiment  # noqa: F401
+from registry import experiment, explore, series  # noqa: F401
 from registry.base import ENTRIES
 
 __all__ = ["ENTRIES"]
