@@ -40,19 +40,27 @@ STOPWORDS = (
 )
 
 
-def features(text: Column) -> Column:
-    """Array of ``(feature, weight)``: canonical tokens, and pairs of neighbours."""
+def canonical_tokens(text: Column) -> Column:
+    """Tokens without plural endings and stop words, in canonical wording."""
     canonical = F.create_map(*[F.lit(x) for x in chain.from_iterable(CANONICAL_TERMS.items())])
     singular = F.transform(word_tokens(text), lambda t: F.when(
         (F.length(t) > 3) & t.endswith("s"), F.substring(t, F.lit(1), F.length(t) - 1)).otherwise(t))
-    named = F.transform(singular, lambda t: F.coalesce(F.try_element_at(canonical, t), t))
-    kept = F.filter(named, lambda t: ~t.isin(*STOPWORDS) & (t != ""))
-    tokens = F.transform(kept, lambda t: F.concat(F.lit("tok:"), t))
-    neighbours = F.when(F.size(tokens) >= 2, F.zip_with(
-        F.slice(tokens, F.lit(1), F.greatest(F.size(tokens) - 1, F.lit(0))), F.slice(tokens, F.lit(2), F.greatest(F.size(tokens) - 1, F.lit(0))),
-        lambda a, b: F.concat(F.lit("bigram:"), a, F.lit(":"), b))).otherwise(F.array().cast("array<string>"))
-    weigh = lambda arr, w: F.transform(arr, lambda f: F.struct(f.alias("feature"), F.lit(w).alias("weight")))
-    return F.concat(weigh(tokens, TOKEN_WEIGHT), weigh(neighbours, PAIR_WEIGHT))
+    kept = F.filter(singular, lambda t: ~t.isin(*STOPWORDS) & (t != ""))
+    return F.transform(kept, lambda t: F.concat(F.lit("tok:"), F.when(t.isin(*CANONICAL_TERMS), F.try_element_at(canonical, t)).otherwise(t)))
+
+
+def neighbour_pairs(tokens: Column) -> Column:
+    """Names of adjacent token pairs."""
+    rest = F.greatest(F.size(tokens) - 1, F.lit(0))
+    return F.zip_with(F.slice(tokens, F.lit(1), rest), F.slice(tokens, F.lit(2), rest),
+                      lambda a, b: F.concat(F.lit("bigram:"), a, F.lit(":"), b))
+
+
+def weighted_features(df: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """One row per occurrence: ``(*keys, feature, weight)``. Tokens are computed once per text and read twice."""
+    tokens = df.select(*keys, canonical_tokens(F.col(text)).alias("_tokens"))
+    both = tokens.select(*keys, F.explode(F.concat("_tokens", neighbour_pairs(F.col("_tokens")))).alias("feature"))
+    return both.withColumn("weight", F.when(F.col("feature").startswith("tok:"), TOKEN_WEIGHT).otherwise(PAIR_WEIGHT))
 
 
 def bucket_of(feature: Column) -> Column:
@@ -61,9 +69,8 @@ def bucket_of(feature: Column) -> Column:
 
 def bucket_weights(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     """Raw weight per key and bucket, not normalised."""
-    exploded = df.select(*keys, F.explode(features(F.col(text))).alias("f"))
-    return exploded.select(*keys, bucket_of(F.col("f.feature")).alias("bucket"), F.col("f.weight").alias("weight")) \
-        .groupBy(*keys, "bucket").agg(F.sum("weight").alias("weight"))
+    found = weighted_features(df, keys, text).withColumn("bucket", bucket_of(F.col("feature")))
+    return found.groupBy(*keys, "bucket").agg(F.sum("weight").alias("weight"))
 
 
 def embed(df: DataFrame, keys: list[str], text: str) -> DataFrame:

@@ -123,25 +123,29 @@ def heterogeneous_effects(segments: DataFrame, alpha: float = 0.05, min_segment_
     """Welch test per segment with enough users in both arms, Bonferroni over the segments of a metric.
 
     ``share_over='arms'`` divides the two arms' users by all rows of the segment table;
-    ``share_over='all'`` counts every arm of the segment. Rank 1 is the reported top segment.
-    The windows run over result rows: one per segment combination of a metric.
+    ``share_over='all'`` counts every arm of the segment. Rows are ordered significant first, then by effect size.
     """
     per_segment = segments.groupBy("metric", "segment").agg(F.sum("n").alias("seg_n"))
-    per_metric = W.partitionBy("metric")
-    shares = per_segment.withColumn("total_n", F.sum("seg_n").over(per_metric))
-    tests = welch_test(segments, ["metric", "segment"], alpha).join(shares, ["metric", "segment"])
-    kept = tests.where((F.col("n_control") >= min_segment_size) & (F.col("n_treatment") >= min_segment_size)
-                       & (F.col("status") == "ok"))
+    totals = segments.groupBy("metric").agg(F.sum("n").alias("total_n"))
+    tests = welch_test(segments, ["metric", "segment"], alpha).where(
+        (F.col("n_control") >= min_segment_size) & (F.col("n_treatment") >= min_segment_size) & (F.col("status") == "ok"))
+    numbers = tests.groupBy("metric").agg(F.count(F.lit(1)).alias("n_tests"))
+    # Metrics are named by the caller, so these two have one row per named metric.
+    kept = tests.join(per_segment, ["metric", "segment"]).join(F.broadcast(totals), "metric").join(F.broadcast(numbers), "metric")
     numerator = F.col("n_control") + F.col("n_treatment") if share_over == "arms" else F.col("seg_n")
     kept = kept.withColumns({
-        "n_tests": F.count(F.lit(1)).over(per_metric),
-        "effect_size": F.col("mean_diff"),
-        "segment_share": ratio(numerator.cast("double"), F.col("total_n"), 0.0),
-    }).withColumn("significant", F.col("p_value") < F.lit(alpha) / F.col("n_tests"))
-    order = per_metric.orderBy(F.col("significant").desc(), F.abs("effect_size").desc(), F.col("segment"))
-    return kept.select("metric", "segment", "effect_size", "segment_share", "control_mean", "treatment_mean",
-                       "t_stat", "dof", "p_value", "significant", "n_control", "n_treatment", "n_tests",
-                       F.row_number().over(order).alias("rank"))
+        "effect_size": F.col("mean_diff"), "segment_share": ratio(numerator.cast("double"), F.col("total_n"), 0.0),
+        "significant": F.col("p_value") < F.lit(alpha) / F.col("n_tests")})
+    shown = kept.select("metric", "segment", "effect_size", "segment_share", "control_mean", "treatment_mean",
+                        "t_stat", "dof", "p_value", "significant", "n_control", "n_treatment", "n_tests")
+    return shown.orderBy("metric", F.col("significant").desc(), F.abs("effect_size").desc(), "segment")
+
+
+def top_segments(effects: DataFrame) -> DataFrame:
+    """The reported segment per metric: significant first, then the largest effect."""
+    key = F.struct((~F.col("significant")).alias("a"), (-F.abs("effect_size")).alias("b"), F.col("segment").alias("c"))
+    best = F.min_by(F.struct("segment", "effect_size", "segment_share", "p_value", "significant"), key)
+    return effects.groupBy("metric").agg(best.alias("t")).select("metric", "t.*")
 
 
 def interaction_cells(cells: DataFrame, segment_cols: list[str], metrics: list[str], variant: str = "variant") -> DataFrame:
@@ -176,11 +180,10 @@ def interaction_test(level_cells: DataFrame) -> DataFrame:
         "w": F.coalesce(ratio(F.col("n0") * F.col("n1"), F.col("n0") + F.col("n1")), F.lit(0.0)),
         "d": F.coalesce(ratio(F.col("a1"), F.col("n1")) - ratio(F.col("a0"), F.col("n0")), F.lit(0.0)),
     })
-    by = W.partitionBy("metric", "segment_col")
-    common = ratio(F.sum(F.col("w") * F.col("d")).over(by), F.sum("w").over(by), 0.0)
-    spread = levels.withColumn("extra", F.col("w") * F.pow(F.col("d") - common, F.lit(2.0)))
-    totals = spread.groupBy("metric", "segment_col").agg(
-        F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_levels"), F.sum("within").alias("ss_full"), F.sum("extra").alias("ss_extra"))
+    totals = levels.groupBy("metric", "segment_col").agg(
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_levels"), F.sum("within").alias("ss_full"),
+        F.sum("w").alias("sw"), F.sum(F.col("w") * F.col("d")).alias("swd"), F.sum(F.col("w") * F.col("d") * F.col("d")).alias("swdd"))
+    totals = totals.withColumn("ss_extra", F.greatest(F.col("swdd") - ratio(F.col("swd") * F.col("swd"), F.col("sw"), 0.0), F.lit(0.0)))
     d1, d2 = F.col("n_levels") - 1, F.col("n") - 2 * F.col("n_levels")
     usable = (F.col("n") >= 10) & F.col("n_levels").between(2, 50) & (d2 > 0) & (F.col("ss_full") > 0)
     tested = totals.where(usable).withColumns({"d1": d1, "d2": d2}).withColumn(

@@ -32,21 +32,24 @@ def _rows_of(wide: DataFrame, columns: list[str], fields: list[str]) -> DataFram
 def numeric_summary(df: DataFrame, columns: list[str] | None = None, distinct_bound: int = DISTINCT_BOUND) -> DataFrame:
     """Per numeric column: counts, mean, spread, quartiles (linear interpolation), exact distinct count.
 
-    The number of distinct values is estimated first: columns within the bound share one aggregate,
-    the others take the histogram path.
+    The first pass yields the plain statistics and an estimate of the distinct values: columns within the bound
+    share one quantile aggregate, the others take the histogram path.
     """
     columns = columns or numeric_columns(df)
     value = {c: F.col(f"`{c}`").cast("double") for c in columns}
-    size = df.agg(*[F.approx_count_distinct(value[c]).alias(c) for c in columns]).first()
-    narrow = [c for c in columns if size[c] <= distinct_bound]
-    wide_cols = [c for c in columns if size[c] > distinct_bound]
     aggs = []
     for c in columns:
         v = value[c]
         aggs += [F.count(v).alias(f"{c}__non_null"), F.count_if(v.isNull()).alias(f"{c}__null_count"),
                  _finite(F.avg(v)).alias(f"{c}__mean"), _finite(F.stddev_samp(v)).alias(f"{c}__std"),
-                 _finite(F.min(v)).alias(f"{c}__min"), _finite(F.max(v)).alias(f"{c}__max")]
-    basic = _rows_of(df.agg(*aggs), columns, ["non_null", "null_count", "mean", "std", "min", "max"])
+                 _finite(F.min(v)).alias(f"{c}__min"), _finite(F.max(v)).alias(f"{c}__max"), F.approx_count_distinct(v).alias(f"{c}__size")]
+    first = df.agg(*aggs).first()
+    fields = ["non_null", "null_count", "mean", "std", "min", "max"]
+    basic = df.sparkSession.createDataFrame(
+        [(i, c, *[first[f"{c}__{f}"] for f in fields]) for i, c in enumerate(columns)],
+        "position int, name string, non_null bigint, null_count bigint, mean double, std double, min double, max double")
+    narrow = [c for c in columns if first[f"{c}__size"] <= distinct_bound]
+    wide_cols = [c for c in columns if first[f"{c}__size"] > distinct_bound]
     distinct = _rows_of(df.agg(*[F.count_distinct(value[c]).alias(f"{c}__n_unique") for c in columns]), columns, ["n_unique"])
     quarters = [0.25, 0.5, 0.75]
     parts = []

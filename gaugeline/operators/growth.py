@@ -154,16 +154,18 @@ def segment_changes(df: DataFrame, metric: str, segment_cols: list[str], date: s
     g = g.withColumns({"metric_before": ratio(F.col("_s0"), F.col("_n0")), "metric_after": ratio(F.col("_s1"), F.col("_n1"))}) \
         .where("metric_before IS NOT NULL AND metric_after IS NOT NULL") \
         .withColumn("delta", F.col("metric_after") - F.col("metric_before"))
-    everything = W.partitionBy(F.lit(1))
-    g = g.withColumns({"_total": F.sum(F.abs("delta")).over(everything), "_net": F.sum("delta").over(everything),
-                       "_up": F.max("delta").over(everything), "_down": F.min("delta").over(everything)})
-    order = everything.orderBy(F.abs("delta").desc(), "segment_col", "segment_value")
+    moved = g.agg(F.struct(
+        F.sum(F.abs("delta")).alias("total"), F.sum("delta").alias("net"), F.max("delta").alias("up"), F.min("delta").alias("down"),
+        F.min_by(F.struct("segment_col", "segment_value"), F.struct((-F.abs("delta")).alias("a"), "segment_col", "segment_value")).alias("top"))
+        .alias("m")).scalar()
+    g = g.withColumn("_m", moved)
+    is_top = (F.col("segment_col") == F.col("_m.top.segment_col")) & (F.col("segment_value") == F.col("_m.top.segment_value"))
     return g.select(
         "segment_col", "segment_value", "metric_before", "metric_after", "delta",
-        (ratio(F.abs("delta"), F.col("_total"), 0.0) * 100).alias("contribution_pct"),
-        F.row_number().over(order).cast("bigint").alias("rank"),
-        ((F.row_number().over(order) == 1) & (F.col("_total") > 0)).alias("dominant"),
-        ((F.col("_up") > 0) & (F.col("_down") < 0) & (F.abs("_net") < 0.5 * F.col("_total"))).alias("cancelling"))
+        (ratio(F.abs("delta"), F.col("_m.total"), 0.0) * 100).alias("contribution_pct"),
+        (is_top & (F.col("_m.total") > 0)).alias("dominant"),
+        ((F.col("_m.up") > 0) & (F.col("_m.down") < 0) & (F.abs("_m.net") < 0.5 * F.col("_m.total"))).alias("cancelling")) \
+        .orderBy(F.abs("delta").desc(), "segment_col", "segment_value")
 
 
 def slice_and_dice(df: DataFrame, metric: str, dims: list[str], date: str = "date", split_at: str | None = None) -> DataFrame:
@@ -180,5 +182,4 @@ def slice_and_dice(df: DataFrame, metric: str, dims: list[str], date: str = "dat
     g = long.groupBy(F.col("segment_col").alias("dimension"), F.col("segment_value").alias("value")).agg(F.sum("_change").alias("delta"))
     total = changes.agg(F.sum("_change").alias("t")).scalar()
     g = g.withColumn("contribution_pct", F.coalesce(F.try_divide("delta", F.nullif(total, F.lit(0.0))) * 100, F.lit(0.0)))
-    order = W.partitionBy(F.lit(1)).orderBy(F.abs("contribution_pct").desc(), "dimension", "value")
-    return g.withColumn("rank", F.row_number().over(order).cast("bigint"))
+    return g.orderBy(F.abs("contribution_pct").desc(), "dimension", "value")

@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gaugeline.functions import vectors
 from gaugeline.functions.text import keyword_set, one_line, overlap_size
+from gaugeline.session import cut_lineage
 
 HARD_HIT, SOFT_HIT = 0.92, 0.80
 HISTORY_DEPTH, EXAMPLE_DEPTH, CONTRIBUTED_CAP = 80, 200, 20
 MIN_SIMILARITY = 0.40
+INDEX_REST = 0.40
 SOURCE_BOOST = {"contributed": 0.10, "gate": 0.05}
 
 
@@ -50,45 +52,48 @@ def flag_over_cap(df: DataFrame, scope: list[str], order: str, tie: str, cap: in
 # Similarity lookup.
 
 def _signed(df: DataFrame, scope: list[str], text: str) -> DataFrame:
-    """Add a signature equal for texts with the same weighted features: copies share one vector."""
-    named = F.transform(F.array_sort(vectors.features(F.col(text))), lambda f: f["feature"])
-    return df.withColumn("_sig", F.md5(F.array_join(named, "\n")))
+    """Add a signature of the canonical wording: texts that agree in it share one vector."""
+    return df.withColumn("_sig", F.md5(F.array_join(vectors.canonical_tokens(F.col(text)), " ")))
 
 
-def _prefix_entries(long: DataFrame, frequency: DataFrame, keys: list[str], threshold: float) -> DataFrame:
-    """Entries whose suffix (rarest bucket first) is still as long as the threshold.
+def _indexed_entries(long: DataFrame, frequency: DataFrame, keys: list[str], rest: float) -> DataFrame:
+    """The entries of each unit vector, rarest bucket first, up to where at most ``rest`` of its length is left.
 
-    Two unit vectors with a dot product of at least the threshold share such an entry on both sides.
+    ``rest`` on the rows is the exact length that was left out, so frequent buckets need no index entries.
     """
     ordered = long.join(F.broadcast(frequency), "bucket")  # at most 384 rows
-    rest = W.partitionBy(*keys).orderBy(F.col("df"), F.col("bucket")).rowsBetween(0, W.unboundedFollowing)
-    suffix = F.sum(F.col("weight") * F.col("weight")).over(rest)
-    return ordered.withColumn("_suffix", suffix).where(F.col("_suffix") >= threshold * threshold - 1e-9).select(*keys, "bucket")
+    vector = W.partitionBy(*keys)
+    square = F.col("weight") * F.col("weight")
+    suffix = F.sum(square).over(vector.orderBy(F.col("df"), F.col("bucket")).rowsBetween(0, W.unboundedFollowing))
+    marked = ordered.withColumns({"_square": square, "_keep": suffix > rest * rest})
+    left_out = F.coalesce(F.sum(F.when(~F.col("_keep"), F.col("_square"))).over(vector), F.lit(0.0))
+    return marked.withColumn("rest", F.sqrt(left_out)).where("_keep").select(*keys, "bucket", "weight", "rest")
 
 
 def similar_runs(questions: DataFrame, runs: DataFrame, scope: list[str], question_id: str, run_id: str, text: str = "task",
                  order: str = "ts", soft: float = SOFT_HIT, hard: float = HARD_HIT) -> DataFrame:
     """Best stored run per question within its scope: ``hit_type`` hard or soft; questions without a hit do not appear.
 
-    Exact threshold join: copies collapse to one vector per scope (newest run), candidate pairs come from an
-    equi-join on rare buckets, and only pairs of one scope that share such a bucket are compared.
+    Exact threshold join: copies collapse to one vector per scope (newest run). Stored vectors are indexed by their
+    rare buckets only; what an index leaves out bounds the missing part of a dot product, so pairs that cannot
+    reach the threshold fall away and the few others are compared in full.
     """
     asked = _signed(questions, scope, text).where(" AND ".join(f"{c} IS NOT NULL AND {c} <> ''" for c in scope))
     stored = _signed(runs, scope, text).groupBy(*scope, "_sig").agg(
         F.max(F.struct(F.col(order), F.col(run_id))).alias("_newest"), F.first(text).alias(text))
     distinct_asked = asked.groupBy(*scope, "_sig").agg(F.first(text).alias(text))
     keys = [*scope, "_sig"]
-    q_long, r_long = vectors.embed(distinct_asked, keys, text), vectors.embed(stored, keys, text)
+    # Vectors are written out once: they feed the bucket frequencies, the index and the comparison.
+    q_long = cut_lineage(vectors.embed(distinct_asked, keys, text)).withColumnRenamed("_sig", "q_sig")
+    r_long = cut_lineage(vectors.embed(stored, keys, text))
     frequency = r_long.groupBy("bucket").agg(F.count(F.lit(1)).alias("df"))
-    every_bucket = q_long.select("bucket").union(r_long.select("bucket")).distinct().join(frequency, "bucket", "left") \
-        .select("bucket", F.coalesce("df", F.lit(0)).alias("df"))
-    q_keys = _prefix_entries(q_long, every_bucket, keys, soft).withColumnRenamed("_sig", "q_sig")
-    r_keys = _prefix_entries(r_long, every_bucket, keys, soft).withColumnRenamed("_sig", "r_sig")
-    candidates = q_keys.join(r_keys, [*scope, "bucket"]).select(*scope, "q_sig", "r_sig").distinct()
-    q_vec = vectors.dense(q_long, keys, "double").select(*scope, F.col("_sig").alias("q_sig"), F.col("vector").alias("q_vec"))
-    r_vec = vectors.dense(r_long, keys, "double").select(*scope, F.col("_sig").alias("r_sig"), F.col("vector").alias("r_vec"))
-    compared = candidates.join(q_vec, [*scope, "q_sig"]).join(r_vec, [*scope, "r_sig"]) \
-        .withColumn("similarity", F.round(vectors.dot(F.col("q_vec"), F.col("r_vec")), 7)).where(F.col("similarity") >= soft)
+    index = _indexed_entries(r_long, frequency, keys, INDEX_REST).withColumnRenamed("_sig", "r_sig")
+    r_long = r_long.select(*scope, F.col("_sig").alias("r_sig"), "bucket", F.col("weight").alias("r_weight"))
+    partial = q_long.join(index.withColumnRenamed("weight", "r_weight"), [*scope, "bucket"]).groupBy(*scope, "q_sig", "r_sig").agg(
+        F.sum(F.col("weight") * F.col("r_weight")).alias("_part"), F.max("rest").alias("_rest"))
+    possible = partial.where(F.col("_part") + F.col("_rest") >= soft - 1e-6).select(*scope, "q_sig", "r_sig")
+    compared = possible.join(q_long, [*scope, "q_sig"]).join(r_long, [*scope, "r_sig", "bucket"]).groupBy(*scope, "q_sig", "r_sig").agg(
+        F.round(F.sum(F.col("weight") * F.col("r_weight")), 7).alias("similarity")).where(F.col("similarity") >= soft)
     best = compared.join(stored.select(*scope, F.col("_sig").alias("r_sig"), "_newest"), [*scope, "r_sig"]) \
         .groupBy(*scope, "q_sig").agg(F.max(F.struct("similarity", "_newest")).alias("_b"))
     return asked.withColumnRenamed("_sig", "q_sig").join(best, [*scope, "q_sig"]).select(

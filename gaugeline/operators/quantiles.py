@@ -12,7 +12,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from gaugeline.session import cut_lineage
+
 DISTINCT_BOUND = 200_000
+BROADCAST_BINS = 100_000
 _FINE_BINS = 4096
 _COARSE_PER_DOUBLING = 64
 
@@ -49,52 +52,60 @@ def _keep_wanted(bins: DataFrame, wanted: DataFrame, group: list[str], bin_col:
     """
     order = W.partitionBy(*group).orderBy(bin_col)
     placed = bins.withColumn("_upto", F.sum("_n").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    hit = placed.join(wanted, group) if group else placed.join(wanted, F.lit(True))
     inside = (F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_n"))
-    return hit.where(inside).withColumn("_rank", F.col("_rank") - (F.col("_upto") - F.col("_n"))).drop("_upto")
+    return placed.join(wanted, group).where(inside).withColumn("_rank", F.col("_rank") - (F.col("_upto") - F.col("_n"))).drop("_upto")
+
+
+def _into(bins: DataFrame) -> DataFrame:
+    """Join hint for the bins to descend into: broadcast while their number is small, which is counted first."""
+    return F.broadcast(bins) if bins.limit(BROADCAST_BINS + 1).count() <= BROADCAST_BINS else bins
+
+
+def _asked_ranks(totals: DataFrame, probs: list[float], keys: list[str]) -> DataFrame:
+    """The two neighbouring ranks of every probability and the weight of the upper one."""
+    asked = F.array(*[F.struct(F.lit(i).alias("_i"), F.lit(float(p)).alias("_p")) for i, p in enumerate(probs)])
+    at = totals.withColumn("_t", F.explode(asked)).select(*keys, "_total", "_t._i", ((F.col("_total") - 1) * F.col("_t._p")).alias("_h"))
+    return at.select(*keys, "_total", "_i", (F.col("_h") - F.floor("_h")).alias("_part"), F.floor("_h").alias("_low"),
+                     F.least(F.floor("_h") + 1, F.col("_total") - 1).alias("_high"))
 
 
 def histogram_descent(base: DataFrame, probs: list[float], keys: list[str]) -> DataFrame:
-    """The large-data path of :func:`quantiles` over ``(*keys, _v)`` rows without nulls."""
-    if not keys:
-        base, keys, anonymous = base.withColumn("_all", F.lit(0)), ["_all"], True
-    else:
-        anonymous = False
+    """The large-data path of :func:`quantiles` over ``(*keys, _v)`` rows without nulls.
+
+    Three passes over the data. What a pass leaves behind is a few bins per key; it is written out before the
+    next pass, so no pass is repeated.
+    """
+    anonymous = not keys
+    if anonymous:
+        base, keys = base.withColumn("_all", F.lit(0)), ["_all"]
     counts = lambda df, by: df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    coarse = counts(base.withColumn("_b1", _coarse_bin(F.col("_v"))), [*keys, "_b1"])
-    totals = coarse.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    asked = F.array(*[F.struct(F.lit(i).alias("_i"), F.lit(float(p)).alias("_p")) for i, p in enumerate(probs)])
-    targets = totals.withColumn("_t", F.explode(asked)).select(
-        *keys, "_total", "_t._i", ((F.col("_total") - 1) * F.col("_t._p")).alias("_h"))
-    ranks = targets.select(*keys, F.explode(F.array_distinct(F.array(
-        F.floor("_h"), F.least(F.floor("_h") + 1, F.col("_total") - 1)))).alias("_rank")).distinct()
-    ranks = ranks.withColumn("_want", F.col("_rank"))
-
-    level1 = _keep_wanted(coarse, ranks, keys, "_b1").select(*keys, "_b1", "_rank", "_want", "_lo", "_hi")
-    spans1 = level1.select(*keys, "_b1", "_lo", "_hi").distinct()
-    inside1 = base.withColumn("_b1", _coarse_bin(F.col("_v"))).join(spans1, [*keys, "_b1"])
-    width = F.col("_hi") - F.col("_lo")
-    fine = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / F.when(width > 0, width) * _FINE_BINS),
-                                     F.lit(_FINE_BINS - 1))).otherwise(0).cast("int")
-    placed = inside1.withColumn("_b2", fine).drop("_lo", "_hi")
-    bins2 = counts(placed, [*keys, "_b1", "_b2"])
-    level2 = _keep_wanted(bins2, level1.drop("_lo", "_hi"), [*keys, "_b1"], "_b2") \
-        .select(*keys, "_b1", "_b2", "_rank", "_want", "_lo", "_hi")
-
-    settled = level2.where("_lo = _hi").select(*keys, "_want", F.col("_lo").alias("_value"))
+    coarse = cut_lineage(counts(base.withColumn("_b1", _coarse_bin(F.col("_v"))), [*keys, "_b1"]))
+    targets = _asked_ranks(coarse.groupBy(*keys).agg(F.sum("_n").alias("_total")), probs, keys)
+    ranks = targets.select(*keys, F.explode(F.array("_low", "_high")).alias("_rank")).distinct().withColumn("_want", F.col("_rank"))
+
+    level1 = cut_lineage(_keep_wanted(coarse, ranks, keys, "_b1").select(*keys, "_b1", "_rank", "_want", "_lo", "_hi"))
+    settled = level1.where("_lo = _hi").select(*keys, "_want", F.col("_lo").alias("_value"))
+    open1 = level1.where("_lo < _hi")
+    spans = open1.select(*keys, "_b1", "_lo", "_hi").distinct()
+    inside1 = base.withColumn("_b1", _coarse_bin(F.col("_v"))).join(_into(spans), [*keys, "_b1"])
+    position = (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * _FINE_BINS
+    placed = inside1.withColumn("_b2", F.least(F.floor(position), F.lit(_FINE_BINS - 1)).cast("int"))
+    bins2 = counts(placed.drop("_lo", "_hi"), [*keys, "_b1", "_b2"])
+    level2 = cut_lineage(_keep_wanted(bins2, open1.drop("_lo", "_hi"), [*keys, "_b1"], "_b2")
+                         .select(*keys, "_b1", "_b2", "_rank", "_want", "_lo", "_hi"))
+
+    settled = settled.unionByName(level2.where("_lo = _hi").select(*keys, "_want", F.col("_lo").alias("_value")))
     open2 = level2.where("_lo < _hi").select(*keys, "_b1", "_b2", "_rank", "_want")
-    inside2 = placed.join(open2.select(*keys, "_b1", "_b2").distinct(), [*keys, "_b1", "_b2"], "left_semi")
+    inside2 = placed.join(_into(open2.select(*keys, "_b1", "_b2").distinct()), [*keys, "_b1", "_b2"], "left_semi")
     values = inside2.groupBy(*keys, "_b1", "_b2", "_v").agg(F.count(F.lit(1)).alias("_n"))
     exact = _keep_wanted(values, open2, [*keys, "_b1", "_b2"], "_v").select(*keys, "_want", F.col("_v").alias("_value"))
     found = settled.unionByName(exact)
 
-    pair = targets.withColumn("_want", F.explode(F.array_distinct(F.array(
-        F.floor("_h"), F.least(F.floor("_h") + 1, F.col("_total") - 1)))))
-    both = pair.join(found, [*keys, "_want"]).groupBy(*keys, "_i", "_h", "_total").agg(
-        F.min("_value").alias("_low"), F.max("_value").alias("_high"))
-    part = F.col("_h") - F.floor("_h")
-    points = both.withColumn("_q", F.col("_low") + (F.col("_high") - F.col("_low")) * part)
+    ends = targets.withColumn("_want", F.explode(F.array_distinct(F.array("_low", "_high"))))
+    points = ends.join(found, [*keys, "_want"]).groupBy(*keys, "_i", "_part", "_total").agg(
+        F.min("_value").alias("_a"), F.max("_value").alias("_b"))
+    points = points.withColumn("_q", F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_part"))
     out = points.groupBy(*keys).agg(F.max("_total").alias("n"), F.transform(
         F.array_sort(F.collect_list(F.struct("_i", "_q"))), lambda s: s["_q"]).alias("quantiles"))
     return out.drop("_all") if anonymous else out

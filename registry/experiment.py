@@ -204,12 +204,25 @@ test AS (SELECT segment, {WELCH_COLUMNS} FROM arms WHERE n_control >= 8 AND n_tr
 p AS (SELECT *, {TWO_SIDED} AS p_value, count(*) OVER () AS n_tests FROM test)
 SELECT 'avg_value' AS metric, segment, mean_diff AS effect_size,
        (n_control + n_treatment) / (SELECT count(*) FROM seg)::DOUBLE AS segment_share, control_mean, treatment_mean, t_stat, dof,
-       p_value, p_value < 0.05 / n_tests AS significant, n_control, n_treatment, n_tests,
-       row_number() OVER (ORDER BY (p_value < 0.05 / n_tests) DESC, abs(mean_diff) DESC, segment) AS rank
+       p_value, p_value < 0.05 / n_tests AS significant, n_control, n_treatment, n_tests
 FROM p""", "effect_size segment_share control_mean treatment_mean t_stat dof p_value")
 def segment_effects(spark, sf_dir):
     segs = moments.segment_moments(cells(spark, sf_dir), list(demo.SPEC.segment_cols), ["avg_value"])
-    return abtest.heterogeneous_effects(segs, min_segment_size=8).withColumn("rank", F.col("rank").cast("bigint"))
+    return abtest.heterogeneous_effects(segs, min_segment_size=8)
+
+
+@query("top_segment", "D16 E9", f"""WITH {demo.EXTRACT_SQL},
+long AS (SELECT 'avg_value' AS metric, avg_value AS y, * FROM xt UNION ALL SELECT 'error_rate', error_rate, * FROM xt),
+seg AS (SELECT *, 'platform=' || platform || ',user_segment=' || user_segment AS segment FROM long WHERE y IS NOT NULL),
+arms AS ({arms_sql('y', 'metric, segment', 'seg')}),
+test AS (SELECT metric, segment, {WELCH_COLUMNS} FROM arms WHERE n_control >= 8 AND n_treatment >= 8 AND v_c + v_t > 0),
+p AS (SELECT *, {TWO_SIDED} AS p_value, count(*) OVER (PARTITION BY metric) AS n_tests FROM test),
+r AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY (p_value < 0.05 / n_tests) DESC, abs(mean_diff) DESC, segment) AS rank FROM p)
+SELECT metric, segment, mean_diff AS effect_size, (n_control + n_treatment) / (SELECT count(*) FROM xt)::DOUBLE AS segment_share, p_value,
+       p_value < 0.05 / n_tests AS significant FROM r WHERE rank = 1""", "effect_size segment_share p_value")
+def top_segment(spark, sf_dir):
+    segs = moments.segment_moments(cells(spark, sf_dir), list(demo.SPEC.segment_cols), ["avg_value", "error_rate"])
+    return abtest.top_segments(abtest.heterogeneous_effects(segs, min_segment_size=8))
 
 
 @query("segment_interaction", "D17", f"""WITH {demo.EXTRACT_SQL},

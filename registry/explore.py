@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gaugeline.functions.names import (default_winsor_pct_col, harm_direction_col, is_rate_metric_col)
-from gaugeline.operators import abtest, charts, explore, moments, quality, regression
+from gaugeline.operators import abtest, charts, explore, funnel, moments, quality, regression
 from gaugeline.plans import experiment as plan
 from gaugeline.sources.tables import load
 from registry import demo, experiment as ex
@@ -308,7 +308,22 @@ def segment_bars(spark, sf_dir):
     return charts.segment_bars(abtest.heterogeneous_effects(segs, min_segment_size=2), 5).drop("significant")
 
 
-@query("experiment_chart_series", "D56")
+@query("experiment_chart_series", "D56", f"""WITH RECURSIVE {demo.EXTRACT_SQL},
+arms AS ({ex.arms_sql('avg_value')}),
+test AS (SELECT {ex.WELCH_COLUMNS} FROM arms),
+crit AS (
+  SELECT dof, 0.0::DOUBLE AS low, 50.0::DOUBLE AS high, 0 AS step FROM test
+  UNION ALL
+  SELECT dof, CASE WHEN {demo.t_two_sided_sql('(low + high) / 2', 'dof')} > 0.05 THEN (low + high) / 2 ELSE low END,
+         CASE WHEN {demo.t_two_sided_sql('(low + high) / 2', 'dof')} > 0.05 THEN high ELSE (low + high) / 2 END, step + 1
+  FROM crit WHERE step < 50),
+th AS (SELECT regr_slope(avg_value, pre_value) AS theta FROM xt),
+e AS (SELECT mean_diff - (SELECT theta FROM th) * (avg(pre_value) FILTER (variant = 'treatment') - avg(pre_value) FILTER (variant = 'control')) AS ate FROM xt, test GROUP BY mean_diff)
+SELECT 'avg_value' AS metric, w.week, w.effect, e.ate, mean_diff - high * std_err AS ci_lower, mean_diff + high * std_err AS ci_upper,
+       {ex.TWO_SIDED} < 0.05 AS significant
+FROM test, e, (SELECT high FROM crit WHERE step = 50),
+ (SELECT 'Week ' || week AS week, avg(avg_value) FILTER (variant = 'treatment') - avg(avg_value) FILTER (variant = 'control') AS effect FROM xt GROUP BY week) w""",
+       "effect ate ci_lower ci_upper")
 def experiment_chart_series(spark, sf_dir):
     cells = ex.cells(spark, sf_dir)
     test = abtest.welch_test(moments.long_moments(cells, ["variant"], ["avg_value"]), ["metric"])
@@ -318,6 +333,15 @@ def experiment_chart_series(spark, sf_dir):
     return weeks.join(bar, "metric")
 
 
+@query("funnel_chart_series", "D56", f"""WITH {demo.FUNNEL_SQL}, {demo.EXPERIMENT_SQL},
+p AS (SELECT user_id, any_value(variant) AS variant, max(completed * (step = 'view')::INT) AS s0, max(completed * (step = 'click')::INT) AS s1 FROM fu JOIN (SELECT * FROM ex WHERE week = 1) USING (user_id) GROUP BY user_id)
+SELECT 0 AS step_index, 'view' AS step, avg(s0) FILTER (variant = 'control') * 100 AS control_pct, avg(s0) FILTER (variant = 'treatment') * 100 AS treatment_pct FROM p
+UNION ALL SELECT 1, 'click', avg(s1) FILTER (variant = 'control') * 100, avg(s1) FILTER (variant = 'treatment') * 100 FROM p WHERE s0 = 1""", "control_pct treatment_pct")
+def funnel_chart_series(spark, sf_dir):
+    rows = plan.funnel_extract(demo.funnel(spark, sf_dir), demo.experiment(spark, sf_dir), demo.SPEC)
+    return charts.funnel_bars(funnel.conditional_funnel(rows, ["view", "click"]))
+
+
 @query("metric_name_rules", "B11 B12 B13", """WITH w AS (SELECT user_id, event_type || CASE user_id % 4 WHEN 0 THEN '_rate' WHEN 1 THEN '.count' WHEN 2 THEN '/active-users' ELSE '_churned' END AS metric FROM events)
 SELECT metric, count(*) AS n, CASE WHEN regexp_matches(metric, '(^|[_\\-./])(error|churn)') AND NOT regexp_matches(metric, '(^|[_\\-./])(click|active)') THEN 'increase'
  WHEN regexp_matches(metric, '(^|[_\\-./])(click|active)') AND NOT regexp_matches(metric, '(^|[_\\-./])(error|churn)') THEN 'decrease' ELSE 'both' END AS direction,

@@ -147,7 +147,7 @@ def component_changes(spark, sf_dir):
 l AS (SELECT 'platform' AS segment_col, platform AS segment_value, value, date >= s AS after FROM ev, sp UNION ALL SELECT 'user_segment', user_segment, value, date >= s FROM ev, sp),
 g AS (SELECT segment_col, segment_value, avg(value) FILTER (NOT after) AS metric_before, avg(value) FILTER (after) AS metric_after FROM l GROUP BY ALL),
 h AS (SELECT *, metric_after - metric_before AS delta FROM g)
-SELECT *, abs(delta) / sum(abs(delta)) OVER () * 100 AS contribution_pct, row_number() OVER (ORDER BY abs(delta) DESC, segment_col, segment_value) AS rank,
+SELECT *, abs(delta) / sum(abs(delta)) OVER () * 100 AS contribution_pct,
        row_number() OVER (ORDER BY abs(delta) DESC, segment_col, segment_value) = 1 AS dominant,
        max(delta) OVER () > 0 AND min(delta) OVER () < 0 AND abs(sum(delta) OVER ()) < 0.5 * sum(abs(delta)) OVER () AS cancelling
 FROM h""", "metric_before metric_after delta contribution_pct")
@@ -161,7 +161,7 @@ l AS (SELECT 'platform' AS dimension, platform AS value_, value, date FROM ev UN
 g AS (SELECT dimension, value_ AS value, coalesce(sum(value) FILTER (date >= s), 0) / any_value(n1) - coalesce(sum(value) FILTER (date < s), 0) / any_value(n0) AS delta
       FROM l, n GROUP BY ALL),
 t AS (SELECT sum(value) FILTER (date >= s) / any_value(n1) - sum(value) FILTER (date < s) / any_value(n0) AS total FROM ev, n)
-SELECT g.*, delta / total * 100 AS contribution_pct, row_number() OVER (ORDER BY abs(delta / total) DESC, dimension, value) AS rank FROM g, t""",
+SELECT g.*, delta / total * 100 AS contribution_pct FROM g, t""",
        "delta contribution_pct")
 def slice_and_dice(spark, sf_dir):
     return growth.slice_and_dice(demo.events(spark, sf_dir), "value", ["platform", "event_type"])
@@ -169,7 +169,7 @@ def slice_and_dice(spark, sf_dir):
 
 @query("slice_from_given_date", "D31", f"""WITH {demo.EVENTS_SQL}, l AS (SELECT platform AS value_, value, date FROM ev),
 g AS (SELECT 'platform' AS dimension, value_ AS value, sum(value) FILTER (date >= DATE '2024-01-20') / 11 - sum(value) FILTER (date < DATE '2024-01-20') / 19 AS delta FROM l GROUP BY ALL)
-SELECT *, delta / sum(delta) OVER () * 100 AS contribution_pct, row_number() OVER (ORDER BY abs(delta) DESC, value) AS rank FROM g""", "delta contribution_pct")
+SELECT *, delta / sum(delta) OVER () * 100 AS contribution_pct FROM g""", "delta contribution_pct")
 def slice_from_given_date(spark, sf_dir):
     return growth.slice_and_dice(demo.events(spark, sf_dir), "value", ["platform"], split_at="2024-01-20")
 
