@@ -8,8 +8,8 @@ POSITIVE_INFINITY = float("inf")
 
 
 def as_double(name: str) -> Column:
-    """Metric columns are aggregated as doubles; booleans become 1.0 / 0.0."""
-    return F.col(name).cast("double")
+    """Metric columns are aggregated as doubles; booleans become 1.0 / 0.0, and not-a-number counts as missing."""
+    return F.nullif(F.col(f"`{name}`").cast("double"), F.lit(float("nan")))
 
 
 def ratio(numerator: Column, denominator: Column, otherwise: float | None = None) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from gaugeline.functions.names import numeric_columns, summary_dimension
-from gaugeline.functions.numbers import ratio
+from gaugeline.functions.numbers import as_double, ratio
 from gaugeline.operators.quantiles import DISTINCT_BOUND, histogram_descent
 
 PAIRS_PER_PASS = 400
@@ -13,7 +13,7 @@ PAIRS_PER_PASS = 400
 
 def highest_variance_column(df: DataFrame, columns: list[str]) -> str | None:
     """The numeric column with the largest sample variance. One aggregate row; the first wins ties."""
-    row = df.agg(*[F.var_samp(F.col(c).cast("double")).alias(c) for c in columns]).first()
+    row = df.agg(*[F.var_samp(as_double(c)).alias(c) for c in columns]).first()
     known = [(row[c], -i, c) for i, c in enumerate(columns) if row[c] is not None and row[c] == row[c]]
     return max(known)[2] if known else None
 
@@ -36,7 +36,7 @@ def numeric_summary(df: DataFrame, columns: list[str] | None = None, distinct_bo
     share one quantile aggregate, the others take the histogram path.
     """
     columns = columns or numeric_columns(df)
-    value = {c: F.col(f"`{c}`").cast("double") for c in columns}
+    value = {c: as_double(c) for c in columns}
     aggs = []
     for c in columns:
         v = value[c]
@@ -113,9 +113,11 @@ def correlations(df: DataFrame, top_n: int = 10, columns: list[str] | None = Non
     for at in range(0, len(pairs), PAIRS_PER_PASS):
         aggs, rows = [], []
         for i, (a, b) in enumerate(pairs[at:at + PAIRS_PER_PASS]):
-            x, y = F.col(a).cast("double"), F.col(b).cast("double")
+            x, y = as_double(a), as_double(b)
             both = x.isNotNull() & y.isNotNull()
-            aggs += [F.corr(x, y).alias(f"r{i}"), F.count_if(both).alias(f"n{i}")]
+            x, y = F.when(both, x), F.when(both, y)
+            spread = F.sqrt(F.var_samp(x)) * F.sqrt(F.var_samp(y))
+            aggs += [F.try_divide(F.covar_samp(x, y), spread).alias(f"r{i}"), F.count_if(both).alias(f"n{i}")]
             rows.append(F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"r{i}").alias("correlation"),
                                  F.col(f"n{i}").alias("overlap")))
         part = df.agg(*aggs).select(F.explode(F.array(*rows)).alias("r")).select("r.*")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gaugeline.functions import prob
 from gaugeline.functions.names import numeric_columns, text_columns
+from gaugeline.functions.numbers import as_double
 from gaugeline.operators.explore import highest_variance_column
 from gaugeline.operators.quantiles import quantiles
 
@@ -44,12 +45,12 @@ def feature_columns(df: DataFrame, target: str) -> Features:
     """
     numbers = [c for c in numeric_columns(df) if c != target]
     texts = [c for c in text_columns(df) if c != target]
-    probe = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in numbers + texts],
+    probe = df.agg(*[F.count_if(as_double(c).isNull()).alias(f"null_{c}") for c in numbers],
                    *[F.approx_count_distinct(c).alias(f"n_{c}") for c in texts],
                    F.count(F.lit(1)).alias("rows")).first() if numbers + texts else None
     names, columns = [], []
     for c in numbers:
-        x = F.col(c).cast("double")
+        x = as_double(c)
         if probe[f"null_{c}"] and probe[f"null_{c}"] < probe["rows"]:
             x = F.coalesce(x, F.lit(quantiles(df, c, [0.5]).first()["quantiles"][0]))
         names.append(c)
@@ -98,8 +99,8 @@ def regress(df: DataFrame, target: str | None = None, hint: str = "") -> DataFra
     k = len(features.names)
     if k == 0:
         raise ValueError("no feature columns available after encoding")
-    named = [x.alias(f"x{i}") for i, x in enumerate(features.columns)] + [F.col(target).cast("double").alias(f"x{k}")]
-    rows = df.where(F.col(target).isNotNull()).select(*named)
+    named = [x.alias(f"x{i}") for i, x in enumerate(features.columns)] + [as_double(target).alias(f"x{k}")]
+    rows = df.where(as_double(target).isNotNull()).select(*named)
     aggs = [F.count(F.lit(1)).alias("n")] + [F.avg(f"x{i}").alias(f"m{i}") for i in range(k + 1)]
     aggs += [F.covar_samp(f"x{i}", f"x{j}").alias(f"c{i}_{j}") for i in range(k + 1) for j in range(i, k + 1)]
     stats = rows.agg(*aggs).first()

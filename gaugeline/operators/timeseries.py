@@ -110,8 +110,9 @@ def seasonal_forecast(daily: DataFrame, series: list[str] | None = None, holdout
     whole = _whole(series)
     train = lambda c: F.when(F.col("_train"), c)
     out = _with_holdout(daily, series, holdout).withColumn("_d", F.unix_date(F.col("date").cast("date")).cast("double"))
-    out = out.withColumns({"_slope": F.coalesce(F.regr_slope(train(F.col("value")), train(F.col("_d"))).over(whole), F.lit(0.0)),
-                           "_my": F.avg(train(F.col("value"))).over(whole), "_mx": F.avg(train(F.col("_d"))).over(whole)})
+    y, x = train(F.col("value")), train(F.col("_d"))
+    out = out.withColumns({"_slope": ratio(F.covar_samp(y, x).over(whole), F.var_samp(x).over(whole), 0.0),
+                           "_my": F.avg(y).over(whole), "_mx": F.avg(x).over(whole)})
     out = out.withColumn("_trend", F.col("_my") + F.col("_slope") * (F.col("_d") - F.col("_mx")))
     out = out.withColumns({"_dow": F.dayofweek("date"), "_res": train(F.col("value") - F.col("_trend"))})
     by_day = W.partitionBy(*series, "_dow")

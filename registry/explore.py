@@ -302,7 +302,8 @@ def spread_series(spark, sf_dir):
 
 @query("segment_bars", "D56 T2", f"""WITH {demo.EXTRACT_SQL}
 SELECT 'platform=' || platform || ',user_segment=' || user_segment AS segment,
- avg(avg_value) FILTER (variant = 'treatment') - avg(avg_value) FILTER (variant = 'control') AS effect FROM xt GROUP BY 1 ORDER BY abs(effect) DESC LIMIT 5""", "effect")
+ avg(avg_value) FILTER (variant = 'treatment') - avg(avg_value) FILTER (variant = 'control') AS effect FROM xt GROUP BY 1
+HAVING count(avg_value) FILTER (variant = 'treatment') >= 2 AND count(avg_value) FILTER (variant = 'control') >= 2 ORDER BY abs(effect) DESC LIMIT 5""", "effect")
 def segment_bars(spark, sf_dir):
     segs = moments.segment_moments(ex.cells(spark, sf_dir), list(demo.SPEC.segment_cols), ["avg_value"])
     return charts.segment_bars(abtest.heterogeneous_effects(segs, min_segment_size=2), 5).drop("significant")
