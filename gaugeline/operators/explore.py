@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from gaugeline.functions.names import numeric_columns, summary_dimension
 from gaugeline.functions.numbers import as_double, ratio
 from gaugeline.operators.quantiles import DISTINCT_BOUND, histogram_descent
 
-PAIRS_PER_PASS = 400
+# Spark generates code for up to one hundred buffer fields: eleven per pair, nine per column.
+PAIRS_SIDE_BY_SIDE, COLUMNS_PER_PASS = 8, 6
 
 
 def highest_variance_column(df: DataFrame, columns: list[str]) -> str | None:
@@ -18,10 +21,6 @@ def highest_variance_column(df: DataFrame, columns: list[str]) -> str | None:
     return max(known)[2] if known else None
 
 
-def _finite(c: Column) -> Column:
-    return F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c)
-
-
 def _rows_of(wide: DataFrame, columns: list[str], fields: list[str]) -> DataFrame:
     """One row per column from a one-row aggregate with ``column__field`` names."""
     structs = [F.struct(F.lit(i).alias("position"), F.lit(c).alias("name"),
@@ -32,35 +31,39 @@ def _rows_of(wide: DataFrame, columns: list[str], fields: list[str]) -> DataFram
 def numeric_summary(df: DataFrame, columns: list[str] | None = None, distinct_bound: int = DISTINCT_BOUND) -> DataFrame:
     """Per numeric column: counts, mean, spread, quartiles (linear interpolation), exact distinct count.
 
-    The first pass yields the plain statistics and an estimate of the distinct values: columns within the bound
-    share one quantile aggregate, the others take the histogram path.
+    The first passes yield the plain statistics and an estimate of the distinct values, a few columns at a time;
+    a pass reads only its own columns. Columns within the bound share a quantile aggregate, the others take the
+    histogram path.
     """
     columns = columns or numeric_columns(df)
-    value = {c: as_double(c) for c in columns}
-    aggs = []
-    for c in columns:
-        v = value[c]
-        aggs += [F.count(v).alias(f"{c}__non_null"), F.count_if(v.isNull()).alias(f"{c}__null_count"),
-                 _finite(F.avg(v)).alias(f"{c}__mean"), _finite(F.stddev_samp(v)).alias(f"{c}__std"),
-                 _finite(F.min(v)).alias(f"{c}__min"), _finite(F.max(v)).alias(f"{c}__max"), F.approx_count_distinct(v).alias(f"{c}__size")]
-    first = df.agg(*aggs).first()
-    fields = ["non_null", "null_count", "mean", "std", "min", "max"]
+    numbers = df.select(*[as_double(c).alias(c) for c in columns])
+    chunks = [columns[i:i + COLUMNS_PER_PASS] for i in range(0, len(columns), COLUMNS_PER_PASS)]
+    plain = {"non_null": F.count, "rows": lambda _: F.count(F.lit(1)), "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    facts: dict[str, float | int | None] = {}
+    for part in chunks:
+        for measures in (plain, {"size": F.approx_count_distinct}):
+            row = numbers.agg(*[fn(F.col(f"`{c}`")).alias(f"{c}__{n}") for c in part for n, fn in measures.items()]).first()
+            facts.update(row.asDict())
+    finite = lambda v: v if v is not None and abs(v) < float("inf") else None
     basic = df.sparkSession.createDataFrame(
-        [(i, c, *[first[f"{c}__{f}"] for f in fields]) for i, c in enumerate(columns)],
+        [(i, c, facts[f"{c}__non_null"], facts[f"{c}__rows"] - facts[f"{c}__non_null"], *[finite(facts[f"{c}__{n}"]) for n in ("mean", "std", "min", "max")])
+         for i, c in enumerate(columns)],
         "position int, name string, non_null bigint, null_count bigint, mean double, std double, min double, max double")
-    narrow = [c for c in columns if first[f"{c}__size"] <= distinct_bound]
-    wide_cols = [c for c in columns if first[f"{c}__size"] > distinct_bound]
-    distinct = _rows_of(df.agg(*[F.count_distinct(value[c]).alias(f"{c}__n_unique") for c in columns]), columns, ["n_unique"])
+    narrow = [c for c in columns if facts[f"{c}__size"] <= distinct_bound]
+    wide_cols = [c for c in columns if facts[f"{c}__size"] > distinct_bound]
+    union = lambda parts: reduce(DataFrame.unionByName, parts)
+    distinct = union([_rows_of(numbers.agg(*[F.count_distinct(f"`{c}`").alias(f"{c}__n_unique") for c in part]), part, ["n_unique"]) for part in chunks])
     quarters = [0.25, 0.5, 0.75]
     parts = []
-    if narrow:
+    for at in range(0, len(narrow), COLUMNS_PER_PASS):
+        part = narrow[at:at + COLUMNS_PER_PASS]
         wanted = F.array(*[F.lit(q) for q in quarters])
-        parts.append(_rows_of(df.agg(*[F.percentile(value[c], wanted).alias(f"{c}__q") for c in narrow]), narrow, ["q"]).select("name", "q"))
+        parts.append(_rows_of(numbers.agg(*[F.percentile(f"`{c}`", wanted).alias(f"{c}__q") for c in part]), part, ["q"]).select("name", "q"))
     if wide_cols:
-        long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), value[c].alias("_v")) for c in wide_cols])).alias("r"))
-        long = long.select("r.name", "r._v").where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-        parts.append(histogram_descent(long, quarters, ["name"]).select("name", F.col("quantiles").alias("q")))
-    quartiles = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        long = numbers.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"`{c}`").alias("_v")) for c in wide_cols])).alias("r"))
+        parts.append(histogram_descent(long.select("r.name", "r._v").where(F.col("_v").isNotNull()), quarters, ["name"])
+                     .select("name", F.col("quantiles").alias("q")))
+    quartiles = union(parts)
     types = F.create_map(*[F.lit(x) for f in df.schema.fields if f.name in columns for x in (f.name, f.dataType.simpleString())])
     return basic.join(quartiles, "name", "left").join(distinct.drop("position"), "name").select(
         "name", types[F.col("name")].alias("dtype"), "non_null", "null_count", "mean", "std", "min", F.col("q")[0].alias("p25"),
@@ -106,24 +109,38 @@ def top_rows(df: DataFrame, n: int = 10) -> DataFrame:
 
 
 def correlations(df: DataFrame, top_n: int = 10, columns: list[str] | None = None, min_overlap: int = 10) -> DataFrame:
-    """Strongest Pearson correlations, pairwise complete. All pairs of a pass share one aggregate."""
+    """Strongest Pearson correlations, pairwise complete.
+
+    Pairs are aggregated side by side, as many as one generated aggregate takes. Very many pairs are laid out as
+    rows instead, in one scan; they are combined before any shuffle, so only one row per pair and task moves.
+    """
     columns = columns or numeric_columns(df)
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
-    out = None
-    for at in range(0, len(pairs), PAIRS_PER_PASS):
-        aggs, rows = [], []
-        for i, (a, b) in enumerate(pairs[at:at + PAIRS_PER_PASS]):
-            x, y = as_double(a), as_double(b)
-            both = x.isNotNull() & y.isNotNull()
-            x, y = F.when(both, x), F.when(both, y)
-            spread = F.sqrt(F.var_samp(x)) * F.sqrt(F.var_samp(y))
-            aggs += [F.try_divide(F.covar_samp(x, y), spread).alias(f"r{i}"), F.count_if(both).alias(f"n{i}")]
-            rows.append(F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"r{i}").alias("correlation"),
-                                 F.col(f"n{i}").alias("overlap")))
-        part = df.agg(*aggs).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
-        out = part if out is None else out.unionByName(part)
-    kept = out.where((F.col("overlap") >= min_overlap) & F.col("correlation").isNotNull() & ~F.isnan("correlation"))
-    return kept.orderBy(F.abs("correlation").desc(), "col_a", "col_b").limit(top_n)
+    numbers = df.select(*[as_double(c).alias(c) for c in columns])
+
+    def measures(x: Column, y: Column) -> tuple[Column, Column, Column]:
+        return F.regr_r2(y, x), F.covar_samp(x, y), F.count(x + y)
+
+    if len(pairs) <= 4 * PAIRS_SIDE_BY_SIDE:
+        parts = []
+        for at in range(0, len(pairs), PAIRS_SIDE_BY_SIDE):
+            aggs, rows = [], []
+            for i, (a, b) in enumerate(pairs[at:at + PAIRS_SIDE_BY_SIDE]):
+                aggs += [m.alias(f"{n}{i}") for n, m in zip(("r2_", "cov", "n"), measures(F.col(f"`{a}`"), F.col(f"`{b}`")))]
+                rows.append(F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"r2_{i}").alias("r2"), F.col(f"cov{i}").alias("cov"),
+                                     F.col(f"n{i}").alias("overlap")))
+            parts.append(numbers.agg(*aggs).select(F.explode(F.array(*rows)).alias("r")).select("r.*"))
+        out = reduce(DataFrame.unionByName, parts)
+    else:
+        laid_out = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"`{a}`").alias("x"), F.col(f"`{b}`").alias("y")) for i, (a, b) in enumerate(pairs)])
+        names = F.array(*[F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b")) for a, b in pairs])
+        g = numbers.select(F.explode(laid_out).alias("p")).select("p.*").groupBy("i").agg(
+            *[m.alias(n) for n, m in zip(("r2", "cov", "overlap"), measures(F.col("x"), F.col("y")))])
+        out = g.withColumn("_names", F.get(names, F.col("i"))).select("_names.*", "r2", "cov", "overlap")
+    # A constant column has no correlation: its r2 is null, or 1 with a covariance of 0.
+    r = F.when((F.col("cov") != 0) | (F.col("r2") < 1), F.signum("cov") * F.sqrt("r2"))
+    kept = out.withColumn("correlation", r).where((F.col("overlap") >= min_overlap) & F.col("correlation").isNotNull())
+    return kept.select("col_a", "col_b", "correlation", "overlap").orderBy(F.abs("correlation").desc(), "col_a", "col_b").limit(top_n)
 
 
 def breakdown(df: DataFrame, dims: list[str], metrics: list[str], order_by: str | None = None, worst_first: bool = False) -> DataFrame:

@@ -21,19 +21,22 @@ def cell_moments(df: DataFrame, keys: list[str], metrics: list[str],
 
     Nulls drop out per metric; the joint sums use rows where both are present.
     """
+    values = [as_double(m).alias(f"{m}__y") for m in metrics]
+    if covariate is not None:
+        both = as_double(metric).isNotNull() & as_double(covariate).isNotNull()
+        values += [F.when(both, as_double(metric)).alias("j__y"), F.when(both, as_double(covariate)).alias("j__x")]
+    rows = df.select(*keys, *values)
     aggs = [F.count(F.lit(1)).alias("rows")]
     for m in metrics:
-        y = as_double(m)
+        y = F.col(f"`{m}__y`")
         aggs += [F.count(y).alias(f"{m}__n"), F.sum(y).alias(f"{m}__s1"),
                  F.sum(y * y).alias(f"{m}__s2"), F.sum(y * y * y).alias(f"{m}__s3"),
                  F.count_if(y > 1.0).alias(f"{m}__gt1")]
     if covariate is not None:
-        y, x = as_double(metric), as_double(covariate)
-        both = y.isNotNull() & x.isNotNull()
-        y, x = F.when(both, y), F.when(both, x)
+        y, x = F.col("j__y"), F.col("j__x")
         aggs += [F.count(y).alias("j_n"), F.sum(y).alias("j_sy"), F.sum(y * y).alias("j_syy"),
                  F.sum(x).alias("j_sx"), F.sum(x * x).alias("j_sxx"), F.sum(x * y).alias("j_sxy")]
-    return df.groupBy(*keys).agg(*aggs)
+    return rows.groupBy(*keys).agg(*aggs)
 
 
 def merge_cells(moments: DataFrame, by: list[str], columns: tuple[str, ...] = RAW) -> DataFrame:

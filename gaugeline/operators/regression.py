@@ -6,6 +6,8 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gaugeline.functions import prob
@@ -14,7 +16,7 @@ from gaugeline.functions.numbers import as_double
 from gaugeline.operators.explore import highest_variance_column
 from gaugeline.operators.quantiles import quantiles
 
-MAX_FEATURES, MAX_LEVELS, VIF_LIMIT = 15, 10, 10.0
+MAX_FEATURES, MAX_LEVELS, VIF_LIMIT, NARROW = 15, 10, 10.0, 6
 COEFFICIENTS = ("target string, n_obs bigint, n_features int, feature string, coefficient double, std_err double, t_stat double, "
                 "p_value double, ci_lower double, ci_upper double, significant boolean, vif double, r_squared double, "
                 "adj_r_squared double, f_stat double, f_pvalue double, collinear_dropped string")
@@ -66,7 +68,9 @@ def feature_columns(df: DataFrame, target: str) -> Features:
             columns.append(F.when(filled == level, 1.0).otherwise(0.0))
     if not names:
         return Features([], [])
-    spread = df.agg(*[F.var_samp(x).alias(str(i)) for i, x in enumerate(columns)]).first()
+    spread: list[float | None] = []
+    for at in range(0, len(columns), 12):
+        spread += list(df.agg(*[F.var_samp(x).alias(str(i)) for i, x in enumerate(columns[at:at + 12])]).first())
     kept = [i for i in range(len(names)) if spread[i] is not None and spread[i] > 0]
     if len(kept) > MAX_FEATURES:
         kept = sorted(kept, key=lambda i: (-spread[i], i))[:MAX_FEATURES]
@@ -87,10 +91,31 @@ def _independent(cov: np.ndarray) -> list[int]:
     return kept
 
 
+def _covariances(rows: DataFrame, width: int) -> tuple[int, np.ndarray]:
+    """Row count and sample covariances of the columns ``x0…``.
+
+    Few columns are plain aggregates. Wider ones go through the vector summaries of the ML library, which keep
+    one packed matrix per task.
+    """
+    if width <= NARROW:
+        pairs = [(i, j) for i in range(width) for j in range(i, width)]
+        stats = rows.agg(F.count(F.lit(1)).alias("n"), *[F.covar_samp(f"x{i}", f"x{j}").alias(f"c{i}_{j}") for i, j in pairs]).first()
+        cov = np.zeros((width, width))
+        for i, j in pairs:
+            cov[i, j] = cov[j, i] = stats[f"c{i}_{j}"] or 0.0
+        return stats["n"], cov
+    vectors = VectorAssembler(inputCols=[f"x{i}" for i in range(width)], outputCol="v").transform(rows).select("v")
+    facts = vectors.select(Summarizer.metrics("count", "variance").summary(F.col("v")).alias("s")).select("s.*").first()
+    if facts["count"] < 2:
+        return facts["count"], np.zeros((width, width))
+    spread = np.sqrt(facts["variance"].toArray())
+    return facts["count"], np.nan_to_num(Correlation.corr(vectors, "v").first()[0].toArray()) * np.outer(spread, spread)
+
+
 def regress(df: DataFrame, target: str | None = None, hint: str = "") -> DataFrame:
     """Coefficient rows of the least-squares fit, strongest first, with fit quality and variance inflation on each row.
 
-    One aggregate computes all means and covariances, at most 16 columns wide.
+    The data is reduced to covariances of at most 16 columns; the solve runs on those.
     """
     target = target or select_target(df, hint)
     if target is None or target not in df.columns:
@@ -100,17 +125,9 @@ def regress(df: DataFrame, target: str | None = None, hint: str = "") -> DataFra
     if k == 0:
         raise ValueError("no feature columns available after encoding")
     named = [x.alias(f"x{i}") for i, x in enumerate(features.columns)] + [as_double(target).alias(f"x{k}")]
-    rows = df.where(as_double(target).isNotNull()).select(*named)
-    aggs = [F.count(F.lit(1)).alias("n")] + [F.avg(f"x{i}").alias(f"m{i}") for i in range(k + 1)]
-    aggs += [F.covar_samp(f"x{i}", f"x{j}").alias(f"c{i}_{j}") for i in range(k + 1) for j in range(i, k + 1)]
-    stats = rows.agg(*aggs).first()
-    n = stats["n"]
+    n, cov = _covariances(df.where(as_double(target).isNotNull()).select(*named), k + 1)
     if n < max(10, k + 2):
         raise ValueError(f"only {n} observations for {k} features")
-    cov = np.zeros((k + 1, k + 1))
-    for i in range(k + 1):
-        for j in range(i, k + 1):
-            cov[i, j] = cov[j, i] = stats[f"c{i}_{j}"]
     kept = _independent(cov[:k, :k])
     dropped = ",".join(features.names[i] for i in range(k) if i not in kept)
     sxx, sxy, syy = cov[np.ix_(kept, kept)], cov[kept, k], cov[k, k]

@@ -46,6 +46,23 @@ def test_correlations_skip_constants_and_short_overlaps(spark):
     assert [(r["col_a"], r["col_b"]) for r in out] == [("a", "b")] and out[0]["correlation"] > 0.99
 
 
+def test_many_correlation_pairs_agree_with_pandas(spark):
+    pdf = pd.DataFrame(np.random.default_rng(1).normal(size=(60, 10)), columns=list("abcdefghij"))
+    pdf["j"] = pdf.a * 0.5 + pdf.j
+    got = {(r["col_a"], r["col_b"]): r["correlation"] for r in explore.correlations(spark.createDataFrame(pdf), 100).collect()}
+    want = pdf.corr()
+    assert len(got) == 45 and all(r == pytest.approx(want.loc[k], abs=1e-9) for k, r in got.items())
+
+
+def test_wide_regression_takes_the_vector_path(spark):
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame(rng.normal(size=(300, 9)), columns=list("abcdefghi"))
+    pdf["y"] = pdf @ np.arange(9) + rng.normal(size=300)
+    got = {r["feature"]: r["coefficient"] for r in regression.regress(spark.createDataFrame(pdf), "y").collect()}
+    beta = np.linalg.lstsq(np.column_stack([np.ones(300), pdf[list("abcdefghi")]]), pdf.y, rcond=None)[0]
+    assert all(got[c] == pytest.approx(beta[i + 1], rel=1e-6, abs=1e-9) for i, c in enumerate("abcdefghi"))
+
+
 def test_trend_rows_and_dimension_choice(spark):
     df = spark.createDataFrame([("n", "2024-01", 1.0), ("s", "2024-02", 3.0), ("n", "2024-02", 5.0), ("s", "2024-01", 2.0)], "region string, month string, v double")
     assert [tuple(r) for r in explore.trend_rows(df).collect()] == [("2024-01", 1.5), ("2024-02", 4.0)]
