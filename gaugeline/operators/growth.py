@@ -173,13 +173,13 @@ def slice_and_dice(df: DataFrame, metric: str, dims: list[str], date: str = "dat
     cells = _segment_cells(df, metric, dims, date)
     facts = df.agg(F.collect_set(date).alias("d")).select(F.struct(F.array_sort("d").alias("dates")).alias("f")).scalar()
     cells = cells.withColumns({"_dates": facts["dates"], "_split": split_date(df, date, split_at)})
-    before = lambda test: F.greatest(F.size(F.filter(F.col("_dates"), test)), F.lit(1))
+    days = lambda test: F.greatest(F.size(F.filter(F.col("_dates"), test)), F.lit(1))
     cells = cells.withColumns({"_after": F.col(date) >= F.col("_split"),
-                               "_d0": before(lambda d: d < F.col("_split")), "_d1": before(lambda d: d >= F.col("_split"))})
-    per_day = F.when(F.col("_after"), F.col("_s") / F.col("_d1")).otherwise(-F.col("_s") / F.col("_d0"))
-    changes = cells.withColumn("_change", per_day)
-    long = _unpivot_segments(changes, dims)
-    g = long.groupBy(F.col("segment_col").alias("dimension"), F.col("segment_value").alias("value")).agg(F.sum("_change").alias("delta"))
-    total = changes.agg(F.sum("_change").alias("t")).scalar()
+                               "_d0": days(lambda d: d < F.col("_split")), "_d1": days(lambda d: d >= F.col("_split"))})
+    side = lambda flag: F.coalesce(F.sum(F.when(F.col("_after") == flag, F.col("_s"))), F.lit(0.0))
+    change = side(True) / F.max("_d1") - side(False) / F.max("_d0")
+    long = _unpivot_segments(cells, dims)
+    g = long.groupBy(F.col("segment_col").alias("dimension"), F.col("segment_value").alias("value")).agg(change.alias("delta"))
+    total = cells.agg(change.alias("t")).scalar()
     g = g.withColumn("contribution_pct", F.coalesce(F.try_divide("delta", F.nullif(total, F.lit(0.0))) * 100, F.lit(0.0)))
     return g.orderBy(F.abs("contribution_pct").desc(), "dimension", "value")

@@ -24,6 +24,8 @@ def general_series(df: DataFrame) -> DataFrame | None:
     if time is None or not metrics:
         return None
     metric = highest_variance_column(df, metrics)
+    if metric is None:
+        return None
     rows = df.select(F.col(time).alias("date"), F.col(metric).alias("value")).dropna()
     return daily_series(rows, "value", agg="mean")
 
