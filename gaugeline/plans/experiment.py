@@ -41,8 +41,10 @@ def experiment_extract(events: DataFrame, experiment: DataFrame, spec: Experimen
     keys = [user, *segments]
     after = events.where(F.col(date) >= start)
     if week_from == "date":
+        # The end of the last week is a bound on the date column itself, so the scan can skip what lies beyond.
+        end = F.date_add(start.cast("date"), 7 * spec.experiment_weeks).cast(events.schema[date].dataType)
         week = F.floor(F.date_diff(F.col(date).cast("date"), start.cast("date")) / 7) + 1
-        after = after.withColumn(spec.week_col, week.cast("int")).where(F.col(spec.week_col) <= spec.experiment_weeks)
+        after = after.where(F.col(date) < end).withColumn(spec.week_col, week.cast("int"))
         keys.append(spec.week_col)
     during = after.groupBy(*keys).agg(
         _aggregate(spec.metric_agg, spec.metric_source_col).alias(spec.primary_metric),
