@@ -10,7 +10,7 @@ from gaugeline.functions import times
 from gaugeline.operators import history, spend
 from gaugeline.session import checkpoint_dir
 from gaugeline.sources import catalog, files, runlog
-from gaugeline.sources.tables import load
+from gaugeline.sources.tables import load, load_spread
 from gaugeline.streaming import counters
 from registry.base import query
 from registry.text import weights_sql
@@ -20,7 +20,7 @@ def runs(spark, sf_dir):
     """User turns stand in for past runs."""
     c, t = F.col("conv_id"), F.col("turn")
     r = c * 1000 + t
-    return load(spark, sf_dir, "conversations").where("role = 'user'").select(
+    return load_spread(spark, sf_dir, "conversations").where("role = 'user'").select(
         r.alias("run_id"), F.timestamp_seconds(F.lit(1704067200) + (c * 7919 + t * 104729) % 2592000).alias("ts"), F.col("text").alias("task"),
         F.concat(F.lit("u"), c % 20).alias("user_id"), F.concat(F.lit("w"), c % 5).alias("workspace_id"),
         F.when(c % 4 == 0, "").otherwise(F.concat(F.lit("p"), c % 3)).alias("metric_pack_id"), F.concat(F.lit("c"), c % 3).alias("connection_id"),

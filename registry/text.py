@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gaugeline.functions import text as tx, vectors
 from gaugeline.operators import sqlaudit, textscore as ts
 from gaugeline.sources.catalog import columns_of, schema_drift
-from gaugeline.sources.tables import load
+from gaugeline.sources.tables import load, load_spread
 from registry.base import query
 
 TEMPLATES = [
@@ -30,7 +30,7 @@ def reports(spark, sf_dir):
         head, tail = t.split("{p}", 1) if "{p}" in t else (t, "")
         piece = F.concat(F.lit(head), price, F.lit(tail)) if "{p}" in t else F.lit(t)
         body = F.when(k % 8 == i, piece) if body is None else body.when(k % 8 == i, piece)
-    return load(spark, sf_dir, "orders").select(
+    return load_spread(spark, sf_dir, "orders").select(
         k.alias("id"), "o_totalprice", "o_orderstatus", body.alias("text"), ((k % 13) / 100.0).alias("p_value"), ((k % 21) / 20.0 - 0.5).alias("cohens_d"),
         (k % 5 - 2.0).alias("ci_lower"), (k % 5 + 1.0).alias("ci_upper"), (k % 13 < 5).alias("significant"), ((k % 3) - 1.0).alias("cuped_ate"),
         (k % 10 == 0).alias("srm_detected"), (k % 4 == 0).alias("any_breached"), ((k % 10) / 10.0).alias("post_hoc_power"),
@@ -67,7 +67,7 @@ def numbers_sql(column: str) -> str:
 @query("cited_numbers", "G5 H1", f"""SELECT doc_id AS id, CAST(len(n) AS INTEGER) AS cited, list_sum(n) AS total FROM (SELECT doc_id, {numbers_sql('text')} AS n FROM documents)""",
        "", {"total": 3})
 def cited_numbers(spark, sf_dir):
-    docs = load(spark, sf_dir, "documents").select("doc_id", tx.cited_numbers(F.col("text")).alias("n"))
+    docs = load_spread(spark, sf_dir, "documents").select("doc_id", tx.cited_numbers(F.col("text")).alias("n"))
     return docs.select(F.col("doc_id").alias("id"), F.size("n").alias("cited"),
                        F.when(F.size("n") > 0, F.aggregate("n", F.lit(0.0), lambda s, v: s + v)).alias("total"))
 
@@ -93,7 +93,7 @@ SELECT doc_id, coalesce(total, 0) AS total, coalesce(supported, 0) AS supported,
 FROM documents LEFT JOIN s USING (doc_id)""", "faithfulness")
 def faithfulness_shared_references(spark, sf_dir):
     refs = load(spark, sf_dir, "part").select(F.explode(F.array("p_retailprice", F.col("p_size").cast("double"))).alias("v"))
-    return ts.faithfulness(load(spark, sf_dir, "documents"), refs, "doc_id", "text", "v", per_report=False)
+    return ts.faithfulness(load_spread(spark, sf_dir, "documents"), refs, "doc_id", "text", "v", per_report=False)
 
 
 _VIOLATION = "CASE WHEN {a} AND {v} THEN 1 ELSE 0 END"
@@ -139,7 +139,7 @@ def magnitude_claims(spark, sf_dir):
 
 @query("magnitude_claims_in_documents", "H8")
 def magnitude_claims_in_documents(spark, sf_dir):
-    docs = load(spark, sf_dir, "documents")
+    docs = load_spread(spark, sf_dir, "documents")
     return docs.select("doc_id", ts.magnitude_violations(F.concat(F.lit("Twice as much, "), F.col("text"))).alias("n")).where("n > 0")
 
 
@@ -168,7 +168,7 @@ PAIRS_SQL = """pr AS (SELECT q.conv_id * 1000 + q.turn AS id, q.conv_id, q.turn,
 
 
 def question_pairs(spark, sf_dir):
-    turns = load(spark, sf_dir, "conversations")
+    turns = load_spread(spark, sf_dir, "conversations")
     answers = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
     asked = turns.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("task"))
     return asked.join(answers, ["conv_id", "turn"]).withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
@@ -191,13 +191,13 @@ def weights_sql(source: str, keys: str, text: str) -> str:
 @query("text_vectors", "G7 G12 J1", f"""WITH {weights_sql('conversations', 'conv_id, turn', 'text')}
 SELECT conv_id, turn, bucket, weight / sqrt(sum(weight * weight) OVER (PARTITION BY conv_id, turn)) AS weight FROM wt""", "weight")
 def text_vectors(spark, sf_dir):
-    return vectors.embed(load(spark, sf_dir, "conversations"), ["conv_id", "turn"], "text")
+    return vectors.embed(load_spread(spark, sf_dir, "conversations"), ["conv_id", "turn"], "text")
 
 
 @query("dense_vectors", "J1 G10", f"""WITH {weights_sql('conversations', 'conv_id, turn', 'text')}, n AS (SELECT conv_id, turn, CAST(count(*) AS BIGINT) AS filled, max(weight) / sqrt(sum(weight * weight)) AS top FROM wt GROUP BY ALL)
 SELECT conv_id, turn, 384 AS length, filled, 1.0::DOUBLE AS norm, top FROM n""", "", {"norm": 4, "top": 4})
 def dense_vectors(spark, sf_dir):
-    out = vectors.dense(vectors.embed(load(spark, sf_dir, "conversations"), ["conv_id", "turn"], "text"), ["conv_id", "turn"])
+    out = vectors.dense(vectors.embed(load_spread(spark, sf_dir, "conversations"), ["conv_id", "turn"], "text"), ["conv_id", "turn"])
     return out.select("conv_id", "turn", F.size("vector").alias("length"), F.size(F.filter("vector", lambda v: v > 0)).cast("bigint").alias("filled"),
                       vectors.l2_norm(F.col("vector")).alias("norm"), F.array_max("vector").cast("double").alias("top"))
 
@@ -240,7 +240,7 @@ def composite_quality(spark, sf_dir):
 @query("labelled_report_scores", "H2 H5", f"""WITH nums AS (SELECT doc_id, len({numbers_sql('text')}) AS n FROM documents)
 SELECT quality, toxic, count(*) AS reports, avg(n) AS mean_score FROM nums JOIN labels USING (doc_id) GROUP BY ALL""", "mean_score")
 def labelled_report_scores(spark, sf_dir):
-    cited = load(spark, sf_dir, "documents").select("doc_id", F.size(tx.cited_numbers(F.col("text"))).cast("double").alias("score"))
+    cited = load_spread(spark, sf_dir, "documents").select("doc_id", F.size(tx.cited_numbers(F.col("text"))).cast("double").alias("score"))
     return ts.mean_score(cited.join(load(spark, sf_dir, "labels"), "doc_id"), ["quality", "toxic"])
 
 
