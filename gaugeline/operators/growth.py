@@ -55,7 +55,7 @@ def growth_accounting(events: DataFrame, dims: list[str], user: str = "user_id",
         "_back": F.count(F.lit(1)).over(by_day.rangeBetween(window_days, window_days)),
         "_first": F.col("_install") if install_date else F.min("_day").over(W.partitionBy(user)),
     })
-    dates = counted.agg(F.array_sort(F.collect_set(F.col(date).cast("date")))).scalar()
+    dates = days.agg(F.array_sort(F.collect_set("_day"))).scalar()
     today = days.groupBy(F.col("_day").alias("date"), *dims).agg(
         F.count(F.lit(1)).alias("dau"),
         F.count_if(F.date_diff("_day", "_first") < new_days).alias("new_users"),

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, ty
 from gaugeline.session import prepare
 
 MAX_MATERIALISED_ROWS = 5_000_000
+COLUMNS_PER_PASS = 6
 
 
 class ResultTooLargeError(ValueError):
@@ -77,13 +78,18 @@ def table_profile(df: DataFrame, table: str, max_distinct: int = 50, max_samples
     """Per column: rows, exact distinct count, and the first values in text order when there are few.
 
     An approximate count picks the columns worth sampling; only those are unpivoted, and the exact count decides.
+    Columns are counted a few at a time; a pass reads only its own columns.
     """
     fields = [f for f in df.schema.fields if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
-    facts = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count_distinct(f"`{f.name}`").alias(f.name) for f in fields])
-    rows = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type"),
-                              F.col(f"`{f.name}`").alias("n_distinct")) for i, f in enumerate(fields)])
-    listed = facts.select("rows", F.explode(rows).alias("r")).select(F.lit(table).alias("table"), "r.*", F.col("rows").alias("n_rows"))
-    few = df.agg(*[F.approx_count_distinct(f"`{f.name}`").alias(f.name) for f in fields]).first()
+    listed, few = None, {}
+    for at in range(0, len(fields), COLUMNS_PER_PASS):
+        part = list(enumerate(fields))[at:at + COLUMNS_PER_PASS]
+        facts = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count_distinct(f"`{f.name}`").alias(f.name) for _, f in part])
+        rows = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type"),
+                                  F.col(f"`{f.name}`").alias("n_distinct")) for i, f in part])
+        piece = facts.select("rows", F.explode(rows).alias("r")).select(F.lit(table).alias("table"), "r.*", F.col("rows").alias("n_rows"))
+        listed = piece if listed is None else listed.unionByName(piece)
+        few |= df.agg(*[F.approx_count_distinct(f"`{f.name}`").alias(f.name) for _, f in part]).first().asDict()
     likely = [f.name for f in fields if few[f.name] <= 2 * max_distinct]
     if not likely:
         return listed.withColumn("samples", F.lit(None).cast("string"))
