@@ -306,7 +306,30 @@ def detectable_effect(spark, sf_dir):
     return out.select("metric", "n_control", "n_treatment", "mde_absolute", "mde_relative_pct", "is_powered", "daily_value", "impact")
 
 
-@query("post_hoc_power", "D22 G1")
+def _nct_sql(t: str) -> str:
+    """Non-central t probability: the normal probability at ``t * s - ncp`` averaged over the scale ``s``."""
+    s = "(lo + (hi - lo) * i / 400)"
+    simpson = lambda v, n: f"(CASE WHEN {v} = 0 OR {v} = {n} THEN 1 WHEN {v} % 2 = 1 THEN 4 ELSE 2 END)::DOUBLE"
+    density = f"exp((dof - 1) * ln({s}) - dof * ({s} * {s} - 1) / 2)"
+    z = f"({t} * {s} - ncp)"
+    area = f"list_sum(list_transform(generate_series(0, 200), lambda j: {simpson('j', 200)} * exp(-pow({z} * j / 200, 2) / 2))) * {z} / 600"
+    top = f"list_sum(list_transform(generate_series(0, 400), lambda i: {simpson('i', 400)} * {density} * (0.5 + {area} / sqrt(2 * pi()))))"
+    return f"({top} / list_sum(list_transform(generate_series(0, 400), lambda i: {simpson('i', 400)} * {density})))"
+
+
+@query("post_hoc_power", "D22 G1", f"""WITH RECURSIVE {demo.EXTRACT_SQL},
+arms AS (SELECT 'avg_value' AS metric, * FROM ({arms_sql('avg_value')}) UNION ALL SELECT 'error_rate', * FROM ({arms_sql('error_rate')})
+  UNION ALL SELECT 'click_share', * FROM ({arms_sql('click_share')})),
+p AS (SELECT metric, n_control, n_treatment, (n_control + n_treatment - 2)::DOUBLE AS dof,
+        abs(m_t - m_c) / (sqrt(v_c) * sqrt(1 / n_control + 1 / n_treatment)) AS ncp FROM arms),
+crit AS (
+  SELECT DISTINCT dof, 0.0::DOUBLE AS low, 50.0::DOUBLE AS high, 0 AS step FROM p
+  UNION ALL
+  SELECT dof, CASE WHEN {demo.t_two_sided_sql('(low + high) / 2', 'dof')} > 0.05 THEN (low + high) / 2 ELSE low END,
+         CASE WHEN {demo.t_two_sided_sql('(low + high) / 2', 'dof')} > 0.05 THEN high ELSE (low + high) / 2 END, step + 1
+  FROM crit WHERE step < 50),
+c AS (SELECT p.*, high AS tc, greatest(1e-12, 1 - 12 / sqrt(2 * dof)) AS lo, 1 + 12 / sqrt(2 * dof) AS hi FROM p JOIN (SELECT dof, high FROM crit WHERE step = 50) USING (dof))
+SELECT metric, n_control, n_treatment, ncp, 1 - {_nct_sql('tc')} + {_nct_sql('(-tc)')} AS post_hoc_power FROM c""", "ncp", {"post_hoc_power": 4})
 def post_hoc_power(spark, sf_dir):
     long = moments.long_moments(cells(spark, sf_dir), ["variant"], ["avg_value", "error_rate", "click_share"])
     mde = abtest.detectable_effect(abtest.welch_test(long, ["metric"]))
