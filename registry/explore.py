@@ -205,11 +205,37 @@ def decision_inputs(spark, sf_dir):
     return mde.join(srm, "metric").withColumn("any_breached", guard)
 
 
-@query("decision_table", "D53 D54")
+_ALL_ARMS = " UNION ALL ".join(f"SELECT '{m}' AS metric, * FROM ({ex.arms_sql(m)})" for m in ("avg_value", "error_rate", "click_share"))
+_P_ABOVE = demo.t_two_sided_sql("(low + high) / 2", "dof") + " > 0.05"
+
+
+@query("decision_table", "D53 D54", f"""WITH RECURSIVE {demo.EXTRACT_SQL},
+arms AS ({_ALL_ARMS}),
+t0 AS (SELECT metric, {ex.WELCH_COLUMNS} FROM arms),
+t1 AS (SELECT *, {ex.TWO_SIDED} AS p_value, (n_control + n_treatment - 2)::DOUBLE AS dof2, sqrt(control_var) * sqrt(1 / n_control + 1 / n_treatment) AS se2 FROM t0),
+crit AS (
+  SELECT dof, 0.0::DOUBLE AS low, 50.0::DOUBLE AS high, 0 AS step FROM (SELECT dof FROM t1 UNION SELECT dof2 FROM t1)
+  UNION ALL
+  SELECT dof, CASE WHEN {_P_ABOVE} THEN (low + high) / 2 ELSE low END, CASE WHEN {_P_ABOVE} THEN high ELSE (low + high) / 2 END, step + 1 FROM crit WHERE step < 50),
+k AS (SELECT dof, high FROM crit WHERE step = 50),
+pw AS (SELECT metric, abs(mean_diff) / se2 AS ncp, dof2 AS dof, k.high AS tc, greatest(1e-12, 1 - 12 / sqrt(2 * dof2)) AS lo, 1 + 12 / sqrt(2 * dof2) AS hi FROM t1 JOIN k ON k.dof = t1.dof2),
+po AS (SELECT metric, 1 - {ex._nct_sql('tc')} + {ex._nct_sql('(-tc)')} AS power FROM pw),
+g AS (SELECT bool_or(p_value < 0.025 AND CASE metric WHEN 'error_rate' THEN treatment_mean > control_mean ELSE treatment_mean < control_mean END) AS breached FROM t1 WHERE metric <> 'avg_value'),
+r AS (SELECT t1.*, power, breached, p_value < 0.05 AS sig, mean_diff - k.high * std_err AS lo, mean_diff + k.high * std_err AS hi, {ex.Z} * se2 AS mde, {ex.Z} * se2 / abs(control_mean) * 100 AS rel,
+  pow(n_control - 0.5 * (n_control + n_treatment), 2) / (0.25 * (n_control + n_treatment)) AS chi2, least(n_control, n_treatment) AS have, abs(cohens_d) AS d
+  FROM t1 JOIN po USING (metric) JOIN k ON k.dof = t1.dof, g),
+f AS (SELECT *, {demo.normal_two_sided_sql('sqrt(chi2)')} < 0.001 AS srm, NOT sig AND abs(mean_diff) < mde AS weak, abs((lo + hi) / 2) > 1e-9 AND hi - lo > 2 * abs((lo + hi) / 2) AS wide,
+  CASE WHEN NOT sig AND abs(mean_diff) < mde THEN CAST(floor(have * greatest(pow(rel / 5, 2), 1.5)) AS BIGINT) END AS need FROM r)
+SELECT metric, CASE WHEN srm THEN 'stop: fix randomization' WHEN sig AND breached THEN 'roll back' WHEN sig THEN 'investigate before shipping' WHEN weak THEN 'extend: insufficient data' ELSE 'collect more data' END AS action,
+ coalesce(need, -1) AS needed_per_arm, coalesce(greatest(need - have, 0), -1) AS shortfall, CASE WHEN d < 0.1 THEN 'negligible' WHEN d < 0.2 THEN 'small' WHEN d < 0.5 THEN 'medium' ELSE 'large' END AS effect_label,
+ sig AND power < 0.5 AS winners_curse, weak AS inconclusive, sig AND d < 0.1 AS negligible_effect, wide AS wide_interval, have > 0 AND have < 100 AS small_sample,
+ CASE WHEN sig AND p_value < 0.01 AND d >= 0.2 AND NOT wide THEN 'high' WHEN sig THEN 'medium' ELSE 'low' END AS confidence_level,
+ CASE WHEN sig AND p_value < 0.01 AND d >= 0.2 AND NOT wide THEN 'robust result' WHEN sig AND d < 0.1 THEN 'significant but negligible effect' WHEN sig AND wide THEN 'significant but the interval is wide relative to the effect'
+  WHEN sig AND have < 100 THEN 'significant but small sample' WHEN sig THEN 'significant but borderline p-value' ELSE 'not statistically significant' END AS confidence_reason FROM f""")
 def decision_table(spark, sf_dir):
     out = quality.decisions(quality.confidence_level(decision_inputs(spark, sf_dir)))
-    return out.select("metric", "action", "needed_per_arm", "shortfall", "effect_label", "winners_curse", "inconclusive", "negligible_effect",
-                      "wide_interval", "small_sample", "confidence_level", "confidence_reason")
+    return out.select("metric", "action", *[F.coalesce(c, F.lit(-1)).cast("bigint").alias(c) for c in ("needed_per_arm", "shortfall")], "effect_label",
+                      "winners_curse", "inconclusive", "negligible_effect", "wide_interval", "small_sample", "confidence_level", "confidence_reason")
 
 
 def scored_experiments(spark, sf_dir):
