@@ -137,7 +137,11 @@ def magnitude_claims(spark, sf_dir):
     return reports(spark, sf_dir).select("id", ts.magnitude_violations(F.col("text")).alias("n"))
 
 
-@query("magnitude_claims_in_documents", "H8")
+@query("magnitude_claims_in_documents", "H8", r"""WITH t AS (SELECT doc_id, substr('Twice as much, ' || text, 1, 200) AS near FROM documents),
+m AS (SELECT doc_id, list_filter(regexp_extract_all(near, '\$\s*\d[\d,]*(?:\.\d+)?|\d[\d,]*(?:\.\d+)?\s*%|\b\d[\d,]*(?:\.\d+)?\b'), lambda x: NOT regexp_matches(x, '\b(19|20)\d{2}\b')) AS l FROM t),
+n AS (SELECT doc_id, list_distinct(list_transform(list_filter(list_transform(l, lambda x: regexp_replace(x, '[$%,\s]', '', 'g')), lambda r: contains(r, '.') OR r::DOUBLE > 5), lambda r: r::DOUBLE)) AS l FROM m),
+r AS (SELECT doc_id, len(l) AS c, list_max(l) / list_min(list_filter(l, lambda v: v > 0)) AS ratio FROM n)
+SELECT doc_id, 1::INT AS n FROM r WHERE c >= 2 AND ratio <> 1 AND abs(ratio - 2) / 2 > 0.15""")
 def magnitude_claims_in_documents(spark, sf_dir):
     docs = load_spread(spark, sf_dir, "documents")
     return docs.select("doc_id", ts.magnitude_violations(F.concat(F.lit("Twice as much, "), F.col("text"))).alias("n")).where("n > 0")
