@@ -55,7 +55,7 @@ def columns_of(df: DataFrame, **wanted: str) -> DataFrame:
 
 def size_in_mb(df: DataFrame) -> float:
     """Spark's estimate of the bytes that ``df`` reads."""
-    return float(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) / 1e6
+    return float(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) / 1e6
 
 
 def parts_for(df: DataFrame, mb: float) -> int:

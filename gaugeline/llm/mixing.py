@@ -4,7 +4,7 @@ Documents may belong to several sources. They are aggregated by membership patte
 quotas, where the first pass over a pattern's tokens is free and each repetition costs more (convex costs, as one arc per
 pass). The flow network has one node per pattern and source, never one per document. Inside a pattern the documents stand in
 a seeded hash order; the flow takes that line of tokens from its start, once per pass, and each document is taken as often
-as it fits. What is still short of the flow by the end of the line is filled by the one document whose size comes nearest.
+as it fits. What is still short of the flow by the end of the line is filled by single documents of the nearest sizes.
 
 Defined results: a null source is a source of its own, after all others; a null text has size 0; documents of size 0 are
 taken 0 words. Repeated rows are documents of their own. An empty table gives no rows. Reruns agree (ties go by doc_id, then
@@ -24,6 +24,8 @@ from gaugeline.llm.common import WORD_BREAK, Scratch, columns_of
 PASSES = 3
 #: patterns and sources that the flow on the driver may have; beyond it the operator raises
 NODES = 50_000
+#: single documents added to a pattern at most; each at least halves what is short where sizes allow
+FILL_ROUNDS = 8
 
 
 def words(text) -> F.Column:
@@ -145,14 +147,23 @@ def mix(documents: DataFrame, sources=None, weights: Sequence[float] | None = No
     line = scratch.keep(_line(lean, sum(r.n for r in patterns) // 256 + 1).join(F.broadcast(plan), "pattern").withColumn(
         "copies", F.when(F.col("size") == 0, 0).otherwise(F.greatest(F.lit(0), F.least(F.lit(PASSES), whole))).cast("long")))
     scratch.release(lean)
-    short = line.groupBy("pattern").agg((F.first("flow") - F.sum(F.col("copies") * F.col("size"))).alias("short"))
-    # a row of positive size is known by its pattern and place in the line
-    extra = (line.filter((F.col("copies") < PASSES) & (F.col("size") > 0)).join(F.broadcast(short), "pattern").filter("size < 2 * short")
-             .groupBy("pattern").agg(F.min(F.struct(F.abs(F.col("size") - F.col("short")).alias("off"), F.col("before"))).alias("best"))
-             .select("pattern", F.col("best.before").alias("before"), F.lit(1).alias("extra")))
-    copies = F.col("copies") + F.when(F.col("size") > 0, F.coalesce(F.col("extra"), F.lit(0))).otherwise(0)
-    return line.join(F.broadcast(extra), ["pattern", "before"], "left").select(
-        "doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "tie")
+    # what is short of the flow is filled by single documents, each the nearest in size among those this pass left out
+    extra: dict[tuple[str, int], int] = {}
+    for k in range(FILL_ROUNDS + 1):
+        added = spark.createDataFrame([(p, b, 1) for p, b in extra], "pattern string, before long, extra int")
+        copies = F.col("copies") + F.when(F.col("size") > 0, F.coalesce(F.col("extra"), F.lit(0))).otherwise(0)
+        filled = line.join(F.broadcast(added), ["pattern", "before"], "left").withColumn("copies", copies)
+        if k == FILL_ROUNDS:
+            break
+        short = filled.groupBy("pattern").agg((F.first("flow") - F.sum(F.col("copies") * F.col("size"))).alias("short")).filter("short > 0")
+        best = (filled.filter((F.col("copies") < PASSES) & (F.col("copies") <= F.floor(F.col("flow") / F.col("supply"))) & (F.col("size") > 0))
+                .join(F.broadcast(short), "pattern").filter("size < 2 * short")
+                .groupBy("pattern").agg(F.min(F.struct(F.abs(F.col("size") - F.col("short")).alias("off"), F.col("before"))).alias("best"))
+                .select("pattern", "best.before").collect())
+        if not best:
+            break
+        extra |= {(r.pattern, r.before): 1 for r in best}
+    return filled.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "tie")
 
 
 def _named(documents: DataFrame, sources) -> DataFrame:

@@ -14,7 +14,7 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-BLOCK = 2_000_000
+BLOCK = 500_000
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

@@ -19,7 +19,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from gaugeline.llm.common import Scratch, columns_of, connected, size_in_mb, tree_sum
 from gaugeline.llm.shingles import bitmap, mixed, shingle_sets, signature
@@ -117,7 +117,7 @@ def _sets(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out.assign(items=arrays, bits=bits)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _linked(a: pd.Series, b: pd.Series) -> pd.Series:
     """Exact: sorted arrays are merged and equal neighbours counted."""
     out = []

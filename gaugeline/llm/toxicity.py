@@ -65,7 +65,7 @@ def _distinct(texts: list[str], chosen: np.ndarray | None = None) -> tuple[np.nd
     return both >> BITS, both & ((1 << BITS) - 1)
 
 
-def _blocks(texts: pd.Series, chars: int = 2_000_000) -> Iterable[tuple[int, list[str]]]:
+def _blocks(texts: pd.Series, chars: int = 400_000) -> Iterable[tuple[int, list[str]]]:
     """Rows in blocks of bounded total length (a longer text is a block of its own)."""
     block, start, size = [], 0, 0
     for i, t in enumerate(texts):
@@ -80,16 +80,16 @@ def _blocks(texts: pd.Series, chars: int = 2_000_000) -> Iterable[tuple[int, lis
 
 
 def _counts(frames: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-    total = np.zeros((2, 1 << BITS), dtype=np.int64)
-    seen = np.zeros(2, dtype=np.int64)
+    total = np.zeros((2, 1 << BITS), dtype=np.int32)
+    seen = np.zeros(2, dtype=np.int32)
     for frame in frames:
         y = frame["y"].to_numpy()
         for start, block in _blocks(frame["text"]):
             own = y[start: start + len(block)]
-            seen += np.bincount(own, minlength=2)[:2]
+            seen += np.bincount(own, minlength=2)[:2].astype(np.int32)
             text, gram = _distinct(block)
             for c in (0, 1):
-                total[c] += np.bincount(gram[own[text] == c], minlength=1 << BITS)
+                np.add.at(total[c], gram[own[text] == c], 1)
     parts = total.reshape(2, -1, CHUNK)
     yield pd.DataFrame([(c * parts.shape[1] + k, parts[c, k].tobytes()) for c in (0, 1) for k in range(parts.shape[1])]
                        + [(-1, seen.tobytes())], columns=["chunk", "values"])
@@ -98,7 +98,7 @@ def _counts(frames: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
 def fit(sample: DataFrame, z: float = 3.0, regularisation: float = 0.01) -> Model:
     """Fit on ``sample`` (text, y 0 or 1). What reaches the driver has a fixed size: counts by hashed n-gram."""
     spark = sample.sparkSession
-    rows = {r.chunk: np.frombuffer(r["values"], dtype=np.int64) for r in tree_sum(sample.mapInPandas(_counts, "chunk int, values binary"), "<i8").collect()}
+    rows = {r.chunk: np.frombuffer(r["values"], dtype="<i4") for r in tree_sum(sample.mapInPandas(_counts, "chunk int, values binary"), "<i4").collect()}
     weights = np.zeros(1 << BITS, dtype=np.float64)
     seen = rows.pop(-1, np.zeros(2, np.int64))
     base = float(np.log((seen[1] + 1) / (seen[0] + 1)))
