@@ -64,7 +64,7 @@ def parts_for(df: DataFrame, mb: float) -> int:
 
 
 def tree_sum(chunks: DataFrame, dtype: str) -> DataFrame:
-    """Sum binary vectors by chunk number: columns chunk int, values binary (little-endian ``dtype``)."""
+    """Sum binary vectors by chunk number: columns chunk int, values binary (little-endian ``dtype``); sums are 64-bit."""
     import numpy as np
     import pandas as pd
 
@@ -72,7 +72,7 @@ def tree_sum(chunks: DataFrame, dtype: str) -> DataFrame:
         total: dict[int, np.ndarray] = {}
         for frame in frames:
             for chunk, values in zip(frame["chunk"], frame["values"]):
-                v = np.frombuffer(values, dtype=dtype)
+                v = np.frombuffer(values, dtype=dtype).astype("<i8")
                 total[chunk] = total[chunk] + v if chunk in total else v
         if total:
             yield pd.DataFrame({"chunk": list(total), "values": [v.tobytes() for v in total.values()]})

@@ -50,7 +50,7 @@ def _levels(chunks: DataFrame, bits: int) -> np.ndarray:
     """For each hash bucket: 0 for a usual count, else a level that grows with the logarithm of the count."""
     counts = np.zeros((1 << bits) // CHUNK * CHUNK, dtype=np.int64).reshape(-1, CHUNK)
     for r in tree_sum(chunks, "<i4").toLocalIterator():
-        counts[r.chunk] = np.frombuffer(r["values"], dtype="<i4")
+        counts[r.chunk] = np.frombuffer(r["values"], dtype="<i8")
     counts = counts.ravel()
     usual = max(64.0, 4 * counts.mean())
     return np.where(counts > usual, np.minimum(120, 1 + np.floor(4 * np.log2(np.maximum(counts, 1) / usual))), 0).astype(np.int8)

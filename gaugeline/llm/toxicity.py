@@ -98,7 +98,7 @@ def _counts(frames: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
 def fit(sample: DataFrame, z: float = 3.0, regularisation: float = 0.01) -> Model:
     """Fit on ``sample`` (text, y 0 or 1). What reaches the driver has a fixed size: counts by hashed n-gram."""
     spark = sample.sparkSession
-    rows = {r.chunk: np.frombuffer(r["values"], dtype="<i4") for r in tree_sum(sample.mapInPandas(_counts, "chunk int, values binary"), "<i4").collect()}
+    rows = {r.chunk: np.frombuffer(r["values"], dtype="<i8") for r in tree_sum(sample.mapInPandas(_counts, "chunk int, values binary"), "<i4").collect()}
     weights = np.zeros(1 << BITS, dtype=np.float64)
     seen = rows.pop(-1, np.zeros(2, np.int64))
     base = float(np.log((seen[1] + 1) / (seen[0] + 1)))
