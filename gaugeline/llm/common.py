@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -63,8 +64,8 @@ def parts_for(df: DataFrame, mb: float) -> int:
     return int(max(df.sparkSession.sparkContext.defaultParallelism, min(200_000, size_in_mb(df) / mb + 1)))
 
 
-def tree_sum(chunks: DataFrame, dtype: str) -> DataFrame:
-    """Sum binary vectors by chunk number: columns chunk int, values binary (little-endian ``dtype``); sums are 64-bit."""
+def tree_sum(chunks: DataFrame, dtype: str, deflated: bool = False) -> DataFrame:
+    """Sum binary vectors by chunk number: columns chunk int, values binary (little-endian ``dtype``, deflated or not); 64-bit sums."""
     import numpy as np
     import pandas as pd
 
@@ -72,7 +73,7 @@ def tree_sum(chunks: DataFrame, dtype: str) -> DataFrame:
         total: dict[int, np.ndarray] = {}
         for frame in frames:
             for chunk, values in zip(frame["chunk"], frame["values"]):
-                v = np.frombuffer(values, dtype=dtype).astype("<i8")
+                v = np.frombuffer(zlib.decompress(values) if deflated else values, dtype=dtype).astype("<i8")
                 total[chunk] = total[chunk] + v if chunk in total else v
         if total:
             yield pd.DataFrame({"chunk": list(total), "values": [v.tobytes() for v in total.values()]})

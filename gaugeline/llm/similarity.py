@@ -15,6 +15,7 @@ shingle. Rows with a null id take part; they show the smallest id they reach, nu
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -42,17 +43,17 @@ def _facts(bits: int):
         parts = sketch.reshape(-1, CHUNK)
         held = [k for k in range(len(parts)) if parts[k].any()]
         yield pd.DataFrame({"doc_id": pd.Series([None] * len(held), dtype="Int64"), "key": pd.Series([None] * len(held), dtype="Int64"), "n": 0, "sig": 0,
-                            "chunk": pd.Series(held, dtype="Int32"), "values": [parts[k].tobytes() for k in held]})
+                            "chunk": pd.Series(held, dtype="Int32"), "values": [zlib.compress(parts[k].tobytes(), 1) for k in held]})
     return run
 
 
 def _levels(chunks: DataFrame, bits: int) -> np.ndarray:
     """For each hash bucket: 0 for a usual count, else a level that grows with the logarithm of the count."""
     counts = np.zeros((1 << bits) // CHUNK * CHUNK, dtype=np.int64).reshape(-1, CHUNK)
-    for r in tree_sum(chunks, "<i4").toLocalIterator():
+    for r in tree_sum(chunks, "<i4", deflated=True).toLocalIterator():
         counts[r.chunk] = np.frombuffer(r["values"], dtype="<i8")
     counts = counts.ravel()
-    usual = max(64.0, 4 * counts.mean())
+    usual = max(16.0, 4 * counts.mean())
     return np.where(counts > usual, np.minimum(120, 1 + np.floor(4 * np.log2(np.maximum(counts, 1) / usual))), 0).astype(np.int8)
 
 
@@ -161,8 +162,8 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     scratch = Scratch(spark)
     docs = columns_of(documents, doc_id="doc_id:long", text="text").withColumn("key", F.coalesce("doc_id", F.xxhash64("text")))
-    # about 64 shingles a bucket, up to 2**22 buckets (a fixed bound for what reaches driver and tasks)
-    bits = int(min(22, max(14, np.ceil(np.log2(max(1.0, size_in_mb(documents) * 1e6 / 6 / 64))))))
+    # about four shingles a bucket, up to 2**23 buckets (a fixed bound for what reaches driver and tasks)
+    bits = int(min(23, max(14, np.ceil(np.log2(max(1.0, size_in_mb(documents) * 1e6 / 4 / 4))))))
     mixed_rows = scratch.keep(docs.mapInPandas(_facts(bits), "doc_id long, key long, n int, sig long, chunk int, values binary"))
     facts = mixed_rows.filter("chunk is null").select("doc_id", "key", "n", "sig")
     levels = _levels(mixed_rows.filter("chunk is not null").select("chunk", "values"), bits)
