@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugeline.llm import packing, toxicity
+from gaugeline.llm import lines, mixing, packing, similarity, toxicity
 from gaugeline.llm.common import Scratch
 from gaugeline.sources.tables import load
 
@@ -14,12 +14,28 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.clean_documents(docs, load(spark, sf_dir, "labels"))
 
 
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of like lines the first occurrence stays; documents that lose all they said go."""
+    return lines.deduplicated_lines(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays."""
+    return similarity.first_of_each_group(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.mixed_documents(docs)
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per piece of a document with its place in a sequence."""
     return packing.packed_documents(docs)
 
 
-STAGES = [("toxicity", drop_toxic), ("best-fit packing", pack_sequences)]
+STAGES = [("toxicity", drop_toxic), ("line dedup", drop_repeated_lines), ("n-gram Jaccard join", drop_near_duplicates),
+          ("mixing sources to target weights", mix_sources), ("best-fit packing", pack_sequences)]
 
 #: SQL cannot express the classifier, the edit distances or the search; the stages are tested against brute force
 ORACLE_SQL = None

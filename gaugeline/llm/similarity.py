@@ -5,9 +5,9 @@
 3. Two linked sets share one of the first n - ceil(3n/4) + 1 shingles in that order. These meet in tiles, one per shingle,
    sorted by set size; a tile of one set is dropped as it is read.
 4. Each set is first compared with one centre, the set it shares most tiles with. That joins nearly all groups.
-5. What is left are tiles whose sets are in different groups. They are cut into size bands (a set only meets sets of at
-   least three quarters of its size) and, where large, into blocks. In a band, the bit counts of hashed bitmaps bound each
-   overlap from above, and only pairs that can still link go on to the exact intersection of sorted arrays.
+5. What is left are tiles whose sets are in different groups. A set only meets sets of at least three quarters of its size:
+   large tiles are cut into size bands, and bands into blocks. The bit counts of hashed bitmaps bound each overlap from
+   above, and only pairs that can still link go on to the exact intersection of sorted arrays.
 
 Defined results: null, empty and blank texts have no shingles and link with nothing; a text of fewer than five words is one
 shingle. Rows with a null id take part; they show the smallest id they reach, null if none. An empty table gives no rows.
@@ -28,6 +28,8 @@ from gaugeline.llm.shingles import bitmap, mixed, shingle_sets, signature
 CHUNK = 1 << 14
 #: sets of one tile and band that one task compares with all smaller ones
 BLOCK = 1024
+#: sets of a tile up to which its pairs are told apart by size and place before bitmaps are fetched
+SMALL = 64
 
 
 def _facts(bits: int):
@@ -72,7 +74,7 @@ def _prefixes(levels: np.ndarray, bits: int):
                 sizes.append(n)
             many = [len(t) for t in tokens]
             yield pd.DataFrame({"token": np.concatenate(tokens) if tokens else np.zeros(0, np.int64), "sig": np.repeat(np.array(sigs, dtype=np.int64), many),
-                                "n": np.repeat(np.array(sizes, dtype=np.int32), many)})
+                                "n": np.repeat(np.array(sizes, dtype=np.int32), many), "p": np.concatenate([np.arange(m, dtype=np.int32) for m in many]) if many else np.zeros(0, np.int32)})
     return run
 
 
@@ -80,20 +82,20 @@ def _tiles(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows sorted by token, size, set: drops tiles without two sets of fitting size; adds each set's smallest fitting mate."""
     rest = None
 
-    def done(token, n, sig):
+    def done(token, n, sig, p):
         new = np.ones(len(token), dtype=bool)
         new[1:] = (token[1:] != token[:-1]) | (n[1:] != n[:-1]) | (sig[1:] != sig[:-1])
-        token, n, sig = token[new], n[new], sig[new]
+        token, n, sig, p = token[new], n[new], sig[new], p[new]
         run = np.cumsum(np.concatenate([[0], token[1:] != token[:-1]]).astype(np.int64)) if len(token) else np.zeros(0, np.int64)
         place = (run << 33) + n
         mate = np.searchsorted(place, (run << 33) + (3 * n.astype(np.int64) + 3) // 4)
         paired = np.zeros(int(run[-1]) + 1 if len(run) else 0, dtype=bool)
         paired[run[mate != np.arange(len(mate))]] = True
         k = np.flatnonzero(paired[run])
-        return pd.DataFrame({"token": token[k], "sig": sig[k], "n": n[k], "csig": sig[mate[k]], "cn": n[mate[k]]})
+        return pd.DataFrame({"token": token[k], "sig": sig[k], "n": n[k], "p": p[k], "csig": sig[mate[k]], "cn": n[mate[k]]})
 
     for frame in frames:
-        now = [frame["token"].to_numpy(), frame["n"].to_numpy(), frame["sig"].to_numpy()]
+        now = [frame["token"].to_numpy(), frame["n"].to_numpy(), frame["sig"].to_numpy(), frame["p"].to_numpy()]
         if rest is not None:
             now = [np.concatenate([a, b]) for a, b in zip(rest, now)]
         if not len(now[0]):
@@ -130,6 +132,42 @@ def _linked(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=bool)
 
 
+def _small_pairs(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of small tiles, sorted by token: pairs whose sizes fit, whose groups differ and whose places allow the overlap.
+
+    The first shared shingle of a pair stands at p and q of their orders; at most min(n - p, m - q) are shared from there on.
+    """
+    def one(n, sig, group, p):
+        i, j = np.triu_indices(len(n), 1)
+        low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+        fits = (4 * low >= 3 * high) & (group[i] != group[j]) & (7 * np.minimum(n[i] - p[i], n[j] - p[j]) >= 3 * (n[i] + n[j]))
+        return i[fits], j[fits]
+
+    rest = None
+    for frame in _with_end(frames):
+        if frame is None:
+            frame, last = rest, True
+            if frame is None:
+                return
+        else:
+            frame, last = (frame if rest is None else pd.concat([rest, frame], ignore_index=True)), False
+        token, n, sig = frame["token"].to_numpy(), frame["n"].to_numpy(np.int64), frame["sig"].to_numpy()
+        group, p = frame["component"].to_numpy(), frame["p"].to_numpy(np.int64)
+        cuts = [0, *(np.flatnonzero(token[1:] != token[:-1]) + 1).tolist(), *([len(token)] if last else [])]
+        found = [(a + x, a + y) for a, b in zip(cuts[:-1], cuts[1:]) for x, y in [one(n[a:b], sig[a:b], group[a:b], p[a:b])] if len(x)]
+        if found:
+            i, j = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+            swap = (n[i] < n[j]) | ((n[i] == n[j]) & (sig[i] < sig[j]))
+            i, j = np.where(swap, j, i), np.where(swap, i, j)
+            yield pd.DataFrame({"sig": sig[i], "n": n[i], "csig": sig[j], "cn": n[j]}).drop_duplicates()
+        rest = None if last else frame.iloc[cuts[-1]:]
+
+
+def _with_end(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame | None]:
+    yield from frames
+    yield None
+
+
 _ONES = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
 
 
@@ -138,6 +176,18 @@ def fold(bits: np.ndarray, width: int) -> np.ndarray:
     return np.bitwise_or.reduce(bits.reshape(-1, width), axis=0)
 
 
+@F.pandas_udf(T.BooleanType())
+def _may_link(n: pd.Series, bits: pd.Series, m: pd.Series, others: pd.Series) -> pd.Series:
+    """Every bit in which two bitmaps differ is a member of only one set; that bounds the overlap."""
+    out = []
+    for a, x, b, y in zip(n, bits, m, others):
+        x, y = np.frombuffer(x, dtype=np.uint8), np.frombuffer(y, dtype=np.uint8)
+        width = min(len(x), len(y))
+        most = (a + b - int(_ONES[fold(x, width) ^ fold(y, width)].sum(dtype=np.int64))) // 2
+        out.append(100 * most >= 75 * (a + b - most))
+    return pd.Series(out, dtype=bool)
+
+
 def _band_pairs(frame: pd.DataFrame) -> pd.DataFrame:
     """Pairs of a tile's band that may link: sizes fit, groups differ, and the bitmaps allow the overlap."""
     frame = frame.sort_values(["n", "sig"], kind="stable").reset_index(drop=True)
@@ -169,9 +219,9 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     levels = _levels(mixed_rows.filter("chunk is not null").select("chunk", "values"), bits)
     classes = facts.filter("n > 0").groupBy("sig", "n").agg(F.min("doc_id").alias("doc_id"), F.min("key").alias("key"))
 
-    entries = docs.select("text").mapInPandas(_prefixes(levels, bits), "token long, sig long, n int")
+    entries = docs.select("text").mapInPandas(_prefixes(levels, bits), "token long, sig long, n int, p int")
     tiles = scratch.keep(entries.repartition("token").sortWithinPartitions("token", "n", "sig")
-                         .mapInPandas(_tiles, "token long, sig long, n int, csig long, cn int"))
+                         .mapInPandas(_tiles, "token long, sig long, n int, p int, csig long, cn int"))
     # one centre for each set: the one it shares most tiles with
     proposals = (tiles.filter("sig <> csig or n <> cn").groupBy("sig", "n", "csig", "cn").agg(F.count("*").alias("shared"))
                  .groupBy("sig", "n").agg(F.max(F.struct("shared", "csig", "cn")).alias("best")).select("sig", "n", "best.csig", "best.cn"))
@@ -199,18 +249,24 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     links = scratch.keep(by_name(first))
     groups = scratch.keep(named.join(connected(links), "id", "left").select("sig", "n", "id", F.coalesce("component", "id").alias("component")))
 
-    placed = tiles.select("token", "sig", "n").join(groups, ["sig", "n"])
-    open_ = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("token")
+    placed = tiles.select("token", "sig", "n", "p").join(groups, ["sig", "n"])
+    open_ = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("sets")).filter("lo <> hi").select("token", "sets")
+    placed = scratch.keep(placed.join(open_, "token").select("token", "sig", "n", "p", "component", "sets"))
+    bits_of = sets.select("sig", "n", "bits")
+    few = (placed.filter(F.col("sets") <= SMALL).repartition("token").sortWithinPartitions("token")
+           .mapInPandas(_small_pairs, "sig long, n int, csig long, cn int").distinct()
+           .join(bits_of, ["sig", "n"]).join(bits_of.select(F.col("sig").alias("csig"), F.col("n").alias("cn"), F.col("bits").alias("cbits")), ["csig", "cn"])
+           .filter(_may_link("n", "bits", "cn", "cbits")).select("sig", "n", "csig", "cn"))
+    # large tiles in size bands: a set is compared (side 1) in its own, and is there to be compared with (side 0) in that and the next
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(4 / 3))).cast("int")
-    placed = scratch.keep(placed.join(open_, "token").select("token", "sig", "n", "component", band.alias("band")))
-    # a set is compared (side 1) in its own band, and is there to be compared with (side 0) in its own and the next
-    rows = placed.select("*", F.lit(1).alias("side")).union(placed.select("*", F.lit(0).alias("side"))).union(
-        placed.withColumn("band", F.col("band") + 1).select("*", F.lit(0).alias("side")))
-    blocks = placed.groupBy("token", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = rows.join(blocks, ["token", "band"]).withColumn("block", F.when(F.col("side") == 1, F.array(F.pmod("sig", F.col("blocks"))))
-                                                          .otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
-    rows = rows.withColumn("block", F.explode("block")).join(sets.select("sig", "n", "bits"), ["sig", "n"])
-    pairs = rows.groupBy("token", "band", "block").applyInPandas(_band_pairs, "sig long, n int, csig long, cn int").distinct()
+    large = placed.filter(F.col("sets") > SMALL).select("token", "sig", "n", "component", band.alias("band"))
+    rows = large.select("*", F.lit(1).alias("side")).union(large.select("*", F.lit(0).alias("side"))).union(
+        large.withColumn("band", F.col("band") + 1).select("*", F.lit(0).alias("side")))
+    blocks = large.groupBy("token", "band").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
+    rows = rows.join(blocks, ["token", "band"]).withColumn("block", F.explode(F.when(F.col("side") == 1, F.array(F.pmod("sig", F.col("blocks"))))
+                                                                             .otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))))
+    banded = rows.join(bits_of, ["sig", "n"]).groupBy("token", "band", "block").applyInPandas(_band_pairs, "sig long, n int, csig long, cn int")
+    pairs = scratch.keep(few.union(banded).distinct())
     more = scratch.keep(by_name(verified(pairs)))
     # groups of the first round stand for their members
     top = connected(more.join(groups.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a")
@@ -225,7 +281,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
 
 def first_of_each_group(documents: DataFrame) -> DataFrame:
-    """The rows of ``documents``, one of each near-duplicate group: the one of the smallest id, once."""
-    found = near_duplicates(documents).filter("n_shingles = 0 or doc_id is null or component_id is null or doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct()
-    rows = documents.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("d"))
-    return rows.join(found, F.col("d").eqNullSafe(F.col("kept")), "left_semi").select("row.*")
+    """The rows of ``documents``, one of each near-duplicate group: that of the smallest id. Of rows equal in id and text one stays."""
+    found = near_duplicates(documents).filter("n_shingles = 0 or doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct()
+    rows = documents.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("t"))
+    return rows.join(found, F.col("d").eqNullSafe(F.col("kept")), "left_semi").dropDuplicates(["d", "t"]).select("row.*")
