@@ -132,4 +132,11 @@ def series_metric_candidates(df: DataFrame) -> list[str]:
 def week_number(week: Column) -> Column:
     """1, '1', 'W1', 'week1', 'week_1' and 1.0 all read as 1; anything else is null."""
     bare = F.regexp_replace(F.lower(F.trim(week.cast("string"))), r"^(week_|week|w)", "")
-    return F.coalesce(bare.try_cast("int"), F.floor(bare.try_cast("double")).try_cast("int"))
+    whole = bare.try_cast("double")
+    return F.when(whole == F.floor(whole), F.floor(whole).try_cast("int"))
+
+
+def week_number_or_error(week: Column) -> Column:
+    """As :func:`week_number`; a label that cannot be read ends the query. Null stays null."""
+    number = week_number(week)
+    return F.when(week.isNull() | number.isNotNull(), number).otherwise(F.raise_error(F.concat(F.lit("unreadable week label: "), week.cast("string"))).cast("int"))

@@ -27,7 +27,7 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
     c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
     d = 1.0 / (d if abs(d) > _TINY else _TINY)
     value = d
-    for m in range(1, 20000):
+    for m in range(1, 1_000_000):  # about the square root of the larger parameter is needed
         for term in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
                      -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
             d = 1.0 + term * d
@@ -40,16 +40,27 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
     return value
 
 
-def betainc(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta function."""
+def _log_gamma_step(a: float, b: float) -> float:
+    """ln Gamma(a + b) - ln Gamma(a). For large a the difference of two Stirling series, which loses no digits."""
+    if a < 50.0:
+        return math.lgamma(a + b) - math.lgamma(a)
+    c = a + b
+    rest = sum(k * (c ** -p - a ** -p) for k, p in ((1 / 12, 1), (-1 / 360, 3), (1 / 1260, 5), (-1 / 1680, 7)))
+    return (a - 0.5) * math.log1p(b / a) + b * math.log(c) - b + rest
+
+
+def betainc(a: float, b: float, x: float, y: float | None = None) -> float:
+    """Regularised incomplete beta function. ``y`` is 1 - x, given where x is so near 1 that the difference loses digits."""
+    y = 1.0 - x if y is None else y
     if x <= 0.0:
         return 0.0
-    if x >= 1.0:
+    if y <= 0.0:
         return 1.0
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
+    step = _log_gamma_step(a, b) - math.lgamma(b) if a >= b else _log_gamma_step(b, a) - math.lgamma(a)
+    front = math.exp(step + a * (math.log1p(-y) if y < 0.5 else math.log(x)) + b * (math.log1p(-x) if x < 0.5 else math.log(y)))
     if x < (a + 1.0) / (a + b + 2.0):
         return front * _beta_fraction(a, b, x) / a
-    return 1.0 - front * _beta_fraction(b, a, 1.0 - x) / b
+    return 1.0 - front * _beta_fraction(b, a, y) / b
 
 
 def gammainc_upper(a: float, x: float) -> float:
@@ -88,11 +99,8 @@ def norm_ppf(q: float) -> float:
 
 
 def t_sf(t: float, dof: float) -> float:
-    """Upper tail of Student's t; a normal expansion takes over for very large dof."""
-    if dof > 1e6:
-        z = t * (1.0 - 1.0 / (4.0 * dof)) / math.sqrt(1.0 + t * t / (2.0 * dof))
-        return norm_sf(z)
-    tail = 0.5 * betainc(dof / 2.0, 0.5, dof / (dof + t * t))
+    """Upper tail of Student's t, by the same formula at all degrees of freedom."""
+    tail = 0.5 * betainc(dof / 2.0, 0.5, dof / (dof + t * t), t * t / (dof + t * t))
     return tail if t >= 0 else 1.0 - tail
 
 

@@ -37,10 +37,26 @@ def arm_steps(df: DataFrame, steps: list[str], user: str = "user_id", variant: s
     return wide.select(F.col(variant).alias("variant"), F.explode(rows).alias("r")).select("variant", "r.*")
 
 
+def funnel_of_present_steps(df: DataFrame, candidates: list[str] | tuple[str, ...] = DEFAULT_STEPS, **options) -> DataFrame | None:
+    """The funnel over those candidate steps that occur; None if fewer than two do."""
+    steps = present_steps(df, list(candidates))
+    return conditional_funnel(df, steps, **options) if len(steps) >= 2 else None
+
+
 def conditional_funnel(df: DataFrame, steps: list[str] | tuple[str, ...] = DEFAULT_STEPS, alpha: float = 0.05,
                        user: str = "user_id", variant: str = "variant",
-                       segment_filter: dict[str, object] | None = None) -> DataFrame:
-    """One row per step: rates per arm, change, two-proportion z-test, and whether it is the biggest drop-off."""
+                       segment_filter: dict[str, object] | None = None, check_steps: bool = True) -> DataFrame:
+    """One row per step: rates per arm, change, two-proportion z-test, and whether it is the biggest drop-off.
+
+    Fewer than two steps, and steps that do not occur in ``df``, raise; ``check_steps=False`` saves the job that looks.
+    """
+    if len(steps) < 2:
+        raise ValueError("a funnel needs at least two steps")
+    if check_steps:
+        there = present_steps(df, list(steps))
+        unknown = [s for s in steps if s not in there]
+        if unknown:
+            raise ValueError(f"steps not found: {unknown}")
     if segment_filter:
         df = where_equal(df, segment_filter)
     per_arm = arm_steps(df, list(steps), user, variant)

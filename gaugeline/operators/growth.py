@@ -6,7 +6,7 @@ those rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from gaugeline.functions.numbers import ratio
 
@@ -121,19 +121,24 @@ def component_changes(daily: DataFrame, date: str = "date", window_days: int = 2
         .select(*series, "component", "baseline_avg", "recent_avg", "delta", "pct_of_dau", "dominant")
 
 
+def day_of(df: DataFrame, date: str) -> Column:
+    """The day of a time column; dates and text dates stay as they are."""
+    return F.col(date).cast("date") if isinstance(df.schema[date].dataType, (T.TimestampType, T.TimestampNTZType)) else F.col(date)
+
+
 def split_date(daily: DataFrame, date: str, given: str | None = None) -> Column:
-    """The before/after cut: a given date or the middle distinct date (a one-value subquery over the dates)."""
+    """The before/after cut: a given date or the middle distinct day (a one-value subquery over the days)."""
     date_type = daily.schema[date].dataType
     if given is not None:
         return F.lit(given).cast(date_type)
-    dates = F.array_sort(F.collect_set(date))
-    return daily.agg(F.get(dates, F.floor(F.size(dates) / 2).cast("int")).alias("split")).scalar()
+    dates = F.array_sort(F.collect_set(day_of(daily, date)))
+    return daily.agg(F.get(dates, F.floor(F.size(dates) / 2).cast("int")).cast(date_type).alias("split")).scalar()
 
 
 def _segment_cells(df: DataFrame, metric: str, segment_cols: list[str], date: str) -> DataFrame:
-    """Sum and count per date and joint segments: every later number is a sum over these cells."""
+    """Sum and count per day and joint segments: every later number is a sum over these cells."""
     y = F.col(metric).cast("double")
-    return df.groupBy(date, *segment_cols).agg(F.sum(y).alias("_s"), F.count(y).alias("_n"), F.count(F.lit(1)).alias("_rows"))
+    return df.groupBy(day_of(df, date).alias(date), *segment_cols).agg(F.sum(y).alias("_s"), F.count(y).alias("_n"), F.count(F.lit(1)).alias("_rows"))
 
 
 def _unpivot_segments(cells: DataFrame, segment_cols: list[str]) -> DataFrame:
@@ -171,7 +176,7 @@ def segment_changes(df: DataFrame, metric: str, segment_cols: list[str], date: s
 def slice_and_dice(df: DataFrame, metric: str, dims: list[str], date: str = "date", split_at: str | None = None) -> DataFrame:
     """Per-day averages before and after the cut per dimension value; contribution is the signed share of the total change."""
     cells = _segment_cells(df, metric, dims, date)
-    facts = df.agg(F.collect_set(date).alias("d")).select(F.struct(F.array_sort("d").alias("dates")).alias("f")).scalar()
+    facts = df.agg(F.collect_set(day_of(df, date)).alias("d")).select(F.struct(F.array_sort("d").alias("dates")).alias("f")).scalar()
     cells = cells.withColumns({"_dates": facts["dates"], "_split": split_date(df, date, split_at)})
     days = lambda test: F.greatest(F.size(F.filter(F.col("_dates"), test)), F.lit(1))
     cells = cells.withColumns({"_after": F.col(date) >= F.col("_split"),

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from gaugeline.functions.names import week_number
+from gaugeline.functions.names import week_number_or_error
 from gaugeline.functions.numbers import as_double, ratio
 
 RAW = ("n", "s1", "s2", "s3")
@@ -67,10 +67,10 @@ def segment_moments(cells: DataFrame, segment_cols: list[str], metrics: list[str
 
 
 def week_moments(cells: DataFrame, metrics: list[str], week: str = "week", variant: str = "variant") -> DataFrame:
-    """Moments per normalised week and arm; labels of the same week merge, null weeks drop out."""
+    """Moments per normalised week and arm; labels of the same week merge, null weeks drop out, unreadable labels raise."""
     if week not in cells.columns:
         raise ValueError(f"no week column '{week}' in the extract")
-    numbered = cells.where(F.col(week).isNotNull()).withColumn("_week", week_number(F.col(week)))
+    numbered = cells.where(F.col(week).isNotNull()).withColumn("_week", week_number_or_error(F.col(week)))
     long = long_moments(numbered, ["_week", variant], metrics)
     return long.select("metric", F.col("_week").alias("week"), F.col(variant).alias("variant"), *RAW)
 

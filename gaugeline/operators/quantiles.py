@@ -5,7 +5,8 @@ That is right while the number of distinct values is bounded, so it is checked
 first. Beyond the bound the quantile is found by histogram descent: count
 logarithmic bins, descend into the bins that hold the wanted ranks, count finer
 bins there, and finish on the distinct values of the last bins. Every step is a
-partially aggregated count; nothing is dropped or approximated.
+partially aggregated count; nothing is dropped or approximated. Nulls and
+NaN are left out; infinities are ranked as the outermost values on both ways.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ def quantiles(df: DataFrame, value: str, probs: list[float], keys: list[str] | N
 
 def _coarse_bin(v: Column) -> Column:
     """Order-preserving logarithmic bin: independent of the data, about 64 per doubling."""
-    size = F.floor(F.log2(F.abs(v)) * _COARSE_PER_DOUBLING).cast("int") + 100_000
+    size = F.when(F.abs(v) == float("inf"), 1_000_000).otherwise(F.floor(F.log2(F.abs(v)) * _COARSE_PER_DOUBLING).cast("int") + 100_000)
     return F.when(v > 0, size).when(v < 0, -size).otherwise(0)
 
 
@@ -105,7 +106,8 @@ def histogram_descent(base: DataFrame, probs: list[float], keys: list[str]) -> D
     ends = targets.withColumn("_want", F.explode(F.array_distinct(F.array("_low", "_high"))))
     points = ends.join(found, [*keys, "_want"]).groupBy(*keys, "_i", "_part", "_total").agg(
         F.min("_value").alias("_a"), F.max("_value").alias("_b"))
-    points = points.withColumn("_q", F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_part"))
+    between = F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_part")
+    points = points.withColumn("_q", F.when((F.col("_part") == 0) | (F.col("_a") == F.col("_b")), F.col("_a")).otherwise(between))
     out = points.groupBy(*keys).agg(F.max("_total").alias("n"), F.transform(
         F.array_sort(F.collect_list(F.struct("_i", "_q"))), lambda s: s["_q"]).alias("quantiles"))
     return out.drop("_all") if anonymous else out

@@ -82,9 +82,13 @@ def daily_spend(records: DataFrame, caps: dict[str, float], at: str = "ts", user
     spent = records.where(F.col(amount) > 0).groupBy(utc_day(F.col(at)).alias("day"), scope_of(F.col(user), F.col(ip)).alias("scope")).agg(
         F.sum(amount).alias("spent"), F.count(F.lit(1)).alias("records"))
     everyone = spent.groupBy("day").agg(F.sum("spent").alias("spent"), F.sum("records").alias("records")).withColumn("scope", F.lit(GLOBAL_SCOPE))
-    both = spent.unionByName(everyone)
+    return against_caps(spent.unionByName(everyone), caps)
+
+
+def against_caps(spent: DataFrame, caps: dict[str, float]) -> DataFrame:
+    """Adds the cap of each scope and whether the spend has reached it; 0 turns a cap off."""
     limit = _limit(F.col("scope"), caps)
-    return both.withColumns({"cap": limit, "over": (limit > 0) & (F.col("spent") >= limit)})
+    return spent.withColumns({"cap": limit, "over": (limit > 0) & (F.col("spent") >= limit)})
 
 
 def guest_uploads(uploads: DataFrame, cap: int = 10, at: str = "ts", user: str = "user_id", ip: str = "ip") -> DataFrame:

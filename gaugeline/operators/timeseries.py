@@ -9,8 +9,8 @@ from gaugeline.functions.numbers import ratio
 
 
 def daily_series(df: DataFrame, value: str, date: str = "date", series: list[str] | None = None, agg: str = "sum") -> DataFrame:
-    """One row per series and date: the sum (or mean) of the value. Rows without a usable date drop out."""
-    day = F.col(date) if dict(df.dtypes)[date] != "string" else F.try_to_timestamp(date)
+    """One row per series and day: the sum (or mean) of the value. Rows without a usable date drop out."""
+    day = (F.col(date) if dict(df.dtypes)[date] != "string" else F.try_to_timestamp(date)).cast("date")
     y = F.col(value).cast("double")
     return df.withColumn("date", day).where(F.col("date").isNotNull()).groupBy(*(series or []), "date").agg(
         (F.sum(y) if agg == "sum" else F.avg(y)).alias("value"))

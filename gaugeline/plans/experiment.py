@@ -28,12 +28,13 @@ def _aggregate(kind: str, column: str) -> Column:
 
 
 def experiment_extract(events: DataFrame, experiment: DataFrame, spec: ExperimentSpec,
-                       week_from: str = "date") -> DataFrame:
+                       week_from: str = "date", last_week: int | None = None) -> DataFrame:
     """User-level experiment rows: metric, pre-period covariate, guardrails and segments.
 
     Both sides of the date cut are aggregated per user before any join, so a user with very many
     events is combined on the map side and joins as one row. ``week_from='date'`` puts every event in
-    its own week; ``week_from='assignment'`` repeats the whole period for every assigned week.
+    its own week; ``week_from='assignment'`` repeats the whole period for every assigned week. Events of all weeks
+    from the start on take part; ``last_week`` leaves out what comes after that week.
     """
     user, date = spec.user_id_col, spec.date_col
     start = experiment_start(experiment, spec, events)
@@ -41,10 +42,11 @@ def experiment_extract(events: DataFrame, experiment: DataFrame, spec: Experimen
     keys = [user, *segments]
     after = events.where(F.col(date) >= start)
     if week_from == "date":
-        # The end of the last week is a bound on the date column itself, so the scan can skip what lies beyond.
-        end = F.date_add(start.cast("date"), 7 * spec.experiment_weeks).cast(events.schema[date].dataType)
         week = F.floor(F.date_diff(F.col(date).cast("date"), start.cast("date")) / 7) + 1
-        after = after.where(F.col(date) < end).withColumn(spec.week_col, week.cast("int"))
+        if last_week is not None:
+            # a bound on the date column itself, so the scan can skip what lies beyond
+            after = after.where(F.col(date) < F.date_add(start.cast("date"), 7 * last_week).cast(events.schema[date].dataType))
+        after = after.withColumn(spec.week_col, week.cast("int"))
         keys.append(spec.week_col)
     during = after.groupBy(*keys).agg(
         _aggregate(spec.metric_agg, spec.metric_source_col).alias(spec.primary_metric),
@@ -76,6 +78,11 @@ def experiment_cells(extract: DataFrame, spec: ExperimentSpec) -> DataFrame:
     return cut_lineage(moments.cell_moments(extract, keys, metrics, spec.primary_metric, spec.covariate))
 
 
+def cuped_result(cells: DataFrame, spec: ExperimentSpec) -> DataFrame | None:
+    """CUPED of the primary metric; None where the covariate is the metric itself, which would explain everything."""
+    return None if spec.covariate == spec.primary_metric else abtest.cuped(moments.joint_moments(cells))
+
+
 def flagship(events: DataFrame, experiment: DataFrame, spec: ExperimentSpec) -> DataFrame:
     """Did the treatment move the metric? Welch test and CUPED on one row."""
     cells = experiment_cells(experiment_extract(events, experiment, spec), spec)

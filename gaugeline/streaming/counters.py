@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from gaugeline.operators.spend import scope_of
+from gaugeline.operators.spend import GLOBAL_SCOPE, scope_of
 
 
 def file_stream(spark: SparkSession, folder: str, schema: T.StructType, pattern: str = "*.parquet", files_per_trigger: int | None = None) -> DataFrame:
@@ -23,15 +23,20 @@ def event_rates(stream: DataFrame, key: str, at: str = "ts", window: str = "300
 
 
 def spend_by_day(stream: DataFrame, at: str = "ts", user: str = "user_id", ip: str = "ip", amount: str = "usd", lateness: str = "1 hour") -> DataFrame:
-    """Spend per UTC day and scope."""
+    """Spend per UTC day and scope, and of everyone. Caps are put on finished rows with :func:`spend.against_caps`."""
     timed = stream.withColumn(at, F.col(at).cast("timestamp")).where(F.col(amount) > 0).withWatermark(at, lateness)
-    spent = timed.groupBy(F.window(at, "1 day").alias("w"), scope_of(F.col(user), F.col(ip)).alias("scope")).agg(
+    scoped = timed.withColumn("scope", F.explode(F.array(scope_of(F.col(user), F.col(ip)), F.lit(GLOBAL_SCOPE))))
+    spent = scoped.groupBy(F.window(at, "1 day").alias("w"), "scope").agg(
         F.sum(amount).alias("spent"), F.count(F.lit(1)).alias("records"))
     return spent.select(F.to_date("w.start").alias("day"), "scope", "spent", "records")
 
 
 def run_to_parquet(result: DataFrame, out: str, checkpoint: str) -> None:
-    """Process what is available, write final rows to parquet and stop. Restarts resume from the checkpoint."""
-    q = result.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", checkpoint) \
-        .trigger(availableNow=True).start()
+    """Process what is available and stop, with every window in ``out``, also those that are still open.
+
+    Each batch replaces the rows written so far (complete mode), so a restart from the checkpoint or a repeated batch
+    leaves no row twice. Keep append mode for streams that never end.
+    """
+    q = result.writeStream.outputMode("complete").foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)) \
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()

@@ -74,8 +74,7 @@ pre AS (SELECT user_id, avg(value) AS pre_value FROM ev WHERE date < DATE '{STAR
 xt AS (
   SELECT d.user_id, a.variant, d.week, d.avg_value, coalesce(p.pre_value, 0) AS pre_value, d.error_rate, d.click_share,
          d.platform, d.user_segment
-  FROM during d JOIN (SELECT DISTINCT user_id, variant FROM ex) a USING (user_id) LEFT JOIN pre p USING (user_id)
-  WHERE d.week <= 2)"""
+  FROM during d JOIN (SELECT DISTINCT user_id, variant FROM ex) a USING (user_id) LEFT JOIN pre p USING (user_id))"""
 
 FUNNEL_SQL = """fu AS (
   SELECT user_id, event_type AS step, CASE WHEN value >= 20 THEN 1 ELSE 0 END AS completed

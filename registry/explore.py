@@ -171,6 +171,20 @@ def regression_query(spark, sf_dir):
     return regression.regress(table, hint="what drives l extendedprice").drop("p_value", "ci_lower", "ci_upper", "significant", "f_pvalue")
 
 
+@query("regression_one_category", "D39 D40 D41", """WITH m AS (SELECT quantile_cont(l_tax::DOUBLE, 0.5) AS med FROM lineitem WHERE l_tax > 0),
+x AS (SELECT l_extendedprice::DOUBLE AS y, CASE WHEN l_tax > 0 THEN l_tax::DOUBLE ELSE med END AS a, (l_linestatus = 'O')::INT::DOUBLE AS b FROM lineitem, m),
+c AS (SELECT count(*) AS n, covar_samp(a, a) AS aa, covar_samp(b, b) AS bb, covar_samp(a, b) AS ab, covar_samp(a, y) AS ay, covar_samp(b, y) AS byy, var_samp(y) AS yy FROM x),
+d AS (SELECT *, aa * bb - ab * ab AS det FROM c),
+e AS (SELECT *, (bb * ay - ab * byy) / det AS b1, (aa * byy - ab * ay) / det AS b2, n - 3 AS dof FROM d),
+r AS (SELECT *, (yy - b1 * ay - b2 * byy) * (n - 1) AS rss, 1 - (yy - b1 * ay - b2 * byy) / yy AS r2 FROM e),
+s AS (SELECT 'l_tax' AS feature, b1 AS coefficient, sqrt(bb / det * rss / dof / (n - 1)) AS std_err, aa * bb / det AS vif, * FROM r
+ UNION ALL SELECT 'l_linestatus_O', b2, sqrt(aa / det * rss / dof / (n - 1)), aa * bb / det, * FROM r)
+SELECT n AS n_obs, feature, coefficient, std_err, vif, r2 AS r_squared FROM s""", "vif r_squared", {"coefficient": 4, "std_err": 4})
+def regression_one_category(spark, sf_dir):
+    table = lineitem(spark, sf_dir).select("l_extendedprice", F.when(F.col("l_tax") > 0, F.col("l_tax")).alias("l_tax"), "l_linestatus")
+    return regression.regress(table).select("n_obs", "feature", "coefficient", "std_err", "vif", "r_squared")
+
+
 @query("regression_with_categories", "D38 D39 D40 D41 G1")
 def regression_with_categories(spark, sf_dir):
     table = lineitem(spark, sf_dir).select("l_extendedprice", "l_quantity", F.when(F.col("l_tax") > 0, F.col("l_tax")).alias("l_tax"),

@@ -277,7 +277,7 @@ def trailing_event_rate(spark, sf_dir):
 
 
 @query("streaming_event_rates", "V1", """WITH w AS (SELECT event_type, epoch_us(ts) // 60000000 - k AS m FROM events, generate_series(0, 4) g(k)), c AS (SELECT m * 60 AS start_s, event_type, count(*) AS events FROM w GROUP BY ALL)
-SELECT CAST(start_s AS BIGINT) AS start_s, event_type, events FROM c WHERE (start_s + 300) * 1000 <= (SELECT epoch_ms(max(ts)) FROM events) - 600000""")
+SELECT CAST(start_s AS BIGINT) AS start_s, event_type, events FROM c""")
 def streaming_event_rates(spark, sf_dir):
     schema = load(spark, sf_dir, "events").schema
     stream = counters.file_stream(spark, sf_dir, schema, "events.parquet")
@@ -286,15 +286,18 @@ def streaming_event_rates(spark, sf_dir):
     return spark.read.parquet(f"{folder}/out").select(F.unix_seconds("window_start").alias("start_s"), "event_type", "events")
 
 
-@query("streaming_daily_spend", "V2", """SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, CASE WHEN user_id % 3 = 0 THEN 'ip:unknown' ELSE 'user:' || user_id END AS scope, sum(value) AS spent, count(*) AS records FROM events
-WHERE value > 0 AND CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY ALL""", "", {"spent": 4})
+@query("streaming_daily_spend", "V2", """WITH s AS (SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, CASE WHEN user_id % 3 = 0 THEN 'ip:unknown' ELSE 'user:' || user_id END AS scope, value FROM events WHERE value > 0),
+t AS (SELECT day, scope, sum(value) AS spent, count(*) AS records FROM s GROUP BY ALL UNION ALL SELECT day, '__global__', sum(value), count(*) FROM s GROUP BY day)
+SELECT *, CAST(CASE WHEN scope = '__global__' THEN 5000 WHEN scope = 'ip:unknown' THEN 300 ELSE 0 END AS DOUBLE) AS cap,
+ CASE WHEN scope = '__global__' THEN spent >= 5000 WHEN scope = 'ip:unknown' THEN spent >= 300 ELSE false END AS over FROM t""", "cap", {"spent": 4})
 def streaming_daily_spend(spark, sf_dir):
     schema = load(spark, sf_dir, "events").schema
     stream = counters.file_stream(spark, sf_dir, schema, "events.parquet").withColumns({
         "user_id": F.when(F.col("user_id") % 3 == 0, F.concat(F.lit("guest-"), "user_id")).otherwise(F.col("user_id").cast("string")), "ip": F.lit(None).cast("string")})
     folder = f"{checkpoint_dir(spark)}/spend-{uuid.uuid4().hex}"
     counters.run_to_parquet(counters.spend_by_day(stream, amount="value"), f"{folder}/out", f"{folder}/state")
-    return spark.read.parquet(f"{folder}/out").withColumn("day", F.col("day").cast("string"))
+    done = spend.against_caps(spark.read.parquet(f"{folder}/out"), {"global": 5000.0, "guest": 300.0, "user": 0.0})
+    return done.withColumn("day", F.col("day").cast("string"))
 
 
 # Files and catalogs.
@@ -366,7 +369,7 @@ def annotated_catalog(spark, sf_dir):
 _NAMES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels")
 
 
-@query("catalog_hashes", "A12 A13 A14 A20 A23", """WITH t AS (SELECT * FROM (VALUES ('region', 'r_regionkey int' || chr(10) || 'r_name string'), ('labels', 'doc_id bigint' || chr(10) || 'quality int' || chr(10) || 'toxic int'),
+@query("catalog_hashes", "A13 A23", """WITH t AS (SELECT * FROM (VALUES ('region', 'r_regionkey int' || chr(10) || 'r_name string'), ('labels', 'doc_id bigint' || chr(10) || 'quality int' || chr(10) || 'toxic int'),
  ('nation', 'n_nationkey int' || chr(10) || 'n_name string' || chr(10) || 'n_regionkey int')) v("table", lines)), n AS (SELECT (SELECT count(*) FROM region) AS region, (SELECT count(*) FROM labels) AS labels, (SELECT count(*) FROM nation) AS nation)
 SELECT "table", substr(sha256(lines), 1, 16) AS schema_hash, CASE "table" WHEN 'region' THEN region WHEN 'labels' THEN labels ELSE nation END AS n_rows FROM t, n""")
 def catalog_hashes(spark, sf_dir):

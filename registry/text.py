@@ -217,12 +217,12 @@ def relevancy(spark, sf_dir):
 
 
 _FINDINGS = """kf AS (SELECT id, exp, CASE WHEN len(exp) = 0 THEN 1.0::DOUBLE ELSE len(list_filter(exp, lambda w: contains(lower(answer), w))) / len(exp) END AS findings
- FROM (SELECT id, answer, list_slice(list_distinct_ordered, 1, 5) AS exp FROM (SELECT id, answer, list_filter(regexp_extract_all(lower(task), '[a-z0-9]+'), lambda t: length(t) >= 3) AS list_distinct_ordered FROM pr)))"""
+ FROM (SELECT id, answer, list_distinct_ordered AS exp FROM (SELECT id, answer, list_filter(regexp_extract_all(lower(task), '[a-z0-9]+'), lambda t: length(t) >= 3) AS list_distinct_ordered FROM pr)))"""
 
 
 @query("key_findings", "H4 U3", f"WITH {PAIRS_SQL}, {_FINDINGS} SELECT id, findings FROM kf", "findings")
 def key_findings(spark, sf_dir):
-    expected = F.slice(F.filter(tx.word_tokens(F.col("task")), lambda t: F.length(t) >= 3), 1, 5)
+    expected = F.filter(tx.word_tokens(F.col("task")), lambda t: F.length(t) >= 3)
     return question_pairs(spark, sf_dir).select("id", ts.key_findings(F.col("answer"), expected).alias("findings"))
 
 
@@ -233,7 +233,7 @@ q AS (SELECT *, ((id % 2 = 0)::INT + 1 + (id % 5 = 0)::INT + 1 + 1) / 5 AS compl
 SELECT id, score, 0.6 * complete + 0.4 * capped AS quality FROM q""", "score quality")
 def composite_quality(spark, sf_dir):
     pairs = question_pairs(spark, sf_dir)
-    expected = F.slice(F.filter(tx.word_tokens(F.col("task")), lambda t: F.length(t) >= 3), 1, 5)
+    expected = F.filter(tx.word_tokens(F.col("task")), lambda t: F.length(t) >= 3)
     i = F.col("id")
     scored = pairs.join(vectors.pair_cosine(pairs, "id", "task", "answer"), "id").select(
         "id", ts.composite(F.when(i % 3 > 0, (i % 7) / 7), F.col("relevancy"), ts.key_findings(F.col("answer"), expected), F.size(expected) > 0).alias("score"))
@@ -241,7 +241,7 @@ def composite_quality(spark, sf_dir):
     return scored.select("id", "score", ts.quality(complete, F.col("score"), i % 4 == 0).alias("quality"))
 
 
-@query("labelled_report_scores", "H2 H5", f"""WITH nums AS (SELECT doc_id, len({numbers_sql('text')}) AS n FROM documents)
+@query("labelled_report_scores", "H1", f"""WITH nums AS (SELECT doc_id, len({numbers_sql('text')}) AS n FROM documents)
 SELECT quality, toxic, count(*) AS reports, avg(n) AS mean_score FROM nums JOIN labels USING (doc_id) GROUP BY ALL""", "mean_score")
 def labelled_report_scores(spark, sf_dir):
     cited = load_spread(spark, sf_dir, "documents").select("doc_id", F.size(tx.cited_numbers(F.col("text"))).cast("double").alias("score"))

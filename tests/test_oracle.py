@@ -5,6 +5,8 @@ import pytest
 from registry import check
 from registry.catalog import ENTRIES
 
+#: tested against numpy in test_explore.py; a second form of it has check SQL
+WITHOUT_SQL = {"regression_with_categories"}
 SF = "/root/testdata/sf0.001"
 
 
@@ -16,7 +18,7 @@ def con():
 @pytest.mark.parametrize("name", list(ENTRIES))
 def test_query(spark, con, name):
     verdict, detail, _ = check.run_check(spark, con, ENTRIES[name], SF)
-    assert verdict in ("exact", "close", "no sql"), f"{verdict}: {detail}"
+    assert verdict in ("exact", "close") or (verdict == "no sql" and name in WITHOUT_SQL), f"{verdict}: {detail}"
 
 
 def test_entry_points(spark):
