@@ -38,13 +38,13 @@ def _facts(bits: int):
         for frame in frames:
             out = []
             for doc, key, s in zip(frame["doc_id"], frame["key"], shingle_sets(frame["text"])):
-                out.append((doc, key, len(s), signature(s)))
+                out.append((doc, key, len(s), signature(s), bitmap(s)))
                 np.add.at(sketch, s.view(np.uint64) >> np.uint64(64 - bits), 1)
-            yield pd.DataFrame(out, columns=["doc_id", "key", "n", "sig"]).astype({"doc_id": "Int64", "key": "Int64"}).assign(
+            yield pd.DataFrame(out, columns=["doc_id", "key", "n", "sig", "bits"]).astype({"doc_id": "Int64", "key": "Int64"}).assign(
                 chunk=pd.Series([None] * len(out), dtype="Int32"), values=None)
         parts = sketch.reshape(-1, CHUNK)
         held = [k for k in range(len(parts)) if parts[k].any()]
-        yield pd.DataFrame({"doc_id": pd.Series([None] * len(held), dtype="Int64"), "key": pd.Series([None] * len(held), dtype="Int64"), "n": 0, "sig": 0,
+        yield pd.DataFrame({"doc_id": pd.Series([None] * len(held), dtype="Int64"), "key": pd.Series([None] * len(held), dtype="Int64"), "n": 0, "sig": 0, "bits": None,
                             "chunk": pd.Series(held, dtype="Int32"), "values": [zlib.compress(parts[k].tobytes(), 1) for k in held]})
     return run
 
@@ -108,16 +108,11 @@ def _tiles(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield done(*rest)
 
 
-def _sets(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _items(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The sorted shingles of wanted sets; of rows with one id, only those of the wanted set count."""
     for frame in frames:
-        keep, arrays, bits = [], [], []
-        for i, (sig, n, s) in enumerate(zip(frame["sig"], frame["n"], shingle_sets(frame["text"]))):
-            if len(s) == n and signature(s) == sig:
-                keep.append(i)
-                arrays.append(s.tobytes())
-                bits.append(bitmap(s))
-        out = frame.iloc[keep][["sig", "n", "csig", "cn"]]
-        yield out.assign(items=arrays, bits=bits)
+        out = [(sig, n, s.tobytes()) for sig, n, s in zip(frame["sig"], frame["n"], shingle_sets(frame["text"])) if len(s) == n and signature(s) == sig]
+        yield pd.DataFrame(out, columns=["sig", "n", "items"])
 
 
 @F.pandas_udf(T.BooleanType())
@@ -214,8 +209,8 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     docs = columns_of(documents, doc_id="doc_id:long", text="text").withColumn("key", F.coalesce("doc_id", F.xxhash64("text")))
     # about four shingles a bucket, up to 2**23 buckets (a fixed bound for what reaches driver and tasks)
     bits = int(min(23, max(14, np.ceil(np.log2(max(1.0, size_in_mb(documents) * 1e6 / 4 / 4))))))
-    mixed_rows = scratch.keep(docs.mapInPandas(_facts(bits), "doc_id long, key long, n int, sig long, chunk int, values binary"))
-    facts = mixed_rows.filter("chunk is null").select("doc_id", "key", "n", "sig")
+    mixed_rows = scratch.keep(docs.mapInPandas(_facts(bits), "doc_id long, key long, n int, sig long, bits binary, chunk int, values binary"))
+    facts = mixed_rows.filter("chunk is null").select("doc_id", "key", "n", "sig", "bits")
     levels = _levels(mixed_rows.filter("chunk is not null").select("chunk", "values"), bits)
     classes = facts.filter("n > 0").groupBy("sig", "n").agg(F.min("doc_id").alias("doc_id"), F.min("key").alias("key"))
 
@@ -225,19 +220,23 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     # one centre for each set: the one it shares most tiles with
     proposals = (tiles.filter("sig <> csig or n <> cn").groupBy("sig", "n", "csig", "cn").agg(F.count("*").alias("shared"))
                  .groupBy("sig", "n").agg(F.max(F.struct("shared", "csig", "cn")).alias("best")).select("sig", "n", "best.csig", "best.cn"))
-    centres = proposals.select(F.col("csig").alias("sig"), F.col("cn").alias("n"))
-    members = tiles.select("sig", "n").distinct().join(proposals, ["sig", "n"], "left")
-    wanted = members.join(classes, ["sig", "n"]).select("sig", "n", "csig", "cn", "key")
-    sets = scratch.keep(docs.select("key", "text").join(wanted, "key").mapInPandas(_sets, "sig long, n int, csig long, cn int, items binary, bits binary"))
-
-    def verified(pairs: DataFrame, known: str | None = None) -> DataFrame:
-        """Pairs (sig, n, csig, cn[, items]) whose sets link."""
+    members = tiles.select("sig", "n").distinct()
+    bits_of = scratch.keep(facts.select("sig", "n", "bits").join(members, ["sig", "n"]).dropDuplicates(["sig", "n"]))
+
+    def possible(pairs: DataFrame) -> DataFrame:
+        """Pairs (sig, n, csig, cn) that their bitmaps allow."""
+        other = bits_of.select(F.col("sig").alias("csig"), F.col("n").alias("cn"), F.col("bits").alias("cbits"))
+        return pairs.join(bits_of, ["sig", "n"]).join(other, ["csig", "cn"]).filter(_may_link("n", "bits", "cn", "cbits")).select("sig", "n", "csig", "cn")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Pairs whose sets link. Only sets of such pairs are made again from their texts."""
+        pairs = scratch.keep(pairs)
+        asked = pairs.select("sig", "n").union(pairs.select("csig", "cn")).distinct().join(classes, ["sig", "n"]).select("sig", "n", "key")
+        sets = scratch.keep(docs.select("key", "text").join(asked, "key").mapInPandas(_items, "sig long, n int, items binary"))
         other = sets.select(F.col("sig").alias("csig"), F.col("n").alias("cn"), F.col("items").alias("other"))
-        if known is None:
-            pairs = pairs.join(sets.select("sig", "n", "items"), ["sig", "n"])
-        return pairs.join(other, ["csig", "cn"]).filter(_linked("items", "other")).select("sig", "n", "csig", "cn")
+        return pairs.join(sets, ["sig", "n"]).join(other, ["csig", "cn"]).filter(_linked("items", "other")).select("sig", "n", "csig", "cn")
 
-    first = verified(sets.filter("csig is not null").select("sig", "n", "csig", "cn", "items"), "items")
+    first = verified(possible(proposals))
     # groups are named by document; a class without any id gets a number behind all ids
     named = scratch.keep(tiles.select("sig", "n").distinct().join(classes, ["sig", "n"]).select(
         "sig", "n", F.coalesce("doc_id", F.lit((1 << 63) - 1) - F.pmod("sig", F.lit(1 << 40))).alias("id")))
@@ -252,11 +251,8 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     placed = tiles.select("token", "sig", "n", "p").join(groups, ["sig", "n"])
     open_ = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("sets")).filter("lo <> hi").select("token", "sets")
     placed = scratch.keep(placed.join(open_, "token").select("token", "sig", "n", "p", "component", "sets"))
-    bits_of = sets.select("sig", "n", "bits")
-    few = (placed.filter(F.col("sets") <= SMALL).repartition("token").sortWithinPartitions("token")
-           .mapInPandas(_small_pairs, "sig long, n int, csig long, cn int").distinct()
-           .join(bits_of, ["sig", "n"]).join(bits_of.select(F.col("sig").alias("csig"), F.col("n").alias("cn"), F.col("bits").alias("cbits")), ["csig", "cn"])
-           .filter(_may_link("n", "bits", "cn", "cbits")).select("sig", "n", "csig", "cn"))
+    few = possible(placed.filter(F.col("sets") <= SMALL).repartition("token").sortWithinPartitions("token")
+                   .mapInPandas(_small_pairs, "sig long, n int, csig long, cn int").distinct())
     # large tiles in size bands: a set is compared (side 1) in its own, and is there to be compared with (side 0) in that and the next
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(4 / 3))).cast("int")
     large = placed.filter(F.col("sets") > SMALL).select("token", "sig", "n", "component", band.alias("band"))
@@ -266,7 +262,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     rows = rows.join(blocks, ["token", "band"]).withColumn("block", F.explode(F.when(F.col("side") == 1, F.array(F.pmod("sig", F.col("blocks"))))
                                                                              .otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))))
     banded = rows.join(bits_of, ["sig", "n"]).groupBy("token", "band", "block").applyInPandas(_band_pairs, "sig long, n int, csig long, cn int")
-    pairs = scratch.keep(few.union(banded).distinct())
+    pairs = few.union(banded).distinct()
     more = scratch.keep(by_name(verified(pairs)))
     # groups of the first round stand for their members
     top = connected(more.join(groups.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a")
