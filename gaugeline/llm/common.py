@@ -25,20 +25,32 @@ class Scratch:
         self.spark = spark
         self.root = f"{checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
         self.count = 0
+        self.held: list[tuple[DataFrame, str]] = []
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.count += 1
         path = f"{self.root}/t{self.count}"
         df.write.parquet(path, compression="zstd")
         kept = self.spark.read.schema(df.schema).parquet(path)
-        kept._scratch_path = path
+        self.held.append((kept, path))
         return kept
 
     def release(self, *tables: DataFrame) -> None:
-        jvm = self.spark._jvm
-        for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(t._scratch_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        """Delete tables that no plan reads any more."""
+        gone = [h for h in self.held if any(h[0] is t for t in tables)]
+        self.held = [h for h in self.held if not any(h[0] is t for t in tables)]
+        for _, path in gone:
+            self._delete(path)
+
+    def finish(self, df: DataFrame) -> DataFrame:
+        """Keep the result and delete all that it was made from."""
+        done = self.keep(df)
+        self.release(*[t for t, _ in self.held if t is not done])
+        return done
+
+    def _delete(self, folder: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def columns_of(df: DataFrame, **wanted: str) -> DataFrame:

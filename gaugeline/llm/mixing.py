@@ -163,7 +163,7 @@ def mix(documents: DataFrame, sources=None, weights: Sequence[float] | None = No
         if not best:
             break
         extra |= {(r.pattern, r.before): 1 for r in best}
-    return filled.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "tie")
+    return scratch.finish(filled.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "tie"))
 
 
 def _named(documents: DataFrame, sources) -> DataFrame:

@@ -272,8 +272,8 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     # a class shows its group's smallest id, or its own
     shown = (classes.join(final, ["sig", "n"], "left").select("sig", "n", F.coalesce("component", "doc_id").alias("c"))
              .select("sig", "n", F.when(F.col("c") < (1 << 63) - 1 - (1 << 40), F.col("c")).alias("component_id")))
-    return (facts.join(shown, ["sig", "n"], "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"),
-                                                          F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
+    return scratch.finish(facts.join(shown, ["sig", "n"], "left").select(
+        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
 
 
 def first_of_each_group(documents: DataFrame) -> DataFrame:

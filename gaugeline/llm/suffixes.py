@@ -313,7 +313,7 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, kmer: int = KMER)
     whole = classes.filter("n > 1").select("akey", "context", F.lit(length).cast("long").alias("l"), F.lit(length).cast("long").alias("r"))
     result = scratch.keep(solved.filter("r > 0").union(whole).groupBy("akey", "context").agg(F.max("l").alias("l"), F.max("r").alias("r")))
     spans = found.join(result, ["akey", "context"]).select("k", F.struct(F.greatest(F.lit(0).cast("long"), F.col("pos") - F.least(F.col("l"), F.lit(length - kmer))).alias("start"), (F.col("pos") + F.col("r")).alias("end")).alias("span"))
-    return spans.groupBy("k").agg(F.collect_set("span").alias("spans"))
+    return scratch.finish(spans.groupBy("k").agg(F.collect_set("span").alias("spans")))
 
 
 def without_repeats(documents: DataFrame, length: int = LENGTH, kmer: int = KMER) -> DataFrame:

@@ -101,7 +101,8 @@ def fit(sample: DataFrame, z: float = 3.0, regularisation: float = 0.01) -> Mode
     rows = {r.chunk: np.frombuffer(r["values"], dtype="<i8") for r in tree_sum(sample.mapInPandas(_counts, "chunk int, values binary"), "<i4").collect()}
     weights = np.zeros(1 << BITS, dtype=np.float64)
     seen = rows.pop(-1, np.zeros(2, np.int64))
-    base = float(np.log((seen[1] + 1) / (seen[0] + 1)))
+    # without labels a text counts as clean
+    base = float(np.log((seen[1] + 0.1) / (seen[0] + 1)))
     if not seen.min():
         return Model(weights, base)
     q, p = np.concatenate([rows[k] for k in sorted(rows)]).reshape(2, -1) + 1.0
