@@ -184,9 +184,13 @@ def _may_link(n: pd.Series, bits: pd.Series, m: pd.Series, others: pd.Series) ->
 
 
 def _band_pairs(frame: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of a tile's band that may link: sizes fit, groups differ, and the bitmaps allow the overlap."""
+    """Pairs of a band of a tile or family that may link: sizes fit, groups differ, and the bitmaps allow the overlap.
+
+    Two sets of one family meet there and in no tile.
+    """
     frame = frame.sort_values(["n", "sig"], kind="stable").reset_index(drop=True)
     n, group, sig = frame["n"].to_numpy(np.int64), frame["component"].to_numpy(), frame["sig"].to_numpy()
+    family = frame["family"].to_numpy() if frame["token"].notna().all() else None
     left = frame.index[frame["side"] == 0].to_numpy()
     raw = [np.frombuffer(b, dtype=np.uint8) for b in frame["bits"]]
     width = min(len(b) for b in raw)
@@ -194,12 +198,14 @@ def _band_pairs(frame: pd.DataFrame) -> pd.DataFrame:
     out = []
     for i in frame.index[frame["side"] == 1]:
         j = left[(4 * n[left] >= 3 * n[i]) & ((n[left] < n[i]) | ((n[left] == n[i]) & (sig[left] < sig[i]))) & (group[left] != group[i])]
+        if family is not None:
+            j = j[family[j] != family[i]]
         if len(j):
             apart = _ONES[maps[j] ^ maps[i]].sum(axis=1, dtype=np.int64)
             most = (n[j] + n[i] - apart) // 2  # every differing bit is a member of only one set
-            j = j[100 * most >= 75 * (n[j] + n[i] - most)]
-            out.append(pd.DataFrame({"sig": sig[i], "n": n[i], "csig": sig[j], "cn": n[j]}))
-    return pd.concat(out) if out else pd.DataFrame({"sig": [], "n": [], "csig": [], "cn": []}).astype("int64")
+            may = 100 * most >= 75 * (n[j] + n[i] - most)
+            out.append(pd.DataFrame({"sig": sig[i], "n": n[i], "csig": sig[j[may]], "cn": n[j[may]], "likely": most[may] / (n[j[may]] + n[i] - most[may])}))
+    return pd.concat(out) if out else pd.DataFrame({"sig": [], "n": [], "csig": [], "cn": [], "likely": []}).astype({"sig": "int64", "n": "int64", "csig": "int64", "cn": "int64", "likely": "float64"})
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -236,7 +242,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         other = sets.select(F.col("sig").alias("csig"), F.col("n").alias("cn"), F.col("items").alias("other"))
         return pairs.join(sets, ["sig", "n"]).join(other, ["csig", "cn"]).filter(_linked("items", "other")).select("sig", "n", "csig", "cn")
 
-    first = verified(possible(proposals))
+    near_centre = scratch.keep(possible(proposals))
     # groups are named by document; a class without any id gets a number behind all ids
     named = scratch.keep(tiles.select("sig", "n").distinct().join(classes, ["sig", "n"]).select(
         "sig", "n", F.coalesce("doc_id", F.lit((1 << 63) - 1) - F.pmod("sig", F.lit(1 << 40))).alias("id")))
@@ -245,30 +251,47 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         return (links.join(named.withColumnRenamed("id", "a"), ["sig", "n"])
                 .join(named.select(F.col("sig").alias("csig"), F.col("n").alias("cn"), F.col("id").alias("b")), ["csig", "cn"]).select("a", "b"))
 
-    links = scratch.keep(by_name(first))
-    groups = scratch.keep(named.join(connected(links), "id", "left").select("sig", "n", "id", F.coalesce("component", "id").alias("component")))
+    links = scratch.keep(by_name(verified(near_centre)))
+    # a family: sets whose bitmaps allow a link to their centre, and those of that centre
+    families = connected(by_name(near_centre)).withColumnRenamed("component", "family")
+    groups = scratch.keep(named.join(connected(links), "id", "left").join(families, "id", "left").select(
+        "sig", "n", "id", F.coalesce("component", "id").alias("component"), F.coalesce("family", "id").alias("family")))
 
     placed = tiles.select("token", "sig", "n", "p").join(groups, ["sig", "n"])
     open_ = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("sets")).filter("lo <> hi").select("token", "sets")
-    placed = scratch.keep(placed.join(open_, "token").select("token", "sig", "n", "p", "component", "sets"))
+    placed = scratch.keep(placed.join(open_, "token").select("token", "sig", "n", "p", "component", "family", "sets"))
     few = possible(placed.filter(F.col("sets") <= SMALL).repartition("token").sortWithinPartitions("token")
                    .mapInPandas(_small_pairs, "sig long, n int, csig long, cn int").distinct())
-    # large tiles in size bands: a set is compared (side 1) in its own, and is there to be compared with (side 0) in that and the next
+    # large tiles and families in size bands: a set is compared (side 1) in its own, and is there to be compared with (side 0)
+    # in that and the next
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(4 / 3))).cast("int")
-    large = placed.filter(F.col("sets") > SMALL).select("token", "sig", "n", "component", band.alias("band"))
+    apart = groups.groupBy("family").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("family")
+    large = placed.filter(F.col("sets") > SMALL).select("token", "family", "sig", "n", "component", band.alias("band")).union(
+        groups.join(apart, "family").select(F.lit(None).cast("long").alias("token"), "family", "sig", "n", "component", band.alias("band")))
+    large = scratch.keep(large.withColumn("place", F.coalesce("token", "family")).withColumn("kind", F.col("token").isNull()))
     rows = large.select("*", F.lit(1).alias("side")).union(large.select("*", F.lit(0).alias("side"))).union(
         large.withColumn("band", F.col("band") + 1).select("*", F.lit(0).alias("side")))
-    blocks = large.groupBy("token", "band").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
-    rows = rows.join(blocks, ["token", "band"]).withColumn("block", F.explode(F.when(F.col("side") == 1, F.array(F.pmod("sig", F.col("blocks"))))
-                                                                             .otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))))
-    banded = rows.join(bits_of, ["sig", "n"]).groupBy("token", "band", "block").applyInPandas(_band_pairs, "sig long, n int, csig long, cn int")
-    pairs = few.union(banded).distinct()
-    more = scratch.keep(by_name(verified(pairs)))
-    # groups of the first round stand for their members
-    top = connected(more.join(groups.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a")
-                    .join(groups.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-    final = groups.join(top.select(F.col("id").alias("component"), F.col("component").alias("top")), "component", "left").select(
-        "sig", "n", F.coalesce("top", "component").alias("component"))
+    blocks = large.groupBy("kind", "place", "band").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
+    rows = rows.join(blocks, ["kind", "place", "band"]).withColumn("block", F.explode(F.when(F.col("side") == 1, F.array(F.pmod("sig", F.col("blocks"))))
+                                                                                     .otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))))
+    kind = "sig long, n int, csig long, cn int, likely double"
+    banded = rows.join(bits_of, ["sig", "n"]).groupBy("kind", "place", "band", "block").applyInPandas(_band_pairs, kind)
+    pairs = scratch.keep(few.withColumn("likely", F.lit(0.0)).union(banded).groupBy("sig", "n", "csig", "cn").agg(F.max("likely").alias("likely")))
+
+    def in_groups(found: DataFrame, of: DataFrame) -> DataFrame:
+        """Adds ca and cb, the groups of both sets."""
+        return (found.join(of.select("sig", "n", F.col("component").alias("ca")), ["sig", "n"])
+                .join(of.select(F.col("sig").alias("csig"), F.col("n").alias("cn"), F.col("component").alias("cb")), ["csig", "cn"]))
+
+    # the likeliest pair of each set first; it joins most of what belongs together, and only pairs still apart follow
+    likeliest = pairs.groupBy("sig", "n").agg(F.max(F.struct("likely", "csig", "cn")).alias("best")).select("sig", "n", "best.csig", "best.cn")
+    for candidates in (likeliest, pairs):
+        waiting = in_groups(candidates.select("sig", "n", "csig", "cn"), groups).filter("ca <> cb").select("sig", "n", "csig", "cn")
+        linked = in_groups(verified(waiting), groups).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        top = connected(scratch.keep(linked))
+        groups = scratch.keep(groups.join(top.select(F.col("id").alias("component"), F.col("component").alias("top")), "component", "left").select(
+            "sig", "n", "id", F.coalesce("top", "component").alias("component")))
+    final = groups.select("sig", "n", "component")
     # a class shows its group's smallest id, or its own
     shown = (classes.join(final, ["sig", "n"], "left").select("sig", "n", F.coalesce("component", "doc_id").alias("c"))
              .select("sig", "n", F.when(F.col("c") < (1 << 63) - 1 - (1 << 40), F.col("c")).alias("component_id")))
