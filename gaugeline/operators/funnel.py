@@ -48,10 +48,8 @@ def conditional_funnel(df: DataFrame, steps: list[str] | tuple[str, ...] = DEFAU
                        segment_filter: dict[str, object] | None = None, check_steps: bool = True) -> DataFrame:
     """One row per step: rates per arm, change, two-proportion z-test, and whether it is the biggest drop-off.
 
-    Fewer than two steps, and steps that do not occur in ``df``, raise; ``check_steps=False`` saves the job that looks.
+    Steps that do not occur in ``df`` raise; ``check_steps=False`` saves the job that looks.
     """
-    if len(steps) < 2:
-        raise ValueError("a funnel needs at least two steps")
     if check_steps:
         there = present_steps(df, list(steps))
         unknown = [s for s in steps if s not in there]

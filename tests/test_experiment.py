@@ -180,7 +180,8 @@ def test_extract_weeks_and_double_assignment(spark):
     exp = spark.createDataFrame([(u, v, "2024-01-10", w) for u, v in (("a", "control"), ("b", "treatment")) for w in (1, 2)], "user_id string, variant string, assignment_date string, week int")
     spec = ExperimentSpec("v", "pre", metric_source_col="v", covariate_source_col="v")
     dated = {(r["user_id"], r["week"]): r for r in plan.experiment_extract(events, exp, spec).collect()}
-    assert dated["a", 1]["v"] == 3.0 and dated["a", 2]["v"] == 5.0 and dated["a", 1]["pre"] == 1.0 and dated["b", 1]["pre"] == 0.0 and len(dated) == 3
+    assert dated["a", 1]["v"] == 3.0 and dated["a", 2]["v"] == 5.0 and dated["a", 1]["pre"] == 1.0 and dated["b", 1]["pre"] == 0.0 and dated["a", 3]["v"] == 9.0 and len(dated) == 4
+    assert plan.experiment_extract(events, exp, spec, last_week=2).count() == 3
     assigned = {(r["user_id"], r["week"]): r for r in plan.experiment_extract(events, exp, spec, "assignment").collect()}
     assert len(assigned) == 4 and assigned["a", 1]["v"] == assigned["a", 2]["v"] == pytest.approx(17 / 3)
 
