@@ -3,8 +3,7 @@
 A document's terms are its lower-cased words, weighted by how often they occur. For each of ``samples`` positions k every
 term draws r and c from Gamma(2, 1) and b uniform, all fixed by a hash of term and k. With t = floor(ln(w) / r + b) the term
 scores ln(c) - r * (t - b) - r, and the smallest score's (term, t) is the sample at k. Two documents agree at k with a
-probability equal to their generalised Jaccard similarity, sum of smaller over sum of larger weights. The draws are read
-from tables of gamma quantiles, so one hash gives all of them.
+probability equal to their generalised Jaccard similarity, sum of smaller over sum of larger weights.
 
 Defined results: a null text is empty; a text without words has an empty fingerprint, which is like another empty one
 (likeness 1) and unlike any other (0). Rows of the same doc_id share their neighbour; the next document of an id is the
@@ -13,50 +12,32 @@ next larger id (of equal ids, the row of the smallest text), after the last the
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gaugeline.llm.common import WORD_BREAK, Scratch, parts_for
 
 SAMPLES = 64
-#: quantiles in the tables of r and c; below ``TAIL`` c is computed, as the smallest draws decide
-STEPS = 512
-TAIL = 1 / 64
+#: samples drawn from one row; a term comes as one row per such batch, which keeps the generated code small
+BATCH = 8
 LEAST = -(1 << 63)
 
 
-def gamma_quantiles(steps: int = STEPS) -> np.ndarray:
-    """Midpoint quantiles of Gamma(2, 1), whose distribution function is 1 - (1 + x) exp(-x), by bisection."""
-    p = (np.arange(steps) + 0.5) / steps
-    lo, hi = np.zeros(steps), np.full(steps, 60.0)
-    for _ in range(80):
-        mid = (lo + hi) / 2
-        below = 1 - (1 + mid) * np.exp(-mid) < p
-        lo, hi = np.where(below, mid, lo), np.where(below, hi, mid)
-    return (lo + hi) / 2
+def _gamma(h: Column) -> Column:
+    """A draw from Gamma(2, 1), minus the logarithm of a product of two uniforms, from the halves of a hash."""
+    high = (F.shiftrightunsigned(h, 32).cast("double") + 0.5) / float(1 << 32)
+    low = (h.bitwiseAND(F.lit((1 << 32) - 1)).cast("double") + 0.5) / float(1 << 32)
+    return -F.log(high * low)
 
 
-def _table(values: np.ndarray) -> Column:
-    """A constant array: one literal once the optimizer has folded it."""
-    return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")
-
-
-def _sample(term: Column, log_weight: Column, k: int, r: Column, log_c: Column) -> Column:
+def _sample(h: Column, log_weight: Column) -> Column:
     """One long: the score's order-preserving bits above, a hash of (term, t) below; the smallest is the sample."""
-    h = F.xxhash64(term, F.lit(k))
-    bits = lambda shift, width: F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << width) - 1))
-    draw = F.get(r, bits(0, 9).cast("int"))
-    u = (bits(9, 30).cast("double") + 0.5) / float(1 << 30)
-    b = (bits(39, 24).cast("double") + 0.5) / float(1 << 24)
-    # the inverse of x**2 / 2 - x**3 / 3 + ..., the distribution function near 0
-    s = F.sqrt(u * 2.0)
-    tail = F.log(s * (1.0 + s / 3.0 + s * s * (11.0 / 72.0)))
-    ln_c = F.when(u < TAIL, tail).otherwise(F.get(log_c, bits(30, 9).cast("int")))
-    t = F.floor(log_weight / draw + b)
-    score = ln_c - draw * (t.cast("double") - b) - draw
-    # scores lie between -60 and 20; 24 bits behind the point
+    r = _gamma(h)
+    b = (F.shiftrightunsigned(F.xxhash64(h, F.lit(2)), 11).cast("double") + 0.5) / float(1 << 53)
+    t = F.floor(log_weight / r + b)
+    score = F.log(_gamma(F.xxhash64(h, F.lit(1)))) - r * (t.cast("double") - b) - r
+    # scores lie between -100 and 20; 24 bits behind the point
     place = ((score + 100.0) * float(1 << 24)).cast("long")
-    return F.shiftleft(place, 31).bitwiseOR(F.xxhash64(term, F.lit(k), t).bitwiseAND(F.lit((1 << 31) - 1)))
+    return F.shiftleft(place, 31).bitwiseOR(F.xxhash64(h, t).bitwiseAND(F.lit((1 << 31) - 1)))
 
 
 def successors(documents: DataFrame) -> DataFrame:
@@ -78,14 +59,15 @@ def signatures(rows: DataFrame, place: str, key: str, texts: str, samples: int =
     ``rows`` must be partitioned by ``place``, which ``key`` determines: splitting, counting and taking minima stay where
     the rows are. A text without words has a null fingerprint; without any, the key has no row.
     """
-    values = gamma_quantiles()
-    r, log_c = _table(values), _table(np.log(values))
     words = (rows.select(place, key, F.posexplode(texts).alias("v", "text")).select(place, key, "v", F.explode(F.split(F.lower("text"), WORD_BREAK)).alias("word"))
              .filter("word <> ''").select(place, key, "v", F.xxhash64("word").alias("term")))
-    weights = words.groupBy(place, key, "v", "term").agg(F.count("*").alias("w")).select(place, key, "v", "term", F.log(F.col("w").cast("double")).alias("lw"))
-    least = weights.groupBy(place, key, "v").agg(*[F.min(_sample(F.col("term"), F.col("lw"), k, r, log_c)).alias(f"s{k}") for k in range(samples)])
-    text = F.concat(*[F.lpad(F.hex(F.col(f"s{k}").bitwiseAND(F.lit(0xFFFF))), 4, "0") for k in range(samples)])
-    return least.select(place, key, "v", text.alias("fp")).groupBy(place, key).agg(*[F.max(F.when(F.col("v") == v, F.col("fp"))).alias(f"fp{v}") for v in (0, 1)])
+    weights = words.groupBy(place, key, "v", "term").agg(F.count("*").alias("w"))
+    batches = weights.select(place, key, "v", "term", F.log(F.col("w").cast("double")).alias("lw"), F.explode(F.sequence(F.lit(0), F.lit(samples // BATCH - 1))).alias("g"))
+    least = batches.groupBy(place, key, "v", "g").agg(*[F.min(_sample(F.xxhash64("term", "g", F.lit(j)), F.col("lw"))).alias(f"s{j}") for j in range(BATCH)])
+    part = F.concat(*[F.lpad(F.hex(F.col(f"s{j}").bitwiseAND(F.lit(0xFFFF))), 4, "0") for j in range(BATCH)])
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("g", part.alias("part")))), lambda x: x["part"]), "")
+    whole = least.groupBy(place, key, "v").agg(text.alias("fp"))
+    return whole.groupBy(place, key).agg(*[F.max(F.when(F.col("v") == v, F.col("fp"))).alias(f"fp{v}") for v in (0, 1)])
 
 
 def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
