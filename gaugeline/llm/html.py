@@ -2,10 +2,12 @@
 
 Pages of one host share a template. One page of each host, the pivot, is aligned with every page of the host by simple tree
 matching (largest number of matched nodes of equal tags, in order, by dynamic programming over child lists). A pivot node is
-a slot; over all pages of the host, each slot's values are counted. A slot whose values are mostly one value, or few values
-that rotate, is template; the others vary and hold content. The content root is the slot of a container that holds most of
-the varying text. A page's text is what stands under its content root, less template slots and less nodes that by tag, class
-or role are menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or reader comments.
+a slot; over the pages of the host that differ in text, each slot's values are counted, so copies of a page have one vote
+together; within an article, over articles that differ. A slot whose values are mostly one value, or few values that rotate,
+is template; the others vary and hold content. What holds the only article, or is a container and the only block of its
+level, is never template. The content root is the slot of a container that holds most of the varying text. A page's text is
+what stands under its content root, less template slots and less nodes that by tag, class or role are menus, headers,
+footers, sidebars, notices, adverts, forms, scripts, styles or reader comments.
 
 Defined results: null or empty html gives an empty text. A page that has no node at the content root is read from its body by
 tag, class and role alone. Pages with a null url form one host. Repeated rows give repeated results. An empty table gives no
@@ -28,7 +30,7 @@ DEPTH = 120
 BROADCAST_MB = 32
 #: the pages of one host are dealt to so many join keys where pivots are not broadcast
 SALTS = 64
-#: pages that must fill a slot before its values can make it template
+#: different pages that must fill a slot before its values can make it template
 EVIDENCE = 20
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -225,7 +227,7 @@ def _walk(root: Node) -> Iterator[tuple[Node, Node | None, bool]]:
 
 
 def _slots(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For each page and matched slot: the value's hash and length; only containers and blocks have values."""
+    """For each page and matched slot: the text of its article or page as a hash, the value's hash and length; only containers and blocks have values."""
     pivots: dict[str, Node] = {}
     for frame in frames:
         out = []
@@ -235,11 +237,14 @@ def _slots(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 numbered(pivots[host])
             tree = parse(page or "")
             align(pivots[host], tree)
-            for node, _, _ in _walk(tree):
+            within: dict[int, int] = {}
+            for node, parent, _ in _walk(tree):
+                text = text_of(node) if node.tag in BLOCKS else ""
+                around = within[id(parent)] if parent else _stable(text_of(tree))
+                within[id(node)] = _stable(text) if node.tag in ("article", "main") else around
                 if node.slot is not None and (node.tag in BLOCKS):
-                    text = text_of(node)
-                    out.append((host, node.slot, _stable(text), len(text)))
-        yield pd.DataFrame(out, columns=["host", "slot", "value", "length"])
+                    out.append((host, around, node.slot, _stable(text), len(text)))
+        yield pd.DataFrame(out, columns=["host", "page", "slot", "value", "length"])
 
 
 def _stable(text: str) -> int:
@@ -247,6 +252,44 @@ def _stable(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
+def never_template(pivot: Node) -> frozenset[int]:
+    """Slots from the root down to the only article or main part, or else down containers that are the only block of their level."""
+    out, node = {pivot.slot}, pivot
+    while True:
+        outer = _outermost(node)
+        if len(outer) == 1:
+            path = outer[0]
+        elif not outer:
+            path = [c for c in node.elements() if c.tag in BLOCKS and not skipped(c, False)]
+            if len(path) != 1 or path[0].tag not in CONTAINERS:
+                return frozenset(out)
+        else:
+            # several articles: what holds all of them
+            path = [a for a in outer[0] if all(any(a is b for b in p) for p in outer)]
+            return frozenset(out | {n.slot for n in path})
+        out.update(n.slot for n in path)
+        node = path[-1]
+
+
+def _outermost(node: Node) -> list[list[Node]]:
+    """Of each article or main part below ``node`` that is in no other: the elements from below ``node`` to it."""
+    out, above = [], {}
+    stack = [(c, node) for c in reversed(node.elements())]
+    while stack:
+        x, parent = stack.pop()
+        if skipped(x, False):
+            continue
+        above[id(x)] = parent
+        if x.tag in ("article", "main"):
+            path = [x]
+            while above[id(path[-1])] is not node:
+                path.append(above[id(path[-1])])
+            out.append(path[::-1])
+        else:
+            stack.extend((c, x) for c in reversed(x.elements()))
+    return out
+
+
 def content_root(pivot: Node, varying: dict[int, float]) -> int:
     """The innermost container slot that holds most of what varies, on the average of pages."""
     best = pivot
@@ -267,7 +310,8 @@ def _extract(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 tree = parse(pivot or "")
                 numbered(tree)
                 facts = list(facts) if facts is not None else []
-                wrappers[host] = (tree, content_root(tree, {f["slot"]: f["varies"] for f in facts}), frozenset(f["slot"] for f in facts if f["template"]))
+                template = frozenset(f["slot"] for f in facts if f["template"]) - never_template(tree)
+                wrappers[host] = (tree, content_root(tree, {f["slot"]: 0.0 if f["slot"] in template else f["length"] for f in facts}), template)
             tree, root, template = wrappers[host]
             own = parse(page or "")
             align(tree, own)
@@ -299,11 +343,13 @@ def main_text(pages: DataFrame) -> DataFrame:
         salted = table.withColumn("salt", F.pmod(F.xxhash64("page_id", "html"), F.lit(SALTS)))
         return salted.join(facts.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["host", "salt"], "left").drop("salt")
 
-    values = with_host(rows, pivots).select("host", "html", "pivot").mapInPandas(_slots, "host string, slot int, value long, length int")
-    counted = values.groupBy("host", "slot", "value").agg(F.count("*").alias("n"), F.sum("length").alias("length"))
+    values = with_host(rows, pivots).select("host", "html", "pivot").mapInPandas(_slots, "host string, page long, slot int, value long, length int")
+    # one vote for each different page, however often it comes back
+    votes = values.groupBy("host", "page", "slot", "value").agg(F.max("length").alias("length"))
+    counted = votes.groupBy("host", "slot", "value").agg(F.count("*").alias("n"), F.sum("length").alias("length"))
     slots = counted.groupBy("host", "slot").agg(F.sum("n").alias("pages"), F.count("*").alias("distinct"), F.max("n").alias("most"), F.sum("length").alias("length"))
     # one value on nearly all pages, or values that come back ten times on the average; few pages prove nothing
     template = (F.col("pages") >= EVIDENCE) & ((5 * F.col("most") > 4 * F.col("pages")) | (F.col("pages") >= 10 * F.col("distinct")))
-    slots = slots.select("host", F.struct("slot", template.alias("template"), F.when(template, 0.0).otherwise(F.col("length").cast("double")).alias("varies")).alias("fact"))
+    slots = slots.select("host", F.struct("slot", template.alias("template"), F.col("length").cast("double").alias("length")).alias("fact"))
     wrappers = scratch.keep(slots.groupBy("host").agg(F.collect_list("fact").alias("facts")).join(pivots, "host", "right"))
     return with_host(rows, wrappers).select("page_id", "url", "html", "host", "pivot", "facts").mapInPandas(_extract, "page_id long, url string, text string, n_chars long")

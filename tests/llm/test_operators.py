@@ -240,6 +240,16 @@ def test_main_text_of_pages(spark):
     assert len(got) == len(rows) and by[200] == "" and by[201] == "" and by[202] == "plain <text" and by[203] == "deep" and (got.n_chars == got.text.str.len()).all()
 
 
+@pytest.mark.parametrize("stamp", ["", "<p>Served at {}</p>"])
+def test_main_text_of_a_host_of_copies(spark, stamp):
+    page = lambda k: f"<body><div><h2>News</h2></div><article><h1>Title {k}</h1><p>First of {k}</p><p>Second of {k}</p></article>"
+    rows = [(i, "http://h.example.com/", page(0 if i < 270 else i) + stamp.format(i)) for i in range(300)]
+    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    for i in range(300):
+        k = 0 if i < 270 else i
+        assert f"Title {k}\nFirst of {k}\nSecond of {k}" in got[i], i
+
+
 def test_tree_matching_is_largest(rng):
     def tree(depth):
         n = html.Node(rng.choice("ab"))
