@@ -11,13 +11,14 @@ footers, sidebars, notices, adverts, forms, scripts, styles or reader comments.
 
 Defined results: null or empty html gives an empty text. A page that has no node at the content root is read from its body by
 tag, class and role alone. Pages with a null url form one host. Repeated rows give repeated results. An empty table gives no
-rows. Elements nested more than ``DEPTH`` deep count as children of the element at that depth.
+rows. Elements may be nested to any depth.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -25,7 +26,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from gaugeline.llm.common import Scratch
 
-DEPTH = 120
 #: pivots of all hosts together are broadcast up to this size, and joined by shuffle beyond it
 BROADCAST_MB = 32
 #: the pages of one host are dealt to so many join keys where pivots are not broadcast
@@ -71,6 +71,12 @@ def parse(page: str) -> Node:
     """A tree that is always made, whatever is left open, closed twice or cut off."""
     root = Node("html")
     stack, at, n = [root], 0, len(page)
+    open_: Counter[str] = Counter()
+
+    def close(k: int) -> None:
+        open_.subtract(x.tag for x in stack[k:])
+        del stack[k:]
+
     while at < n:
         m = TOKEN.search(page, at)
         end = m.start() if m else n
@@ -83,15 +89,15 @@ def parse(page: str) -> Node:
         if not tag or tag == "html":
             continue
         if m[1] or m[4]:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if open_[tag] > 0 else ():
                 if stack[k].tag == tag:
-                    del stack[k:]
+                    close(k)
                     break
             continue
         ended = ENDS.get(tag, ())
-        for k in range(len(stack) - 1, 0, -1):
+        for k in range(len(stack) - 1, 0, -1) if any(open_[t] > 0 for t in ended) else ():
             if stack[k].tag in ended:
-                del stack[k:]
+                close(k)
                 break
             if stack[k].tag in SCOPES:
                 break
@@ -99,10 +105,11 @@ def parse(page: str) -> Node:
         node = Node(tag, attributes)
         stack[-1].children.append(node)
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = close.end() if close else n
-        elif tag not in VOID and not attributes.rstrip().endswith("/") and len(stack) < DEPTH:
+            closed = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            at = closed.end() if closed else n
+        elif tag not in VOID and not attributes.rstrip().endswith("/"):
             stack.append(node)
+            open_[tag] += 1
     return root
 
 
@@ -114,37 +121,39 @@ def skipped(node: Node, inside: bool) -> bool:
 
 def align(pivot: Node, page: Node) -> None:
     """Simple tree matching; each matched node of ``page`` gets the slot number of its pivot node."""
-    table: dict[tuple[int, int], tuple[int, list[list[int]] | None]] = {}
-
-    def match(a: Node, b: Node) -> int:
-        if a.tag != b.tag:
-            return 0
-        x, y = a.elements(), b.elements()
-        if not x or not y:
-            return 1
-        key = (id(a), id(b))
-        if key not in table:
-            m = [[0] * (len(y) + 1)]
-            for i, p in enumerate(x):
-                above, row = m[-1], [0]
-                for j, q in enumerate(y):
-                    best = above[j + 1] if above[j + 1] > row[j] else row[j]
-                    if p.tag == q.tag:
-                        w = above[j] + match(p, q)
-                        best = w if w > best else best
-                    row.append(best)
-                m.append(row)
-            table[key] = (m[-1][-1] + 1, m)
-        return table[key][0]
-
-    match(pivot, page)
+    table: dict[tuple[int, int], tuple[int, list[list[int]]]] = {}
+    inner: dict[int, list[Node]] = {}
+
+    def below(node: Node) -> list[Node]:
+        if id(node) not in inner:
+            inner[id(node)] = node.elements()
+        return inner[id(node)]
+
+    # pairs of equal tags from the roots down; each is solved after the pairs of its children, at any depth
+    pairs = [(pivot, page)] if pivot.tag == page.tag and below(pivot) and below(page) else []
+    for a, b in pairs:
+        pairs.extend((p, q) for p in below(a) if below(p) for q in below(b) if p.tag == q.tag and below(q))
+    for a, b in reversed(pairs):
+        y = below(b)
+        m = [[0] * (len(y) + 1)]
+        for p in below(a):
+            above, row = m[-1], [0]
+            for j, q in enumerate(y):
+                best = above[j + 1] if above[j + 1] > row[j] else row[j]
+                if p.tag == q.tag:
+                    solved = table.get((id(p), id(q)))
+                    w = above[j] + (solved[0] if solved else 1)
+                    best = w if w > best else best
+                row.append(best)
+            m.append(row)
+        table[id(a), id(b)] = (m[-1][-1] + 1, m)
     todo = [(pivot, page)]
     while todo:
         a, b = todo.pop()
         b.slot = a.slot
         if (id(a), id(b)) not in table:
             continue
-        m, x, y = table[id(a), id(b)][1], a.elements(), b.elements()
+        m, x, y = table[id(a), id(b)][1], below(a), below(b)
         i, j = len(x), len(y)
         while i and j:
             # equal ways: the earliest pair, so extra nodes of a page stand behind those of the pivot
@@ -180,6 +189,21 @@ def text_of(node: Node) -> str:
     return " ".join("".join(out).split())
 
 
+def texts(root: Node) -> Iterator[tuple[Node, str]]:
+    """Every element with its ``text_of``, innermost first. A text is made of its parts' texts, so deep nests are not read again at each level."""
+    order, made = [root], {}
+    for node in order:
+        order.extend(node.elements())
+    for node in reversed(order):
+        parts = [p for c in node.children if (p := c if isinstance(c, str) else made.pop(id(c)))]
+        if (node.tag in BLOCKS or node.tag == "br") and not (parts and parts[0][0] == " "):
+            parts.insert(0, " ")
+        whole = parts[0] if len(parts) == 1 else "".join(parts)
+        words = " ".join(whole.split())
+        made[id(node)] = (" " if whole[:1].isspace() else "") + words + (" " if words and whole[-1].isspace() else "")
+        yield node, words
+
+
 def blocks(root: Node, template: frozenset[int], inside: bool) -> list[str]:
     """Texts of the blocks under ``root`` in page order."""
     out: list[str] = []
@@ -237,13 +261,13 @@ def _slots(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 numbered(pivots[host])
             tree = parse(page or "")
             align(pivots[host], tree)
+            values = {id(node): (_stable(text), len(text)) for node, text in texts(tree) if node.tag in BLOCKS}
             within: dict[int, int] = {}
             for node, parent, _ in _walk(tree):
-                text = text_of(node) if node.tag in BLOCKS else ""
-                around = within[id(parent)] if parent else _stable(text_of(tree))
-                within[id(node)] = _stable(text) if node.tag in ("article", "main") else around
+                around = within[id(parent)] if parent else values[id(tree)][0]
+                within[id(node)] = values[id(node)][0] if node.tag in ("article", "main") else around
                 if node.slot is not None and (node.tag in BLOCKS):
-                    out.append((host, around, node.slot, _stable(text), len(text)))
+                    out.append((host, around, node.slot, *values[id(node)]))
         yield pd.DataFrame(out, columns=["host", "page", "slot", "value", "length"])
 
 

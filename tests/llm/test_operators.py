@@ -250,6 +250,21 @@ def test_main_text_of_a_host_of_copies(spark, stamp):
         assert f"Title {k}\nFirst of {k}\nSecond of {k}" in got[i], i
 
 
+def test_main_text_behind_deep_elements(spark):
+    deep = lambda k, n: f"<body><div><h2>News</h2></div><div id=content><article><h1>Title {k}</h1>{'<div>' * n}<p>Inner {k}{'</div>' * n}<p>First of {k}<p>Second of {k}</article></div><footer>x</footer>"
+    rows = [(k, "http://h.example.com/", deep(k, {40: 300, 41: 5000}.get(k, 1))) for k in range(42)]
+    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    for k in range(42):
+        assert got[k] == f"Title {k}\nInner {k}\nFirst of {k}\nSecond of {k}"
+
+
+def test_texts_of_all_elements():
+    for page in ("<div> a<b>b </b>c<br>d<p>e</p><p> </p></div> f<i></i>", _page(1, "<p>x<b> y</b>z<p>w"), "<div>" * 50 + "x</div> y" * 50, "", "<p>" * 3, "a\u00a0<b>\u2003b</b>"):
+        tree = html.parse(page)
+        found = dict((id(n), t) for n, t in html.texts(tree))
+        assert found == {id(n): html.text_of(n) for n in html.numbered(tree)}
+
+
 def test_tree_matching_is_largest(rng):
     def tree(depth):
         n = html.Node(rng.choice("ab"))
