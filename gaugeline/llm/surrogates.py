@@ -1,7 +1,8 @@
 """PII surrogates: detected entities get keyed replacements of their own type, gender, script and format.
 
 Emails, phone numbers, payment cards, IP addresses, IBANs, social security numbers, secrets and titled personal names are
-found in whole texts. A surrogate is a function of a secret key, the type, the entity in normal form and an attempt number,
+found in whole texts. The parts of a titled name are then found in the rest of its text too, where they stand without a
+title and begin with a capital letter. A surrogate is a function of a secret key, the type, the entity in normal form and an attempt number,
 so one entity has one surrogate in every document and every spelling, and parts that return (a mail domain, a surname)
 return as the same surrogate part. A replacement keeps separators, letter case, country codes, check digits and script.
 
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+from bisect import bisect_right
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
@@ -31,6 +33,12 @@ ATTEMPTS = 64
 TITLES = {"f": "Mrs Ms Miss Mme Madame Frau Señora Sra Doña Signora г-жа госпожа", "m": "Mr Monsieur Herr Señor Signore г-н господин", "n": "Dr Prof Professor"}
 GENDER = {t.casefold(): g for g, names in TITLES.items() for t in names.split()}
 _TITLE = "|".join(sorted((regex.escape(t) for names in TITLES.values() for t in names.split()), key=len, reverse=True))
+#: a capitalised part of a name, perhaps behind initials
+_PART = r"(?:\p{Lu}\.[ \t]*)*\p{Lu}[\p{L}'’-]+"
+#: what is replaced of a name; initials stay
+_WORD = regex.compile(r"[\p{L}'’-]{2,}")
+_OWN = regex.compile(r"['’]s(?![\p{L}'’-])|['’-]+$")
+_TRUNK = regex.compile(r"^\+\d{1,3}[ .-]|\D")
 PATTERNS = {
     "EMAIL": regex.compile(r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@(?:[\p{L}\p{N}](?:[\p{L}\p{N}-]*[\p{L}\p{N}])?\.)+\p{L}{2,}"),
     "IBAN": regex.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"),
@@ -38,8 +46,10 @@ PATTERNS = {
     "SSN": regex.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
     "CARD": regex.compile(r"(?<![\p{L}\d-])\d(?:[ -]?\d){12,18}(?![\p{L}\d])"),
     "PHONE": regex.compile(r"(?<![\p{L}\d])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?![\p{L}\d])|(?<![\p{L}\d])\+\d{8,14}(?!\d)"),
+    # groups of two digits, as in 06 12 34 56 78, +33 6 12 34 56 78, 91 234 56 78 and 612 34 56 78
+    "PHONE2": regex.compile(r"(?<![\p{L}\d])(?:\+\d{1,3}[ .-]?(?:\(0\)[ .-]?)?\(?\d{1,4}\)?(?:[ .-]\d{3})?(?:[ .-]\d{2}){2,5}|\(?0\d{1,3}\)?(?:[ .-]\d{2}){3,5}|\(?\d{2,3}\)?[ .-]\d{3}(?:[ .-]\d{2}){2}|[6-9]\d{2}(?:[ .-]\d{2}){3})(?![\p{L}\d])"),
     "SECRET": regex.compile(r"\b[0-9a-fA-F]{32,}\b|(?<=\b(?:token|secret|password|passwd|api_?key)\s{0,3}[=:]\s{0,3}[\"']?)[^\s\"']{8,}", regex.I),
-    "NAME": regex.compile(rf"\b(?P<title>{_TITLE})\.?[ \t]+(?P<names>\p{{Lu}}[\p{{L}}'’-]+(?:[ \t]+\p{{Lu}}[\p{{L}}'’-]+)?)"),
+    "NAME": regex.compile(rf"\b(?P<title>{_TITLE})\.?[ \t]+(?P<names>{_PART}(?:[ \t]+{_PART})*)"),
 }
 #: a text without any of these holds nothing to find
 _HINT = regex.compile(rf"[@\d]|\b(?:{_TITLE})\b|token|secret|passw|api_?key", regex.I)
@@ -71,12 +81,19 @@ def finds(text: str) -> list[Find]:
             digits = _only(found, str.isdigit)
             if kind == "NAME":
                 gender = GENDER[m["title"].casefold()]
-                s, e = m.span("names")
-                out.append((s, e, f"NAME_{gender}", " ".join(m["names"].casefold().split())))
+                names, s = m["names"], m.start("names")
+                if own := _OWN.search(names):  # the name ends before a possessive
+                    names = names[: own.start()]
+                if _WORD.search(names):
+                    out.append((s, s + len(names), f"NAME_{gender}", " ".join(names.casefold().split())))
                 continue
             if kind == "CARD" and not (len(digits) == 16 or luhn(digits[:-1]) == int(digits[-1])):
                 continue
-            if kind == "PHONE" and not 7 <= len(digits) <= 15:
+            if kind in ("PHONE", "PHONE2") and not 7 <= len(digits) <= 15:
+                continue
+            if kind == "PHONE2":
+                # without country code and the zero that stands for it
+                out.append((s, e, "PHONE", _TRUNK.sub("", found).lstrip("0") or digits))
                 continue
             normal = {"EMAIL": found.lower(), "IBAN": found.replace(" ", ""), "IP": found, "SECRET": found}.get(kind, digits[-10:] if kind == "PHONE" else digits)
             out.append((s, e, kind, normal))
@@ -87,14 +104,44 @@ def finds(text: str) -> list[Find]:
         if f[0] >= at:
             kept.append(f)
             at = f[1]
-    return kept
+    return sorted(kept + mentions(text, kept))
+
+
+def mentions(text: str, found: list[Find]) -> list[Find]:
+    """Where parts of the names in ``found`` stand in the rest of the text; given names and a surname in a row are one find."""
+    known: dict[str, str] = {}
+    for f in found:
+        if f[2].startswith("NAME"):
+            for kind, part in entities(f):
+                known.setdefault(part, kind)
+    if not known:
+        return []
+    any_part = regex.compile(r"(?<![\p{L}\p{N}])(?:" + "|".join(regex.escape(p) for p in sorted(known, key=len, reverse=True)) + r")(?![\p{L}\p{N}])", regex.I | regex.F)
+    starts, single = [f[0] for f in found], []
+    for m in any_part.finditer(text):
+        s, e = m.span()
+        i, part = bisect_right(starts, s), m[0].casefold()
+        if m[0][0].isupper() and part in known and not (i and found[i - 1][1] > s) and not (i < len(found) and starts[i] < e):
+            single.append((s, e, known[part], part))
+    out, given = [], []
+    for f in single:
+        if given and (f[2] not in ("SURNAME", given[-1][2]) or text[given[-1][1]: f[0]].strip(" \t") or f[0] == given[-1][1]):
+            out, given = out + given, []
+        if f[2] != "SURNAME":
+            given.append(f)
+        elif given:
+            out.append((given[0][0], f[1], f"NAME_{given[0][2][-1]}", " ".join(g[3] for g in (*given, f))))
+            given = []
+        else:
+            out.append(f)
+    return out + given
 
 
 def entities(find: Find) -> list[tuple[str, str]]:
     """What a find stands for: names are made of parts, each an entity of its own."""
     kind, normal = find[2], find[3]
     if kind.startswith("NAME"):
-        *given, surname = normal.split()
+        *given, surname = _WORD.findall(normal)
         return [(f"GIVEN_{kind[-1]}", g) for g in given] + [("SURNAME", surname)]
     if kind == "EMAIL":
         local, domain = normal.rsplit("@", 1)
@@ -185,10 +232,10 @@ def laid_out(find: Find, text: str, new: dict[tuple[str, str], str]) -> str:
     """The replacement in the format of the text it replaces."""
     start, end, kind, normal = find
     old = text[start:end]
-    if kind.startswith("NAME"):
+    if kind.startswith(("NAME", "GIVEN", "SURNAME")):
         parts = [new[e] for e in entities(find)]
         out = iter(parts)
-        return regex.sub(r"\S+", lambda m: (lambda w: w.upper() if m[0].isupper() and len(m[0]) > 1 else w.capitalize())(next(out)), old)
+        return _WORD.sub(lambda m: (lambda w: w.upper() if m[0].isupper() and len(m[0]) > 1 else w.capitalize())(next(out)), old)
     if kind == "EMAIL":
         return new["EMAIL", normal] + "@" + new["DOMAIN", normal.rsplit("@", 1)[1]]
     fresh = new[kind, normal]

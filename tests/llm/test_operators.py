@@ -82,6 +82,23 @@ def test_surrogates_are_keyed_distinct_and_of_the_same_format(spark):
     assert (got[5].text, got[5].n_entities, got[6].text) == (None, 0, "clean")
 
 
+def test_all_mentions_of_a_name_and_phones_in_groups_of_two(spark):
+    rows = [(1, "Mrs Ana Lopez came. Lopez said so; ANA LOPEZ agreed, and Lopez's sister met Ana. The lopez and Lopezia stay.", "a"),
+            (2, "Dr Ana Maria Lopez, Dr J. R. Petersen and Prof. Eva M. Strand's team; Petersen left with Strand and Maria.", "a"),
+            (3, "Call 06 12 34 56 78, 06.12.34.56.78, +33 6 12 34 56 78 or 91 234 56 78 and 612 34 56 78.", "a"), (4, "Lopez without a title", "a")]
+    got = {r.doc_id: r for r in surrogates.with_surrogates(table(spark, rows), b"k").select("row.doc_id", "text", "n_entities", "n_distinct").collect()}
+    given, surname, again, upper, own, alone = re.match(r"Mrs (\w+) (\w+) came\. (\w+) said so; (\w+ \w+) agreed, and (\w+)'s sister met (\w+)\. The lopez and Lopezia stay\.$", got[1].text).groups()
+    assert surname == again == own and upper == f"{given} {surname}".upper() and alone == given and "Lopez" not in {given, surname}
+    assert (got[1].n_entities, got[1].n_distinct) == (5, 3)
+    for name in ("Ana", "Maria", "Lopez", "Petersen", "Eva", "Strand"):
+        assert name not in got[2].text
+    a, b, c, d, e, f, g = re.match(r"Dr (\w+) (\w+) (\w+), Dr J\. R\. (\w+) and Prof\. (\w+) M\. (\w+)'s team; (\w+) left", got[2].text).groups()
+    assert c == surname and g == d and got[2].text.endswith(f" with {f} and {b}.")
+    first, second, third, fourth, fifth = re.match(r"Call (0[\d ]{13}), (0[\d.]{13}), (\+33 [\d ]{13}) or (\d\d \d{3} \d\d \d\d) and (\d{3} \d\d \d\d \d\d)\.$", got[3].text).groups()
+    assert first.replace(" ", ".") == second and third == "+33 " + first[1:] and first != "06 12 34 56 78" and fourth != "91 234 56 78" and fifth != "612 34 56 78"
+    assert got[4].text == rows[3][1]
+
+
 def test_colliding_surrogates_are_drawn_again(spark):
     # only 80 first octets and few digits: a thousand short numbers must still stay apart
     found = spark.createDataFrame([("SSN", f"{i:04d}") for i in range(2000)], "kind string, normal string")
