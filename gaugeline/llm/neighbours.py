@@ -7,8 +7,9 @@ quantiles of the keys; a query sees its own block and both neighbours, its windo
 inner products decide, and the best of all windows are merged.
 
 Every row is indexed. Equal vectors are one point, so copies neither fill a window nor a task. The window grows with the
-square root of the number of points; for vectors without structure a fixed recall needs more curves as points increase
-(``curves``, ``width``). Measured recall is in the README.
+square root of the number of points. The share of neighbours that one curve finds then still falls, about with the fourth root
+of the number of points for vectors without structure, so beyond ``STEADY`` points the number of curves grows with that root.
+Measured recall is in the README.
 
 Defined results: vectors that are null, zero, of another than the most frequent length, or hold null or non-finite
 components take no part, nor do rows without an id; a query of that kind has no rows. Rows equal in id and vector count once.
@@ -25,7 +26,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gaugeline.llm.common import Scratch
 
+#: curves for up to ``STEADY`` points
 CURVES = 40
+STEADY = 100_000
 DIRECTIONS = 10
 BITS = 5
 #: a block holds ``width`` times the square root of the number of points, and a query sees three
@@ -64,6 +67,11 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
+def curves_for(points: int) -> int:
+    """Number of curves that keeps the recall of ``STEADY`` points."""
+    return int(np.ceil(CURVES * max(1.0, points / STEADY) ** 0.25))
+
+
 class Curves:
     """Seeded projections and shifts of all curves."""
 
@@ -93,8 +101,8 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in column]) if len(column) else np.zeros((0, 0))
 
 
-def nearest(embeddings: DataFrame, query: Column, k: int = 20, curves: int = CURVES, width: float = WIDTH, seed: int = 5) -> DataFrame:
-    """query_id, rank, vec_id, score: the ``k`` nearest found of each row for which ``query`` (on vec_id) holds."""
+def nearest(embeddings: DataFrame, query: Column, k: int = 20, curves: int | None = None, width: float = WIDTH, seed: int = 5) -> DataFrame:
+    """query_id, rank, vec_id, score: the ``k`` nearest found of each row for which ``query`` (on vec_id) holds; ``curves`` follows from the number of points if not given."""
     spark = embeddings.sparkSession
     scratch = Scratch(spark)
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).filter("vec_id is not null and v is not null")
@@ -108,6 +116,7 @@ def nearest(embeddings: DataFrame, query: Column, k: int = 20, curves: int = CUR
     points = scratch.keep(rows.groupBy("v").agg(F.min("vec_id").alias("point"), F.max(query).alias("asks")))
     members = scratch.keep(rows.join(points, "v").select("point", "vec_id"))
     facts = points.agg(F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("longest")).first()
+    curves = curves or curves_for(facts.n)
     shape = Curves(dims, float(facts.longest), curves, seed)
     blocks = max(1, int(facts.n / (width * np.sqrt(facts.n) + k)))
 

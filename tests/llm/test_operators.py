@@ -467,6 +467,21 @@ def test_neighbours_are_found_ranked_and_exact(spark, rng):
     assert hits / len(queries) / 10 > 0.95
 
 
+def test_curves_grow_with_the_number_of_points(spark, monkeypatch):
+    assert neighbours.curves_for(10_256) == neighbours.curves_for(100_000) == 40 and neighbours.curves_for(1_000_000) == 72
+    x = np.random.default_rng(2).normal(size=(3000, 32))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(neighbours, "CURVES", 6)
+    monkeypatch.setattr(neighbours, "STEADY", 1)  # stands for a table 3,000 times as large as the one the curves were chosen for
+    got = neighbours.nearest(vectors, F.col("vec_id") % 100 == 0, k=10).toPandas()
+    hits = 0
+    for q, own in got.groupby("query_id"):
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits += len(set(np.argsort(-score)[:10]) & set(own.vec_id))
+    assert hits / 300 > 0.9
+
+
 def test_hilbert_curves_are_continuous():
     for dims, bits in ((2, 3), (3, 2), (4, 2)):
         cells = np.stack(np.meshgrid(*[np.arange(1 << bits)] * dims), -1).reshape(-1, dims)
