@@ -6,7 +6,7 @@ import uuid
 import zlib
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from gaugeline.session import checkpoint_dir
 
@@ -76,6 +76,21 @@ def parts_for(df: DataFrame, mb: float) -> int:
     return int(max(df.sparkSession.sparkContext.defaultParallelism, min(200_000, size_in_mb(df) / mb + 1)))
 
 
+def ranked(df: DataFrame, scratch: Scratch, order: list[Column], name: str, rows_a_part: int = 1_000_000) -> DataFrame:
+    """``df`` with a long column ``name``: 1, 2, 3… over all rows in the given order.
+
+    The rows are dealt out by range and numbered within their range; only the row counts of the ranges are summed up
+    in one task. Rows that are equal in ``order`` get different numbers.
+    """
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, df.count() // rows_a_part + 1)
+    dealt = scratch.keep(df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()))
+    sizes = dealt.groupBy("_range").count()
+    before = sizes.select("_range", F.coalesce(F.sum("count").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    here = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    # one row per range
+    return dealt.withColumn(name, here).join(F.broadcast(before), "_range").withColumn(name, F.col(name) + F.col("_before")).drop("_range", "_before")
+
+
 def tree_sum(chunks: DataFrame, dtype: str, deflated: bool = False) -> DataFrame:
     """Sum binary vectors by chunk number: columns chunk int, values binary (little-endian ``dtype``, deflated or not); 64-bit sums."""
     import numpy as np

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gaugeline.llm import fingerprint, html, lines, mixing, neighbours, packing, similarity, suffixes, surrogates, toxicity
+from gaugeline.llm import fingerprint, html, lines, mixing, neighbours, packing, similarity, suffixes, surrogates, toxicity, urls
 from gaugeline.sources.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,22 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_text(load(spark, sf_dir, "pages"))
+
+
+#: host, path, verdict
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+@query
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urls.judged(load(spark, sf_dir, "pages"), rules).select("row.page_id", "host", "path", "rule", "verdict")
+
+
+SQL["op13_url_filters"] = """WITH rules(rhost, rpath, rverdict) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+parts AS (SELECT page_id, row_number() OVER () AS r,
+  translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+fits AS (SELECT r, arg_max(rhost || rpath, length(rhost) * 100000 + length(rpath)) AS rule, arg_max(rverdict, length(rhost) * 100000 + length(rpath)) AS rverdict
+  FROM parts JOIN rules ON ('.' || host) LIKE '%.' || rhost AND starts_with(path, rpath) GROUP BY r)
+SELECT page_id, host, path, rule, coalesce(rverdict, 'allow') AS verdict FROM parts LEFT JOIN fits USING (r)"""
