@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gaugeline.llm import fingerprint, html, lines, mixing, neighbours, packing, similarity, suffixes, surrogates, toxicity, urls
+from gaugeline.llm import fingerprint, html, importance, lines, mixing, neighbours, packing, similarity, suffixes, surrogates, toxicity, urls
 from gaugeline.sources.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,30 @@ parts AS (SELECT page_id, row_number() OVER () AS r,
 fits AS (SELECT r, arg_max(rhost || rpath, length(rhost) * 100000 + length(rpath)) AS rule, arg_max(rverdict, length(rhost) * 100000 + length(rpath)) AS rverdict
   FROM parts JOIN rules ON ('.' || host) LIKE '%.' || rhost AND starts_with(path, rpath) GROUP BY r)
 SELECT page_id, host, path, rule, coalesce(rverdict, 'allow') AS verdict FROM parts LEFT JOIN fits USING (r)"""
+
+
+@query
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resampled(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+# crc32 of each different feature, a byte at a time with the table of remainders
+SQL["op12_importance_resampling"] = """WITH RECURSIVE step(c, k, v) AS (SELECT range, 0, range FROM range(256) UNION ALL
+  SELECT c, k + 1, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END FROM step WHERE k < 8),
+crc_table AS (SELECT list(v ORDER BY c) AS t FROM step WHERE k = 8),
+texts AS (SELECT 0 AS kind, row_number() OVER () AS r, doc_id AS id, text FROM documents UNION ALL SELECT 1, row_number() OVER (), item_id, text FROM benchmark),
+words AS (SELECT kind, r, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM texts),
+runs AS (SELECT kind, r, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])
+  || list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS feature FROM words),
+counted AS (SELECT kind, r, feature, count(*) AS n FROM runs GROUP BY ALL),
+spelled AS (SELECT feature, hex(encode(feature)) AS h FROM (SELECT DISTINCT feature FROM counted)),
+hashed AS (SELECT feature, xor(list_reduce(list_transform(range(1, len(h), 2), lambda i: ('0x' || h[i:i + 1])::BIGINT), lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1]), 4294967295), 4294967295) % 10000 AS bucket FROM spelled, crc_table),
+found AS (SELECT kind, r, bucket, sum(n) AS n FROM counted JOIN hashed USING (feature) GROUP BY ALL),
+totals AS (SELECT bucket, sum(n) FILTER (kind = 0) AS s, sum(n) FILTER (kind = 1) AS t FROM found GROUP BY bucket),
+gain AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT sum(s) FROM totals) + 10000)::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT sum(t) FROM totals) + 10000)::DOUBLE))) AS BIGINT) AS g FROM totals),
+weighed AS (SELECT r, sum(n) AS n_features, sum(n * g) AS weight FROM found JOIN gain USING (bucket) WHERE kind = 0 GROUP BY r),
+scored AS (SELECT id AS doc_id, len(w) AS n_words, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+  (coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((('0x' || sha256('42:' || id)[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT))::BIGINT AS score
+  FROM words LEFT JOIN weighed USING (r) WHERE kind = 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place, 5 * count(*) FILTER (n_words >= 20) OVER () // 100 AS k FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= k THEN place END AS rank FROM placed"""
