@@ -29,9 +29,9 @@ _TABLE = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in bytes(range
 PIECE = 1 << 18
 
 
-def pieces(text: bytes) -> Iterator[bytes]:
-    """The text cut at blanks into pieces of about ``PIECE`` bytes."""
-    text = text.translate(_TABLE)
+def pieces(text: bytes, table: bytes = _TABLE) -> Iterator[bytes]:
+    """The translated text, cut at blanks into pieces of about ``PIECE`` bytes."""
+    text = text.translate(table)
     at = 0
     while at < len(text):
         end = text.find(b" ", at + PIECE)
