@@ -128,11 +128,11 @@ def price(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (p - q) ** 2 // (p + q)
 
 
-def _task(key: tuple, cells: pd.DataFrame, top: int) -> pd.DataFrame:
+def _task(key: tuple, cells: pd.DataFrame, top: int, size: int) -> pd.DataFrame:
     """A segment's part of all distances between two blocks of sources, and in a diagonal task the overused terms of each source."""
     lang, segment, lo, hi = key
-    kept, start = int(cells["kept"].iloc[0]), int(segment) * SEGMENT
-    width = min(SEGMENT, max(kept - start, 0))
+    kept, start = int(cells["kept"].iloc[0]), int(segment) * size
+    width = min(size, max(kept - start, 0))
     leaves = np.full((len(cells), 1 << max(width - 1, 0).bit_length()), -1, dtype=np.int64)
     leaves[:, :width] = 0
     for k, (ids, counts) in enumerate(zip(cells["ids"], cells["counts"])):
@@ -157,7 +157,7 @@ def _task(key: tuple, cells: pd.DataFrame, top: int) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["lang", "source", "other", "id", "value"]).astype({"id": "Int64"})
 
 
-def audit(documents: DataFrame, min_docs: int = 10, top: int = 10) -> DataFrame:
+def audit(documents: DataFrame, min_docs: int = 10, top: int = 10, segment_size: int = SEGMENT, block_size: int = GROUPS) -> DataFrame:
     """lang, source, part (``pair`` or ``term``), item, value, rank: distances to the other sources of the language, and overused terms."""
     scratch = Scratch(documents.sparkSession)
     counts = scratch.keep(term_counts(documents).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
@@ -167,19 +167,19 @@ def audit(documents: DataFrame, min_docs: int = 10, top: int = 10) -> DataFrame:
     langs = numbered.groupBy("lang").agg(F.count("*").alias("kept"), F.min("place").alias("head"), F.sum("n").alias("lang_total"))
     terms = scratch.keep(numbered.join(langs.select("lang", "head"), "lang").select("lang", "term", (F.col("place") - F.col("head")).alias("id"), "n"))
 
-    entries = F.sort_array(F.collect_list(F.struct((F.col("id") % SEGMENT).cast("int").alias("i"), "n")))
+    entries = F.sort_array(F.collect_list(F.struct((F.col("id") % segment_size).cast("int").alias("i"), "n")))
     lists = [F.col("e.i").alias("ids"), F.col("e.n").alias("counts")]
-    segment = F.floor(F.col("id") / SEGMENT).alias("segment")
+    segment = F.floor(F.col("id") / segment_size).alias("segment")
     cells = scratch.keep(found.drop("docs").join(terms.drop("n"), ["lang", "term"]).groupBy("lang", "source", segment).agg(entries.alias("e"), F.sum("n").alias("n"))
                          .select("lang", "source", "segment", "n", *lists))
     totals = cells.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     groups = counts.filter("term IS NULL").select("lang", "source")
-    blocks = groups.groupBy("lang").agg(F.ceil(F.count("*") / GROUPS).alias("blocks"))
+    blocks = groups.groupBy("lang").agg(F.ceil(F.count("*") / block_size).alias("blocks"))
     langs = scratch.keep(blocks.join(langs, "lang", "left").select("lang", "blocks", F.coalesce("kept", F.lit(0)).alias("kept"), F.coalesce("lang_total", F.lit(0)).alias("lang_total")))
 
     grid = (groups.join(langs, "lang").join(totals, ["lang", "source"], "left")
             .select("lang", "source", "kept", F.coalesce("total", F.lit(0)).alias("total"), "blocks", F.pmod(F.xxhash64("source"), "blocks").alias("block"),
-                    F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("kept") / SEGMENT) - 1, F.lit(0)))).alias("segment"))
+                    F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("kept") / segment_size) - 1, F.lit(0)))).alias("segment"))
             .join(cells.drop("n"), ["lang", "source", "segment"], "left")
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             .select("lang", "segment", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "source", "kept", "total", "ids", "counts", F.lit(False).alias("whole")))
@@ -187,7 +187,7 @@ def audit(documents: DataFrame, min_docs: int = 10, top: int = 10) -> DataFrame:
              .select("lang", "segment", "kept", F.col("lang_total").alias("total"), *lists, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
              .select("lang", "segment", F.col("block").alias("lo"), F.col("block").alias("hi"), "block", F.lit(None).cast("string").alias("source"), "kept", "total", "ids", "counts", F.lit(True).alias("whole")))
     parts = scratch.keep(grid.unionByName(whole).groupBy("lang", "segment", "lo", "hi")
-                         .applyInPandas(lambda key, cells: _task(key, cells, top), "lang string, source string, other string, id long, value long"))
+                         .applyInPandas(lambda key, cells: _task(key, cells, top, segment_size), "lang string, source string, other string, id long, value long"))
 
     here = Window.partitionBy("lang", "source")
     sums = parts.filter("other IS NOT NULL").groupBy("lang", F.least("source", "other").alias("a"), F.greatest("source", "other").alias("b")).agg(F.sum("value").alias("value"))
