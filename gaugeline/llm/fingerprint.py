@@ -79,8 +79,8 @@ def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
 def fingerprints(documents: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row."""
     scratch = Scratch(documents.sparkSession)
-    # one place per id, in pieces of about 4 MB; both joins read this one exchange
-    parts = parts_for(documents, 4)
+    # one place per id, in pieces of about 6 MB; both joins read this one exchange
+    parts = parts_for(documents, 6)
     docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     dealt = docs.repartition(parts, "id")
     nxt = dealt.select(F.col("id").alias("nid"), F.col("text").alias("ntext"))

@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from gaugeline.llm.common import Scratch, columns_of, connected, size_in_mb, tree_sum
+from gaugeline.llm.common import Scratch, columns_of, connected, text_mb, tree_sum
 from gaugeline.llm.shingles import bitmap, mixed, shingle_sets, signature
 
 CHUNK = 1 << 14
@@ -214,7 +214,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     scratch = Scratch(spark)
     docs = columns_of(documents, doc_id="doc_id:long", text="text").withColumn("key", F.coalesce("doc_id", F.xxhash64("text")))
     # about four shingles a bucket, up to 2**23 buckets (a fixed bound for what reaches driver and tasks)
-    bits = int(min(23, max(14, np.ceil(np.log2(max(1.0, size_in_mb(documents) * 1e6 / 4 / 4))))))
+    bits = int(min(23, max(14, np.ceil(np.log2(max(1.0, text_mb(documents) * 1e6 / 24))))))
     mixed_rows = scratch.keep(docs.mapInPandas(_facts(bits), "doc_id long, key long, n int, sig long, bits binary, chunk int, values binary"))
     facts = mixed_rows.filter("chunk is null").select("doc_id", "key", "n", "sig", "bits")
     levels = _levels(mixed_rows.filter("chunk is not null").select("chunk", "values"), bits)
