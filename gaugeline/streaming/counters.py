@@ -32,11 +32,23 @@ def spend_by_day(stream: DataFrame, at: str = "ts", user: str = "user_id", ip: s
 
 
 def run_to_parquet(result: DataFrame, out: str, checkpoint: str) -> None:
-    """Process what is available and stop, with every window in ``out``, also those that are still open.
+    """Process what is available and stop, with every changed window in ``out``, also those that are still open.
 
-    Each batch replaces the rows written so far (complete mode), so a restart from the checkpoint or a repeated batch
-    leaves no row twice. Keep append mode for streams that never end.
+    Update mode: a batch writes only the windows it touched, into its own ``batch=`` folder, and the watermark drops the state of
+    windows that are final. A repeated batch overwrites its folder, so a restart leaves no row twice. Read with :func:`latest`.
     """
-    q = result.writeStream.outputMode("complete").foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)) \
+    q = result.writeStream.outputMode("update").foreachBatch(lambda rows, batch: rows.write.mode("overwrite").parquet(f"{out}/batch={batch}")) \
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
+
+
+def latest(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
+    """The newest row of every key among the updates that :func:`run_to_parquet` wrote."""
+    updates = spark.read.parquet(out)
+    values = [c for c in updates.columns if c not in keys and c != "batch"]
+    return updates.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v")).select(*keys, *[f"v.{c}" for c in values])
+
+
+def compact(spark: SparkSession, out: str, keys: list[str], into: str) -> None:
+    """The newest rows as one table, for readers that look often; ``out`` stays as it is."""
+    latest(spark, out, keys).write.mode("overwrite").parquet(into)

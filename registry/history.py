@@ -7,11 +7,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from gaugeline.functions import times
-from gaugeline.operators import history, spend
+from gaugeline.operators import history, limiter, spend
 from gaugeline.session import checkpoint_dir
 from gaugeline.sources import catalog, files, runlog
 from gaugeline.sources.tables import load, load_spread
-from gaugeline.streaming import counters
+from gaugeline.streaming import counters, limiter as streaming_limiter
 from registry.base import query
 from registry.text import weights_sql
 
@@ -283,7 +283,33 @@ def streaming_event_rates(spark, sf_dir):
     stream = counters.file_stream(spark, sf_dir, schema, "events.parquet")
     folder = f"{checkpoint_dir(spark)}/rates-{uuid.uuid4().hex}"
     counters.run_to_parquet(counters.event_rates(stream, "event_type"), f"{folder}/out", f"{folder}/state")
-    return spark.read.parquet(f"{folder}/out").select(F.unix_seconds("window_start").alias("start_s"), "event_type", "events")
+    done = counters.latest(spark, f"{folder}/out", ["window_start", "window_end", "event_type"])
+    return done.select(F.unix_seconds("window_start").alias("start_s"), "event_type", "events")
+
+
+# one step a row: leave the window what is too old, admit as many as fit, over all event types at once
+ADMITTED_SQL = """WITH RECURSIVE p AS (SELECT event_type, epoch_us(ts) AS us, count(*) AS n, row_number() OVER (PARTITION BY event_type ORDER BY us) AS i FROM events GROUP BY event_type, us),
+run(event_type, i, us, n, held, admitted) AS (
+  SELECT event_type, 0::BIGINT, 0::BIGINT, 0::BIGINT, []::BIGINT[], 0::BIGINT FROM (SELECT DISTINCT event_type FROM events)
+  UNION ALL
+  SELECT event_type, i, us, n, young || list_transform(range(least(n, 2 - len(young))), lambda x: us), least(n, 2 - len(young))
+  FROM (SELECT p.event_type, p.i, p.us, p.n, list_filter(r.held, lambda t: t >= p.us - 3600000000) AS young FROM run r JOIN p ON p.event_type = r.event_type AND p.i = r.i + 1))
+SELECT event_type, us AS at_us, n AS events, admitted FROM run WHERE i > 0"""
+
+
+@query("admitted_events", "E7", ADMITTED_SQL)
+def admitted_events(spark, sf_dir):
+    return limiter.admitted_events(load(spark, sf_dir, "events"), "event_type", "ts", 3600, limit=2)
+
+
+@query("streaming_admitted_events", "E7 V1", ADMITTED_SQL + " AND us < (SELECT epoch_ms(max(ts)) - 600000 FROM events) * 1000")
+def streaming_admitted_events(spark, sf_dir):
+    """Decided are the events that the watermark of ten minutes has passed."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", streaming_limiter.ROCKS)
+    stream = counters.file_stream(spark, sf_dir, load(spark, sf_dir, "events").schema, "events.parquet")
+    folder = f"{checkpoint_dir(spark)}/admitted-{uuid.uuid4().hex}"
+    streaming_limiter.append_to_parquet(streaming_limiter.admitted_stream(stream, "event_type", "ts", 3600, 2, "10 minutes"), f"{folder}/out", f"{folder}/state")
+    return spark.read.parquet(f"{folder}/out")
 
 
 @query("streaming_daily_spend", "V2", """WITH s AS (SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, CASE WHEN user_id % 3 = 0 THEN 'ip:unknown' ELSE 'user:' || user_id END AS scope, value FROM events WHERE value > 0),
@@ -296,7 +322,7 @@ def streaming_daily_spend(spark, sf_dir):
         "user_id": F.when(F.col("user_id") % 3 == 0, F.concat(F.lit("guest-"), "user_id")).otherwise(F.col("user_id").cast("string")), "ip": F.lit(None).cast("string")})
     folder = f"{checkpoint_dir(spark)}/spend-{uuid.uuid4().hex}"
     counters.run_to_parquet(counters.spend_by_day(stream, amount="value"), f"{folder}/out", f"{folder}/state")
-    done = spend.against_caps(spark.read.parquet(f"{folder}/out"), {"global": 5000.0, "guest": 300.0, "user": 0.0})
+    done = spend.against_caps(counters.latest(spark, f"{folder}/out", ["day", "scope"]), {"global": 5000.0, "guest": 300.0, "user": 0.0})
     return done.withColumn("day", F.col("day").cast("string"))
 
 
