@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gaugeline.functions.names import week_number
-from gaugeline.operators import funnel, growth, timeseries
+from gaugeline.operators import forecast, funnel, growth, timeseries
 from gaugeline.plans import experiment as plan
 from gaugeline.sources.tables import load
 from registry import demo
@@ -234,6 +234,32 @@ def seasonal_forecast(spark, sf_dir):
     return timeseries.seasonal_forecast(daily(spark, sf_dir), ["event_type"]).withColumn("date", F.col("date").cast("string"))
 
 
+#: 14 columns: level, slope, five hinges, three sines, three cosines, and the right side; a step clears one column (no pivoting: the matrix is positive definite)
+BENDS_SQL = f"""WITH RECURSIVE {_DAILY},
+n AS (SELECT event_type, date, value, date_diff('day', DATE '1970-01-01', date) AS day, row_number() OVER s AS i, count(*) OVER (PARTITION BY event_type) AS c FROM d WINDOW s AS (PARTITION BY event_type ORDER BY date)),
+tr AS (SELECT * FROM n WHERE i <= c - 14),
+sc AS (SELECT event_type, min(day)::DOUBLE AS start, (max(day) - min(day))::DOUBLE AS len, max(abs(value)) AS top, CAST(floor(count(*) * 0.95) AS BIGINT) - 1 AS last, list(day ORDER BY day) AS days FROM tr GROUP BY event_type),
+x AS (SELECT n.event_type, date, value, i <= c - 14 AS train, value / top AS v, top,
+  [1.0::DOUBLE, (day - start) / len] || list_transform(range(1, 6), lambda j: greatest((day - start) / len - (days[(j * last) // 5 + 1] - start) / len, 0.0))
+  || list_transform(range(1, 4), lambda k: sin(2 * pi() * day * k / 7)) || list_transform(range(1, 4), lambda k: cos(2 * pi() * day * k / 7)) AS f
+  FROM n JOIN sc USING (event_type)),
+cells AS (SELECT event_type, a, b, sum(f[a] * (CASE WHEN b = 14 THEN v ELSE f[b] END)) AS g FROM x, range(1, 14) ra(a), range(1, 15) rb(b) WHERE train GROUP BY ALL),
+fixed AS (SELECT event_type, a, list(g + CASE WHEN a <> b THEN 0 WHEN a <= 2 THEN 0.000001 WHEN a <= 7 THEN 0.05 ELSE 0.01 END ORDER BY b) AS r FROM cells GROUP BY event_type, a),
+gj(event_type, k, m) AS (SELECT event_type, 1::BIGINT, list(r ORDER BY a) FROM fixed GROUP BY event_type
+  UNION ALL SELECT event_type, k + 1, list_transform(range(1, 14), lambda i: CASE WHEN i = k THEN list_transform(m[k], lambda y: y / m[k][k]) ELSE list_transform(range(1, 15), lambda j: m[i][j] - m[i][k] * m[k][j] / m[k][k]) END) FROM gj WHERE k <= 13),
+beta AS (SELECT event_type, list_transform(m, lambda r: r[14]) AS b FROM gj WHERE k = 14),
+y AS (SELECT event_type, date, value, list_dot_product(f, b) * top AS yhat FROM x JOIN beta USING (event_type) WHERE NOT train)
+SELECT event_type, CAST(date AS VARCHAR) AS date, value AS actual, yhat, CAST(NULL AS VARCHAR) AS warning, avg(value) OVER w - avg(yhat) OVER w AS actual_vs_forecast_delta, 'changepoints' AS method, 5 AS bends
+FROM y WINDOW w AS (PARTITION BY event_type)"""
+
+
+@query("changepoint_forecast", "D44", BENDS_SQL, "actual yhat actual_vs_forecast_delta")
+def changepoint_forecast(spark, sf_dir):
+    """Fixed penalties, so that SQL can solve the same normal equations; bands are simulated and tested apart."""
+    out = forecast.changepoint_forecast(daily(spark, sf_dir), ["event_type"], prior=forecast.Prior("ridge", 0.05, 0.01, count=5))
+    return out.drop("yhat_lower", "yhat_upper", "outside_ci").withColumn("date", F.col("date").cast("string"))
+
+
 @query("general_series_anomalies", "B9 B14 B15 D42", """WITH d AS (SELECT date, avg(o_totalprice) AS value FROM (
   SELECT try_cast(CASE WHEN o_orderkey % 17 = 0 THEN 'unknown' ELSE strftime(o_orderdate, '%Y-%m-01') END AS DATE) AS date, o_totalprice FROM orders)
   WHERE date IS NOT NULL GROUP BY date),
