@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 
 from gaugeline.functions.names import numeric_columns, summary_dimension
 from gaugeline.functions.numbers import as_double, ratio
+from gaugeline.operators.gram import pair_moments
 from gaugeline.operators.quantiles import DISTINCT_BOUND, histogram_descent
 
 # Spark generates code for up to one hundred buffer fields: eleven per pair, nine per column.
@@ -111,8 +112,8 @@ def top_rows(df: DataFrame, n: int = 10) -> DataFrame:
 def correlations(df: DataFrame, top_n: int = 10, columns: list[str] | None = None, min_overlap: int = 10) -> DataFrame:
     """Strongest Pearson correlations, pairwise complete.
 
-    Pairs are aggregated side by side, as many as one generated aggregate takes. Very many pairs are laid out as
-    rows instead, in one scan; they are combined before any shuffle, so only one row per pair and task moves.
+    Pairs are aggregated side by side, as many as one generated aggregate takes. Very many pairs come from masked Gram
+    matrices of all columns, in one scan; tasks pass on matrices, never rows of pairs.
     """
     columns = columns or numeric_columns(df)
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
@@ -132,11 +133,11 @@ def correlations(df: DataFrame, top_n: int = 10, columns: list[str] | None = Non
             parts.append(numbers.agg(*aggs).select(F.explode(F.array(*rows)).alias("r")).select("r.*"))
         out = reduce(DataFrame.unionByName, parts)
     else:
-        laid_out = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"`{a}`").alias("x"), F.col(f"`{b}`").alias("y")) for i, (a, b) in enumerate(pairs)])
-        names = F.array(*[F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b")) for a, b in pairs])
-        g = numbers.select(F.explode(laid_out).alias("p")).select("p.*").groupBy("i").agg(
-            *[m.alias(n) for n, m in zip(("r2", "cov", "overlap"), measures(F.col("x"), F.col("y")))])
-        out = g.withColumn("_names", F.get(names, F.col("i"))).select("_names.*", "r2", "cov", "overlap")
+        moments = pair_moments(df, columns)
+        names = F.array(*[F.lit(c) for c in columns])
+        r2 = F.when((F.col("var_i") > 0) & (F.col("var_j") > 0), F.least(F.pow("cov", 2) / (F.col("var_i") * F.col("var_j")), F.lit(1.0)))
+        out = moments.where((F.col("var_i") < float("inf")) & (F.col("var_j") < float("inf"))).select(
+            F.get(names, F.col("i")).alias("col_a"), F.get(names, F.col("j")).alias("col_b"), r2.alias("r2"), "cov", "overlap")
     # A constant column has no correlation: its r2 is null, or 1 with a covariance of 0.
     r = F.when((F.col("cov") != 0) | (F.col("r2") < 1), F.signum("cov") * F.sqrt("r2"))
     kept = out.withColumn("correlation", r).where((F.col("overlap") >= min_overlap) & F.col("correlation").isNotNull())
