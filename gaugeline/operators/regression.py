@@ -1,4 +1,4 @@
-"""Least-squares regression from one pass of covariances; the small solve runs on the result row."""
+"""Least-squares regression from one pass of covariances, or of triangular factors; the small solve runs on the result row."""
 
 from __future__ import annotations
 
@@ -13,10 +13,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from gaugeline.functions import prob
 from gaugeline.functions.names import numeric_columns, text_columns
 from gaugeline.functions.numbers import as_double
+from gaugeline.operators import leastsq
 from gaugeline.operators.explore import highest_variance_column
 from gaugeline.operators.quantiles import quantiles
 
 MAX_FEATURES, MAX_LEVELS, VIF_LIMIT, NARROW = 15, 10, 10.0, 6
+#: smallest against largest eigenvalue of the correlations down to which covariances are used
+CONDITION = 1e-5
 COEFFICIENTS = ("target string, n_obs bigint, n_features int, feature string, coefficient double, std_err double, t_stat double, "
                 "p_value double, ci_lower double, ci_upper double, significant boolean, vif double, r_squared double, "
                 "adj_r_squared double, f_stat double, f_pvalue double, collinear_dropped string")
@@ -77,18 +80,20 @@ def feature_columns(df: DataFrame, target: str) -> Features:
     return Features([names[i] for i in kept], [columns[i] for i in kept])
 
 
-def _independent(cov: np.ndarray) -> list[int]:
-    """Features that are not linear combinations of the ones before them."""
-    kept: list[int] = []
-    for j in range(len(cov)):
-        if kept:
-            block = cov[np.ix_(kept, kept)]
-            rest = cov[j, j] - cov[j, kept] @ np.linalg.solve(block, cov[kept, j])
-        else:
-            rest = cov[j, j]
-        if rest > 1e-10 * cov[j, j]:
-            kept.append(j)
-    return kept
+def _well_conditioned(cov: np.ndarray) -> bool:
+    """Covariances lose as many digits as the condition of their correlations has; the rest is left to the triangular factor."""
+    spread = np.sqrt(np.diag(cov))
+    if not np.all(spread > 0) or not np.all(np.isfinite(cov)):
+        return False
+    values = np.linalg.eigvalsh(cov / np.outer(spread, spread))
+    return values[0] > CONDITION * values[-1]
+
+
+def _from_covariances(n: int, cov: np.ndarray) -> leastsq.Fit:
+    sxx, sxy, syy = cov[:-1, :-1], cov[:-1, -1], cov[-1, -1]
+    inverse = np.linalg.inv(sxx)
+    beta = inverse @ sxy
+    return leastsq.Fit(list(range(len(sxx))), beta, inverse / (n - 1), np.diag(sxx) * (n - 1), max((syy - beta @ sxy) * (n - 1), 0.0), syy * (n - 1))
 
 
 def _covariances(rows: DataFrame, width: int) -> tuple[int, np.ndarray]:
@@ -115,7 +120,8 @@ def _covariances(rows: DataFrame, width: int) -> tuple[int, np.ndarray]:
 def regress(df: DataFrame, target: str | None = None, hint: str = "") -> DataFrame:
     """Coefficient rows of the least-squares fit, strongest first, with fit quality and variance inflation on each row.
 
-    The data is reduced to covariances of at most 16 columns; the solve runs on those.
+    The data is reduced to covariances of at most 16 columns, or, where those are too nearly dependent to be trusted, to a
+    triangular factor of the same size; the solve runs on that.
     """
     target = target or select_target(df, hint)
     if target is None or target not in df.columns:
@@ -128,23 +134,20 @@ def regress(df: DataFrame, target: str | None = None, hint: str = "") -> DataFra
     n, cov = _covariances(df.where(as_double(target).isNotNull()).select(*named), k + 1)
     if n < max(10, k + 2):
         raise ValueError(f"only {n} observations for {k} features")
-    kept = _independent(cov[:k, :k])
+    usable = df.where(as_double(target).isNotNull()).select(*named)
+    solved = _from_covariances(n, cov) if _well_conditioned(cov[:k, :k]) else leastsq.fit(leastsq.triangular_factor(usable)[1])
+    kept, beta, inverse, rss, tss = solved.kept, solved.beta, solved.inverse, solved.rss, solved.tss
     dropped = ",".join(features.names[i] for i in range(k) if i not in kept)
-    sxx, sxy, syy = cov[np.ix_(kept, kept)], cov[kept, k], cov[k, k]
-    inverse = np.linalg.inv(sxx)
-    beta = inverse @ sxy
     p = len(kept)
     dof = n - p - 1
-    tss = syy * (n - 1)
-    rss = max((syy - beta @ sxy) * (n - 1), 0.0)
     r2 = 1.0 - rss / tss if tss > 1e-12 else 0.0
     adjusted = 1.0 - (1.0 - r2) * (n - 1) / dof if dof > 0 else r2
-    std_err = np.sqrt(np.diag(inverse) * rss / dof / (n - 1))
+    std_err = np.sqrt(np.diag(inverse) * rss / dof)
     crit = prob.t_ppf(0.975, dof)
     r2, adjusted = float(r2), float(adjusted)
     f_stat = (r2 / p) / ((1.0 - r2) / dof) if tss > 1e-12 and 1.0 - r2 > 1e-12 else None
     f_p = prob.f_sf(f_stat, p, dof) if f_stat is not None else None
-    vif = np.diag(inverse) * np.diag(sxx) if p >= 2 else np.full(p, np.nan)
+    vif = np.diag(inverse) * solved.lengths if p >= 2 else np.full(p, np.nan)
     out = []
     for i, at in enumerate(kept):
         b, s = float(beta[i]), float(std_err[i])

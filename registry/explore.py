@@ -64,6 +64,19 @@ def correlations(spark, sf_dir):
     return explore.correlations(lineitem(spark, sf_dir), 6, NUMBERS)
 
 
+#: 55 pairs, some with missing values: more than are aggregated side by side
+_WIDE = NUMBERS + ["CASE WHEN l_quantity > 10 THEN l_extendedprice END", "CASE WHEN l_linenumber < 4 THEN l_tax END", "l_extendedprice * (1 - l_discount)",
+                   "l_quantity * l_quantity", "CASE WHEN l_discount > 0.02 THEN l_quantity + 1000000 END", "CAST(l_orderkey % 97 AS DOUBLE)"]
+
+
+@query("wide_correlations", "D37", f"WITH w AS (SELECT {', '.join(f'{c} AS w{i}' for i, c in enumerate(_WIDE))} FROM lineitem) SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT 'w{i}' AS col_a, 'w{j}' AS col_b, corr(w{i}, w{j}) AS correlation, count(*) FILTER (w{i} IS NOT NULL AND w{j} IS NOT NULL) AS overlap FROM w"
+    for i in range(len(_WIDE)) for j in range(i + 1, len(_WIDE))) + ")", "correlation")
+def wide_correlations(spark, sf_dir):
+    table = lineitem(spark, sf_dir).selectExpr(*[f"{c} AS w{i}" for i, c in enumerate(_WIDE)])
+    return explore.correlations(table, 1000)
+
+
 @query("top_rows", "T1 B15", """SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10""", "", {"o_totalprice": 2})
 def top_rows(spark, sf_dir):
     return explore.top_rows(load(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"))
@@ -185,7 +198,28 @@ def regression_one_category(spark, sf_dir):
     return regression.regress(table).select("n_obs", "feature", "coefficient", "std_err", "vif", "r_squared")
 
 
-@query("regression_with_categories", "D38 D39 D40 D41 G1")
+# normal equations of the centred columns beside the unit matrix, cleared column by column: the coefficients and the inverse
+_FEATURES = {"l_quantity": "l_quantity::DOUBLE", "l_tax": "CASE WHEN l_tax > 0 THEN l_tax::DOUBLE ELSE med END", "l_returnflag_N": "(l_returnflag = 'N')::INT::DOUBLE",
+             "l_returnflag_R": "(l_returnflag = 'R')::INT::DOUBLE", "l_linestatus_O": "(l_linestatus = 'O')::INT::DOUBLE"}
+_CATEGORIES = f"""WITH RECURSIVE m AS (SELECT quantile_cont(l_tax::DOUBLE, 0.5) AS med FROM lineitem WHERE l_tax > 0),
+x AS (SELECT l_extendedprice::DOUBLE AS y, [{", ".join(_FEATURES.values())}] AS f FROM lineitem, m),
+a AS (SELECT count(*) AS n, avg(y) AS my, [{", ".join(f"avg(f[{i}])" for i in range(1, 6))}] AS mf FROM x),
+z AS (SELECT y - my AS y, [{", ".join(f"f[{i}] - mf[{i}]" for i in range(1, 6))}] AS f FROM x, a),
+g AS (SELECT [{", ".join("[" + ", ".join([f"sum(f[{i}] * f[{j}])" for j in range(1, 6)] + [f"sum(f[{i}] * y)"] + [f"{int(i == j)}.0::DOUBLE" for j in range(1, 6)]) + "]" for i in range(1, 6))}] AS m, sum(y * y) AS tss FROM z),
+gj(k, m) AS (SELECT 1::BIGINT, m FROM g UNION ALL SELECT k + 1, list_transform(range(1, 6), lambda i: CASE WHEN i = k THEN list_transform(m[k], lambda v: v / m[k][k])
+  ELSE list_transform(range(1, 12), lambda j: m[i][j] - m[i][k] * m[k][j] / m[k][k]) END) FROM gj WHERE k <= 5),
+s AS (SELECT gj.m AS s, g.m AS g, tss, tss - list_sum(list_transform(range(1, 6), lambda i: gj.m[i][6] * g.m[i][6])) AS rss, n, n - 6 AS dof FROM gj, g, a WHERE k = 6),
+c AS (SELECT dof, 0.0::DOUBLE AS low, 50.0::DOUBLE AS high, 0 AS step FROM s UNION ALL
+  SELECT dof, CASE WHEN {demo.t_two_sided_sql('least((low + high) / 2, 12)', 'dof')} > 0.05 THEN (low + high) / 2 ELSE low END,
+         CASE WHEN {demo.t_two_sided_sql('least((low + high) / 2, 12)', 'dof')} > 0.05 THEN high ELSE (low + high) / 2 END, step + 1 FROM c WHERE step < 50),
+r AS (SELECT i, s[i][6] AS b, sqrt(s[i][6 + i] * rss / s.dof) AS se, s[i][6 + i] * g[i][i] AS vif, 1 - rss / tss AS r2, n, s.dof AS dof, high AS crit FROM s, c, range(1, 6) t(i) WHERE step = 50)
+SELECT 'l_extendedprice' AS target, n AS n_obs, 5 AS n_features, [{", ".join(f"'{f}'" for f in _FEATURES)}][i] AS feature, b AS coefficient, se AS std_err, b / se AS t_stat,
+ {demo.t_two_sided_sql('least(abs(b / se), 12)', 'dof')} AS p_value, b - crit * se AS ci_lower, b + crit * se AS ci_upper, {demo.t_two_sided_sql('least(abs(b / se), 12)', 'dof')} < 0.05 AS significant,
+ vif, r2 AS r_squared, 1 - (1 - r2) * (n - 1) / dof AS adj_r_squared, r2 / 5 / ((1 - r2) / dof) AS f_stat, {demo.f_upper_sql('r2 / 5 / ((1 - r2) / dof)', '5', 'dof')} AS f_pvalue, '' AS collinear_dropped FROM r"""
+
+
+@query("regression_with_categories", "D38 D39 D40 D41 G1", _CATEGORIES, "p_value vif r_squared adj_r_squared f_pvalue",
+       {"coefficient": 3, "std_err": 4, "t_stat": 4, "ci_lower": 3, "ci_upper": 3, "f_stat": 2})
 def regression_with_categories(spark, sf_dir):
     table = lineitem(spark, sf_dir).select("l_extendedprice", "l_quantity", F.when(F.col("l_tax") > 0, F.col("l_tax")).alias("l_tax"),
                                            "l_returnflag", "l_linestatus")

@@ -5,8 +5,8 @@ import pytest
 from registry import check
 from registry.catalog import ENTRIES
 
-#: tested against numpy in test_explore.py; a second form of it has check SQL
-WITHOUT_SQL = {"regression_with_categories"}
+#: queries that SQL cannot express
+WITHOUT_SQL: set[str] = set()
 SF = "/root/testdata/sf0.001"
 
 
