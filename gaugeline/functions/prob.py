@@ -1,22 +1,11 @@
-"""Probability functions as vectorised column functions.
-
-They run on result rows (one per test), never on event rows: the sums that
-feed them have already been reduced by Spark.
-"""
+"""Probability functions of plain numbers, for values that the driver holds; :mod:`gaugeline.functions.tails` has them for columns."""
 
 from __future__ import annotations
 
 import math
-import sys
 from statistics import NormalDist
 
 import numpy as np
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import functions as F, types as T
-
-# Ship these functions with the query, so executors need no copy of the package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _STANDARD = NormalDist()
 _TINY = 1e-300
@@ -129,7 +118,7 @@ def chi2_sf(x: float, dof: float) -> float:
 
 
 def f_sf(x: float, d1: float, d2: float) -> float:
-    return betainc(d2 / 2.0, d1 / 2.0, d2 / (d2 + d1 * x)) if x > 0 else 1.0
+    return betainc(d2 / 2.0, d1 / 2.0, d2 / (d2 + d1 * x), d1 * x / (d2 + d1 * x)) if x > 0 else 1.0
 
 
 _NODES, _WEIGHTS = np.polynomial.legendre.leggauss(600)
@@ -146,41 +135,7 @@ def nct_cdf(t: float, dof: float, nc: float) -> float:
     return float((weight * inner).sum() / weight.sum())
 
 
-def _column_function(fn):
-    """Wrap a scalar function as a pandas UDF over double columns; nulls stay null."""
-    def apply(*cols: pd.Series) -> pd.Series:
-        rows = zip(*[c.to_numpy(dtype=float, na_value=np.nan) for c in cols])
-        return pd.Series([fn(*r) if not any(math.isnan(v) for v in r) else None for r in rows], dtype="float64")
-
-    arity = fn.__code__.co_argcount
-    if arity == 1:
-        def wrapped(a: pd.Series) -> pd.Series: return apply(a)
-    elif arity == 2:
-        def wrapped(a: pd.Series, b: pd.Series) -> pd.Series: return apply(a, b)
-    else:
-        def wrapped(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series: return apply(a, b, c)
-    return F.pandas_udf(wrapped, T.DoubleType())
-
-
-def t_tail_p(t: float, dof: float) -> float:
-    return 2.0 * t_sf(abs(t), dof)
-
-
-def z_tail_p(z: float) -> float:
-    return 2.0 * norm_sf(abs(z))
-
-
 def post_hoc(ncp: float, dof: float, alpha: float) -> float:
     """Two-sided power of a t-test with the given non-centrality."""
     critical = t_ppf(1.0 - alpha / 2.0, dof)
     return 1.0 - nct_cdf(critical, dof, ncp) + nct_cdf(-critical, dof, ncp)
-
-
-t_sf_col = _column_function(t_sf)
-t_two_sided_col = _column_function(t_tail_p)
-t_ppf_col = _column_function(t_ppf)
-norm_sf_col = _column_function(norm_sf)
-z_two_sided_col = _column_function(z_tail_p)
-chi2_sf_col = _column_function(chi2_sf)
-f_sf_col = _column_function(f_sf)
-post_hoc_power_col = _column_function(post_hoc)

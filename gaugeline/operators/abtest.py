@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from gaugeline.functions import prob
+from gaugeline.functions import prob, tails
 from gaugeline.functions.names import harm_direction_col
 from gaugeline.functions.numbers import POSITIVE_INFINITY, mean_of, money_label, ratio, sample_variance_of, skewness_of
 
@@ -73,11 +73,11 @@ def welch_test(moments: DataFrame, by: list[str], alpha: float = 0.05, alternati
                            .otherwise(0.0)),
     })
     t, dof = F.col("t_stat"), F.col("dof")
-    p_value = {"two-sided": prob.t_two_sided_col(t, dof), "greater": prob.t_sf_col(t, dof),
-               "less": prob.t_sf_col(-t, dof)}[alternative]
+    p_value = {"two-sided": tails.t_two_sided(t, dof), "greater": tails.t_sf(t, dof),
+               "less": tails.t_sf(-t, dof)}[alternative]
     tail = alpha / 2 if alternative == "two-sided" else alpha
     arms = arms.withColumns({"p_value": p_value,
-                             "t_crit": prob.t_ppf_col(F.when(usable, F.lit(1 - tail)), dof)})
+                             "t_crit": tails.t_ppf(F.when(usable, F.lit(1 - tail)), dof)})
     return arms.select(
         *by, "status", "n_control", "n_treatment", "control_mean", "treatment_mean", "control_var", "treatment_var",
         "mean_diff", "std_err", "t_stat", "dof", "p_value",
@@ -188,7 +188,7 @@ def interaction_test(level_cells: DataFrame) -> DataFrame:
     usable = (F.col("n") >= 10) & F.col("n_levels").between(2, 50) & (d2 > 0) & (F.col("ss_full") > 0)
     tested = totals.where(usable).withColumns({"d1": d1, "d2": d2}).withColumn(
         "f_stat", ratio(F.col("ss_extra") / F.col("d1"), F.col("ss_full") / F.col("d2")))
-    return tested.withColumn("p_value", prob.f_sf_col(F.col("f_stat"), F.col("d1").cast("double"), F.col("d2").cast("double"))) \
+    return tested.withColumn("p_value", tails.f_sf(F.col("f_stat"), F.col("d1").cast("double"), F.col("d2").cast("double"))) \
         .select("metric", "segment_col", "n", "n_levels", "ss_full", "ss_extra", "f_stat", "p_value")
 
 
@@ -204,7 +204,7 @@ def sample_ratio(moments: DataFrame, by: list[str], expected_ratio: float = 0.5,
     chi2 = F.pow(F.col("n_control") - e_c, F.lit(2.0)) / e_c + F.pow(F.col("n_treatment") - e_t, F.lit(2.0)) / e_t
     out = arms.withColumns({"expected_ratio": F.lit(expected_ratio), "chi2": chi2,
                             "observed_ratio": F.col("n_control") / total})
-    out = out.withColumn("p_value", prob.chi2_sf_col(F.col("chi2"), F.lit(1.0)))
+    out = out.withColumn("p_value", tails.chi2_sf(F.col("chi2"), F.lit(1.0)))
     return out.withColumn("srm_detected", F.col("p_value") < alpha)
 
 
@@ -270,7 +270,7 @@ def detectable_effect(tests: DataFrame, alpha: float = 0.05, power: float = 0.80
         "is_powered": F.abs(observed) >= F.col("mde_absolute"),
         "ncp": F.when(F.col("_se") >= 1e-12, ratio(F.abs(observed), F.col("_se"))),
     })
-    return out.withColumn("post_hoc_power", prob.post_hoc_power_col(F.col("ncp"), n_c + n_t - 2, F.lit(alpha))).drop("_se")
+    return out.withColumn("post_hoc_power", tails.post_hoc_power(F.col("ncp"), n_c + n_t - 2, F.lit(alpha))).drop("_se")
 
 
 def required_sample_size(mean: Column, std: Column, mde_pct: Column, alpha: float = 0.05, power: float = 0.80) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from gaugeline.functions import prob
+from gaugeline.functions import tails
 from gaugeline.functions.numbers import POSITIVE_INFINITY, ratio
 from gaugeline.plans.experiment import where_equal
 
@@ -77,7 +77,7 @@ def conditional_funnel(df: DataFrame, steps: list[str] | tuple[str, ...] = DEFAU
         "pct_change": F.when(F.col("control_rate") == 0, F.lit(POSITIVE_INFINITY))
                        .otherwise(ratio(F.col("delta"), F.col("control_rate")) * 100),
         "z_stat": ratio(F.col("delta"), F.col("se"), 0.0),
-    }).withColumn("p_value", F.when(F.col("se") == 0, 1.0).otherwise(prob.z_two_sided_col(F.col("z_stat"))))
+    }).withColumn("p_value", F.when(F.col("se") == 0, 1.0).otherwise(tails.z_two_sided(F.col("z_stat"))))
     biggest = W.partitionBy(F.lit(1)).orderBy(F.abs("delta").desc(), "step_index")
     return g.select("step_index", "step", "status", "n_control", "n_treatment", "control_rate", "treatment_rate", "delta",
                     "pct_change", "z_stat", "p_value", (F.col("p_value") < alpha).alias("significant"),
