@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gaugeline.functions.names import week_number
-from gaugeline.operators import forecast, funnel, growth, timeseries
+from gaugeline.operators import activity, forecast, funnel, growth, timeseries
 from gaugeline.plans import experiment as plan
 from gaugeline.sources.tables import load
 from registry import demo
@@ -106,6 +106,17 @@ def growth_accounting_short_window(spark, sf_dir):
     return metrics_daily(spark, sf_dir, 3).withColumn("date", F.col("date").cast("string"))
 
 
+@query("growth_accounting_bitmaps", "D32 E8 C15 U1", _growth_sql(28), "avg_value avg_error_rate")
+def growth_accounting_bitmaps(spark, sf_dir):
+    out = activity.growth_accounting(demo.events(spark, sf_dir), ["platform", "user_segment"], rates=["value", "error_rate"])
+    return out.withColumn("date", F.col("date").cast("string"))
+
+
+@query("reach_between_dates", "C15 U1", "SELECT count(DISTINCT user_id) AS reach FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-06'")
+def reach_between_dates(spark, sf_dir):
+    return activity.reach(activity.day_bitmaps(demo.events(spark, sf_dir), "user_id", "date"), "2024-01-05", "2024-01-06")
+
+
 @query("active_user_sets", "C15 U1", """WITH d AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS date FROM events),
 today AS (SELECT user_id FROM d WHERE date = DATE '2024-01-20'), prior AS (SELECT DISTINCT user_id FROM d WHERE date < DATE '2024-01-20' AND date >= DATE '2024-01-20' - 2),
 older AS (SELECT DISTINCT user_id FROM d WHERE date < DATE '2024-01-20' - 2), exactly AS (SELECT user_id FROM d WHERE date = DATE '2024-01-20' - 2)
