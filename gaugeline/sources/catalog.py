@@ -141,6 +141,16 @@ def snapshot(catalog: DataFrame, connection: str, taken_at: str) -> DataFrame:
     return catalog.withColumns({"connection_id": F.lit(connection), "snapshot_ts": F.lit(taken_at).cast("timestamp")})
 
 
+def append_snapshot(catalog: DataFrame, connection: str, taken_at: str, folder: str) -> None:
+    """Add a snapshot to the table in ``folder``; earlier ones stay. Taking the same one again replaces it."""
+    rows = snapshot(catalog, connection, taken_at).withColumn("day", F.date_format("snapshot_ts", "yyyyMMddHHmmss"))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("connection_id", "day").parquet(folder)
+
+
+def read_snapshots(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(folder).drop("day").withColumn("connection_id", F.col("connection_id").cast("string"))
+
+
 def latest_snapshot(snapshots: DataFrame) -> DataFrame:
     """The newest snapshot of each connection."""
     newest = snapshots.groupBy("connection_id").agg(F.max("snapshot_ts").alias("snapshot_ts"))

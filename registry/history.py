@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from gaugeline.functions import times
-from gaugeline.operators import history, limiter, spend
+from gaugeline.operators import explore, history, limiter, spend
 from gaugeline.session import checkpoint_dir
-from gaugeline.sources import catalog, files, runlog
+from gaugeline.sources import catalog, files, profiles, runlog
 from gaugeline.sources.tables import load, load_spread
 from gaugeline.streaming import counters, limiter as streaming_limiter
 from registry.base import query
@@ -371,6 +371,23 @@ def infer_time_series(spark, sf_dir):
     return files.infer_tables(flat)["events"].groupBy("user_id", F.col("order_date").cast("string").alias("order_date")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("merged_profile", "A15 D7 D34", """SELECT 'l_quantity' AS "column", count(*) AS n, count(l_quantity) AS non_null, avg(l_quantity) AS mean, stddev_samp(l_quantity) AS std, CAST(min(l_quantity) AS DOUBLE) AS low, CAST(max(l_quantity) AS DOUBLE) AS high, true AS distinct_close, true AS median_close FROM lineitem
+UNION ALL SELECT 'l_extendedprice', count(*), count(l_extendedprice), avg(l_extendedprice), stddev_samp(l_extendedprice), min(l_extendedprice), max(l_extendedprice), true, true FROM lineitem
+UNION ALL SELECT 'l_tax', count(*), count(l_tax), avg(l_tax), stddev_samp(l_tax), min(l_tax), max(l_tax), true, true FROM lineitem""", "low high", {"mean": 4, "std": 4})
+def merged_profile(spark, sf_dir):
+    """States of the ship months are stored, one month again, and merged; estimates are held against exact values."""
+    lines = load(spark, sf_dir, "lineitem")
+    columns, month = ["l_quantity", "l_extendedprice", "l_tax"], F.date_format("l_shipdate", "yyyy-MM")
+    folder = f"{checkpoint_dir(spark)}/profile-{uuid.uuid4().hex}"
+    profiles.store(profiles.profile_state(lines, month, columns), folder)
+    profiles.store(profiles.profile_state(lines.where(month == "1995-03"), month, columns), folder)
+    state = profiles.merged(profiles.stored(spark, folder))
+    exact = explore.numeric_summary(lines, columns).select(F.col("name").alias("column"), "n_unique", "p25", "p75")
+    out = profiles.shown(state).join(exact, "column").join(state.select("column", "low", "high"), "column")
+    return out.select("column", "n", "non_null", "mean", "std", "low", "high", (F.abs(F.col("about_distinct") / F.col("n_unique") - 1) < 0.05).alias("distinct_close"),
+                      F.col("about_median").between(F.col("p25"), F.col("p75")).alias("median_close"))
+
+
 @query("table_profile", "A15 A16", """WITH p AS (SELECT 'orders' AS "table", count(*) AS n_rows, count(DISTINCT o_orderkey) AS d0, count(DISTINCT o_custkey) AS d1, count(DISTINCT o_orderstatus) AS d2, count(DISTINCT o_totalprice) AS d3, count(DISTINCT o_orderdate) AS d4, count(DISTINCT o_orderpriority) AS d5 FROM orders)
 SELECT "table", position::INT AS position, "column", type, n_rows, n_distinct, samples FROM p, LATERAL (VALUES (0, 'o_orderkey', 'bigint', d0, NULL), (1, 'o_custkey', 'bigint', d1, NULL),
  (2, 'o_orderstatus', 'string', d2, (SELECT string_agg(v, ' | ' ORDER BY v) FROM (SELECT DISTINCT o_orderstatus AS v FROM orders ORDER BY 1 LIMIT 5))), (3, 'o_totalprice', 'double', d3, NULL),
@@ -406,6 +423,19 @@ def catalog_hashes(spark, sf_dir):
     return catalog.schema_hash(catalog.columns_of(tables)).join(counts, "table")
 
 
+@query("stored_snapshots", "A24 A25", """SELECT 'events' AS "table", c AS "column", k AS change, e.n_rows FROM (VALUES ('event_id', 'added'), ('user_id', 'added'), ('event_type', 'added'), ('props', 'added'), ('value', 'retyped')) t(c, k), (SELECT count(*) AS n_rows FROM events) e""")
+def stored_snapshots(spark, sf_dir):
+    """Three snapshots of two connections are stored one by one; the newest of one is compared with the table as it is."""
+    events = load(spark, sf_dir, "events")
+    folder = f"{checkpoint_dir(spark)}/snapshots-{uuid.uuid4().hex}"
+    for connection, at, columns in (("c1", "2024-01-01 00:00:00", ["ts"]), ("c2", "2024-03-01 00:00:00", ["user_id"]), ("c1", "2024-02-01 00:00:00", ["ts", "value"])):
+        old = events.select(*[F.col(c).cast("string").alias(c) if c == "value" else c for c in columns])
+        catalog.append_snapshot(catalog.columns_of({"events": old}), connection, at, folder)
+    newest = catalog.latest_snapshot(catalog.read_snapshots(spark, folder)).where("connection_id = 'c1'")
+    rows = events.agg(F.count(F.lit(1))).scalar()
+    return catalog.schema_changes(newest, catalog.columns_of({"events": events})).select("table", "column", "change", rows.alias("n_rows"))
+
+
 @query("schema_changes", "A24 A25", """SELECT t."table", t."column", t.change, e.n_rows FROM (VALUES ('events', 'props', 'removed'), ('events', 'platform', 'added'), ('events', 'value', 'retyped')) t("table", "column", change), (SELECT count(*) AS n_rows FROM events) e""")
 def schema_changes(spark, sf_dir):
     before = load(spark, sf_dir, "events")
