@@ -40,34 +40,38 @@ def _sample(h: Column, log_weight: Column) -> Column:
     return F.shiftleft(place, 31).bitwiseOR(F.xxhash64(h, t).bitwiseAND(F.lit((1 << 31) - 1)))
 
 
-def successors(documents: DataFrame) -> DataFrame:
-    """id, next_id for the distinct ids (null as the smallest number): by block of ids, then by block of blocks."""
+def successors(documents: DataFrame, scratch: Scratch) -> DataFrame:
+    """id, next_id for the distinct ids (null as the smallest number), the first after the last. Ids are dealt out by range, whatever gaps they have."""
     ids = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("id")).distinct()
-    block, top = F.floor(F.col("id") / 1024), F.floor(F.col("id") / (1024 * 4096))
-    ids = ids.select("id", block.alias("b"))
-    heads = ids.groupBy("b").agg(F.min("id").alias("head")).withColumn("top", F.floor(F.col("head") / (1024 * 4096)))
-    tops = heads.groupBy("top").agg(F.min("head").alias("first"))
-    # one row per four million ids
-    tops = tops.withColumn("after", F.coalesce(F.lead("first").over(Window.orderBy("top")), F.min("first").over(Window.partitionBy())))
-    heads = heads.join(tops, "top").withColumn("follow", F.coalesce(F.lead("head").over(Window.partitionBy("top").orderBy("b")), F.col("after"))).select("b", "follow")
-    return ids.join(heads, "b").select("id", F.coalesce(F.lead("id").over(Window.partitionBy("b").orderBy("id")), F.col("follow")).alias("next_id"))
+    parts = max(documents.sparkSession.sparkContext.defaultParallelism, ids.count() // 1_000_000 + 1)
+    dealt = scratch.keep(ids.repartitionByRange(parts, "id").withColumn("range", F.spark_partition_id()))
+    heads = dealt.groupBy("range").agg(F.min("id").alias("head"))
+    # one row per range
+    follow = heads.select("range", F.coalesce(F.lead("head").over(Window.orderBy("range")), F.min("head").over(Window.partitionBy())).alias("follow"))
+    here = F.lead("id").over(Window.partitionBy("range").orderBy("id"))
+    return dealt.withColumn("next", here).join(F.broadcast(follow), "range").select("id", F.coalesce("next", "follow").alias("next_id"))
 
 
-def signatures(rows: DataFrame, place: str, key: str, texts: str, samples: int = SAMPLES) -> DataFrame:
-    """One row per ``key``: fp0, fp1, … with the hexadecimal fingerprints of the texts in array ``texts``.
+def signatures(rows: DataFrame, place: str, key: str, first: str, second: str, samples: int = SAMPLES) -> DataFrame:
+    """One row per ``key``: fp0 and fp1, the hexadecimal fingerprints of the texts ``first`` and ``second``; empty without words.
 
     ``rows`` must be partitioned by ``place``, which ``key`` determines: splitting, counting and taking minima stay where
-    the rows are. A text without words has a null fingerprint; without any, the key has no row.
+    the rows are. A term that both texts have equally often is sampled once. A key without any word has no row.
     """
-    words = (rows.select(place, key, F.posexplode(texts).alias("v", "text")).select(place, key, "v", F.explode(F.split(F.lower("text"), WORD_BREAK)).alias("word"))
+    texts = F.array(F.struct(F.lit(0).alias("v"), F.col(first).alias("t")), F.struct(F.lit(1).alias("v"), F.col(second).alias("t")))
+    words = (rows.select(place, key, F.explode(texts).alias("x")).select(place, key, "x.v", F.explode(F.split(F.lower("x.t"), WORD_BREAK)).alias("word"))
              .filter("word <> ''").select(place, key, "v", F.xxhash64("word").alias("term")))
-    weights = words.groupBy(place, key, "v", "term").agg(F.count("*").alias("w"))
-    batches = weights.select(place, key, "v", "term", F.log(F.col("w").cast("double")).alias("lw"), F.explode(F.sequence(F.lit(0), F.lit(samples // BATCH - 1))).alias("g"))
-    least = batches.groupBy(place, key, "v", "g").agg(*[F.min(_sample(F.xxhash64("term", "g", F.lit(j)), F.col("lw"))).alias(f"s{j}") for j in range(BATCH)])
-    part = F.concat(*[F.lpad(F.hex(F.col(f"s{j}").bitwiseAND(F.lit(0xFFFF))), 4, "0") for j in range(BATCH)])
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("g", part.alias("part")))), lambda x: x["part"]), "")
-    whole = least.groupBy(place, key, "v").agg(text.alias("fp"))
-    return whole.groupBy(place, key).agg(*[F.max(F.when(F.col("v") == v, F.col("fp"))).alias(f"fp{v}") for v in (0, 1)])
+    weights = words.groupBy(place, key, "term").agg(F.count_if(F.col("v") == 0).alias("w0"), F.count_if(F.col("v") == 1).alias("w1"))
+    # which texts a sample is for: 1, 2 or both
+    one = lambda w, which: F.struct(F.log(F.col(w).cast("double")).alias("lw"), F.lit(which).alias("which"))
+    uses = F.when(F.col("w0") == F.col("w1"), F.array(one("w0", 3))).when(F.col("w1") == 0, F.array(one("w0", 1))) \
+        .when(F.col("w0") == 0, F.array(one("w1", 2))).otherwise(F.array(one("w0", 1), one("w1", 2)))
+    drawn = (weights.select(place, key, "term", F.explode(uses).alias("u")).select(place, key, "term", "u.lw", "u.which", F.explode(F.sequence(F.lit(0), F.lit(samples // BATCH - 1))).alias("g"))
+             .select(place, key, "g", "which", *[_sample(F.xxhash64("term", "g", F.lit(j)), F.col("lw")).alias(f"s{j}") for j in range(BATCH)]))
+    least = drawn.groupBy(place, key, "g").agg(*[F.min(F.when(F.col("which") != other, F.col(f"s{j}"))).alias(f"m{v}_{j}") for v, other in ((0, 2), (1, 1)) for j in range(BATCH)])
+    part = lambda v: F.concat(*[F.lpad(F.hex(F.col(f"m{v}_{j}").bitwiseAND(F.lit(0xFFFF))), 4, "0") for j in range(BATCH)])
+    batches = F.array_sort(F.collect_list(F.struct("g", part(0).alias("p0"), part(1).alias("p1"))))
+    return least.groupBy(place, key).agg(batches.alias("b")).select(place, key, F.array_join("b.p0", "").alias("fp0"), F.array_join("b.p1", "").alias("fp1"))
 
 
 def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
@@ -77,27 +81,29 @@ def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
 
 
 def fingerprints(documents: DataFrame, samples: int = SAMPLES) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row."""
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row.
+
+    Texts are dealt out by id once; of the next document only the head that the edit needs is sent to its predecessor.
+    """
     scratch = Scratch(documents.sparkSession)
-    # one place per id, in pieces of about 6 MB; both joins read this one exchange
     parts = parts_for(documents, 6)
     docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    dealt = docs.repartition(parts, "id")
-    nxt = dealt.select(F.col("id").alias("nid"), F.col("text").alias("ntext"))
-    repeated = docs.groupBy("id").agg(F.count("*").alias("c")).filter("c > 1").limit(1).count() > 0
-    if repeated:
-        nxt = nxt.groupBy("nid").agg(F.min("ntext").alias("ntext")).repartition(parts, "nid")
-    pairs = dealt.join(successors(documents), "id").repartition(parts, "next_id").join(nxt, F.col("next_id") == F.col("nid"))
     half = F.floor(F.length("text") / 2).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("ntext", F.lit(1), half))
-    tie = F.xxhash64("text")
-    rows = pairs.select("next_id", "id", tie.alias("tie"), F.xxhash64("ntext").alias("ntie"), F.xxhash64("id", tie).alias("rk"), "text", edited.alias("edited"))
-    facts = rows.select("next_id", "id", "tie", "ntie", "rk", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
+    sizes = docs.select("id", half.alias("half")).groupBy("id").agg(F.max("half").alias("half"), F.count("*").alias("c"))
+    needs = scratch.keep(sizes.join(successors(documents, scratch), "id"))
+    repeated = needs.filter("c > 1").limit(1).count() > 0
+    dealt = docs.repartition(parts, "id")
+    following = dealt.groupBy("id").agg(F.min("text").alias("text")) if repeated else dealt
+    heads = (following.withColumnRenamed("id", "next_id").join(needs.select(F.col("id").alias("before"), "next_id", "half"), "next_id")
+             .select(F.col("before").alias("id"), "next_id", F.xxhash64("text").alias("ntie"), F.substring("text", F.lit(1), F.col("half")).alias("head")).repartition(parts, "id"))
+    edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("head", F.lit(1), half))
+    rows = dealt.join(heads, "id").select("id", "next_id", "ntie", F.xxhash64("text").alias("tie"), "text", edited.alias("edited"))
+    facts = rows.select("id", "next_id", "ntie", "tie", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
     # equal rows are fingerprinted once
-    once = rows.dropDuplicates(["next_id", "rk"]) if repeated else rows
-    found = signatures(once.select("next_id", "rk", F.array("text", "edited").alias("texts")), "next_id", "rk", "texts", samples)
+    once = rows.dropDuplicates(["id", "tie"]) if repeated else rows
+    found = signatures(once.select("id", "tie", "text", "edited"), "id", "tie", "text", "edited", samples)
     blank = lambda c: F.coalesce(F.col(c), F.lit(""))
-    table = scratch.keep(facts.join(found, ["next_id", "rk"], "left").select("id", "tie", "next_id", "ntie", "n_chars", "edited_sha256", blank("fp0").alias("fingerprint"), blank("fp1").alias("edited_fingerprint")))
+    table = scratch.keep(facts.join(found, ["id", "tie"], "left").select("id", "tie", "next_id", "ntie", "n_chars", "edited_sha256", blank("fp0").alias("fingerprint"), blank("fp1").alias("edited_fingerprint")))
     other = table.select(F.col("id").alias("next_id"), F.col("tie").alias("ntie"), F.col("fingerprint").alias("nfp"))
     other = other.dropDuplicates(["next_id", "ntie"]) if repeated else other
     shown = table.join(other, ["next_id", "ntie"])

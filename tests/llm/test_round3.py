@@ -171,3 +171,23 @@ def test_empty_tables(spark):
     assert importance.resampled(none, none).count() == 0
     assert urls.judged(pages, rules).count() == 0
     assert [tuple(r) for r in urls.judged(some, rules).select("host", "path", "rule", "verdict").collect()] == [("a.b", "/c", None, "allow")]
+
+
+# ---- 4 ----
+
+def test_fingerprints_of_sparse_ids(spark):
+    from gaugeline.llm import fingerprint
+    rng = random.Random(8)
+    ids = rng.sample(range(-2**62, 2**62), 60)
+    rows = {i: " ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(rng.randint(0, 40))) for i in ids}
+    out = {r.doc_id: r for r in fingerprint.fingerprints(spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(3)).collect()}
+    order = sorted(ids)
+    prints = {}
+    for i, nxt in zip(order, order[1:] + order[:1]):
+        text, r = rows[i], out[i]
+        edited = text[:len(text) - len(text) // 2] + rows[nxt][:len(text) // 2]
+        assert r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and r.n_chars == len(text)
+        assert (r.near_edited == 1) if edited.lower().split() == text.lower().split() else True
+        for t, f in ((text, r.fingerprint), (edited, r.edited_fingerprint)):
+            assert prints.setdefault(" ".join(sorted(t.lower().split())), f) == f
+    assert len(out) == 60
