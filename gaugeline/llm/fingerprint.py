@@ -94,18 +94,21 @@ def fingerprints(documents: DataFrame, samples: int = SAMPLES) -> DataFrame:
     repeated = needs.filter("c > 1").limit(1).count() > 0
     dealt = docs.repartition(parts, "id")
     following = dealt.groupBy("id").agg(F.min("text").alias("text")) if repeated else dealt
+    # two columns only, so that both uses of the heads are one exchange
     heads = (following.withColumnRenamed("id", "next_id").join(needs.select(F.col("id").alias("before"), "next_id", "half"), "next_id")
-             .select(F.col("before").alias("id"), "next_id", F.xxhash64("text").alias("ntie"), F.substring("text", F.lit(1), F.col("half")).alias("head")).repartition(parts, "id"))
+             .select(F.col("before").alias("id"), F.substring("text", F.lit(1), F.col("half")).alias("head")).repartition(parts, "id"))
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("head", F.lit(1), half))
-    rows = dealt.join(heads, "id").select("id", "next_id", "ntie", F.xxhash64("text").alias("tie"), "text", edited.alias("edited"))
-    facts = rows.select("id", "next_id", "ntie", "tie", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
+    rows = dealt.join(heads, "id").select("id", F.xxhash64("text").alias("tie"), "text", edited.alias("edited"))
+    facts = rows.select("id", "tie", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
     # equal rows are fingerprinted once
     once = rows.dropDuplicates(["id", "tie"]) if repeated else rows
     found = signatures(once.select("id", "tie", "text", "edited"), "id", "tie", "text", "edited", samples)
     blank = lambda c: F.coalesce(F.col(c), F.lit(""))
-    table = scratch.keep(facts.join(found, ["id", "tie"], "left").select("id", "tie", "next_id", "ntie", "n_chars", "edited_sha256", blank("fp0").alias("fingerprint"), blank("fp1").alias("edited_fingerprint")))
-    other = table.select(F.col("id").alias("next_id"), F.col("tie").alias("ntie"), F.col("fingerprint").alias("nfp"))
-    other = other.dropDuplicates(["next_id", "ntie"]) if repeated else other
-    shown = table.join(other, ["next_id", "ntie"])
+    table = scratch.keep(facts.join(found, ["id", "tie"], "left").select("id", "tie", "n_chars", "edited_sha256", blank("fp0").alias("fingerprint"), blank("fp1").alias("edited_fingerprint")))
+    other = table.select("id", "tie", F.col("fingerprint").alias("nfp"))
+    if repeated:
+        other = other.dropDuplicates(["id", "tie"]).join(following.select("id", F.xxhash64("text").alias("tie")), ["id", "tie"])
+    other = other.select(F.col("id").alias("next_id"), "nfp")
+    shown = table.join(needs.select("id", "next_id"), "id").join(other, "next_id")
     return shown.select(F.when(F.col("id") != LEAST, F.col("id")).alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
                         likeness(F.col("fingerprint"), F.col("edited_fingerprint"), samples).alias("near_edited"), likeness(F.col("fingerprint"), F.col("nfp"), samples).alias("near_next"))

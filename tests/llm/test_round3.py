@@ -178,7 +178,7 @@ def test_empty_tables(spark):
 def test_fingerprints_of_sparse_ids(spark):
     from gaugeline.llm import fingerprint
     rng = random.Random(8)
-    ids = rng.sample(range(-2**62, 2**62), 60)
+    ids = [rng.randint(-2**62, 2**62) for _ in range(60)]
     rows = {i: " ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(rng.randint(0, 40))) for i in ids}
     out = {r.doc_id: r for r in fingerprint.fingerprints(spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(3)).collect()}
     order = sorted(ids)
