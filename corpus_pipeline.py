@@ -13,15 +13,20 @@ from gaugeline.llm.common import Scratch
 from gaugeline.sources.tables import load
 
 
+BATCH = 1000
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def _tidied(stage: Stage) -> Stage:
-    """Let the driver give up what the stages before have left: plans, broadcasts and shuffles that nothing refers to any more."""
+    """Let the driver give up what the stages before have left: plans, broadcasts and shuffles that nothing refers to any more.
+
+    Texts go to Python in batches of ``BATCH`` rows, as workers keep the memory of their largest batch for later stages.
+    """
     @wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         gc.collect()
         spark._jvm.System.gc()
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
         return stage(spark, docs, sf_dir)
     return run_stage
 
