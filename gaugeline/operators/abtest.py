@@ -119,11 +119,12 @@ def cuped(joint: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def heterogeneous_effects(segments: DataFrame, alpha: float = 0.05, min_segment_size: int = 30,
-                          share_over: str = "arms") -> DataFrame:
+                          share_over: str = "arms", interactions: DataFrame | None = None) -> DataFrame:
     """Welch test per segment with enough users in both arms, Bonferroni over the segments of a metric.
 
     ``share_over='arms'`` divides the two arms' users by all rows of the segment table;
     ``share_over='all'`` counts every arm of the segment. Rows are ordered significant first, then by effect size.
+    With the rows of :func:`interaction_test` each one also has its metric's smallest interaction p-value, null if no column could be tested.
     """
     per_segment = segments.groupBy("metric", "segment").agg(F.sum("n").alias("seg_n"))
     totals = segments.groupBy("metric").agg(F.sum("n").alias("total_n"))
@@ -138,6 +139,9 @@ def heterogeneous_effects(segments: DataFrame, alpha: float = 0.05, min_segment_
         "significant": F.col("p_value") < F.lit(alpha) / F.col("n_tests")})
     shown = kept.select("metric", "segment", "effect_size", "segment_share", "control_mean", "treatment_mean",
                         "t_stat", "dof", "p_value", "significant", "n_control", "n_treatment", "n_tests")
+    if interactions is not None:
+        # one row per named metric
+        shown = shown.join(F.broadcast(smallest_interaction(interactions).drop("segment_col")), "metric", "left")
     return shown.orderBy("metric", F.col("significant").desc(), F.abs("effect_size").desc(), "segment")
 
 
@@ -192,6 +196,13 @@ def interaction_test(level_cells: DataFrame) -> DataFrame:
         .select("metric", "segment_col", "n", "n_levels", "ss_full", "ss_extra", "f_stat", "p_value")
 
 
+def smallest_interaction(interactions: DataFrame) -> DataFrame:
+    """Per metric the segment column whose interaction is surest, and its p-value; ties go to the first name."""
+    least = F.min(F.struct("p_value", "segment_col"))
+    return interactions.where("p_value IS NOT NULL").groupBy("metric").agg(least.alias("least")).select(
+        "metric", F.col("least.segment_col").alias("segment_col"), F.col("least.p_value").alias("interaction_p_value"))
+
+
 def sample_ratio(moments: DataFrame, by: list[str], expected_ratio: float = 0.5, alpha: float = 0.001) -> DataFrame:
     """Chi-square check of the arm sizes against the intended split."""
     if not 0 < expected_ratio < 1:

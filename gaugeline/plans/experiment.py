@@ -71,11 +71,13 @@ def text_date_extract_cut(events: DataFrame, experiment: DataFrame, spec: Experi
 
 def experiment_cells(extract: DataFrame, spec: ExperimentSpec) -> DataFrame:
     """The only pass over the extract. The cells are a few hundred rows; they are written out once, so every
-    statistic that follows reads them and not the extract."""
+    statistic that follows reads them and not the extract. Raises where an arm is missing."""
     spec.validate_extract(extract)
     metrics = list(dict.fromkeys([spec.primary_metric, *[g for g in spec.guardrail_metrics if g in extract.columns]]))
     keys = ["variant", *[c for c in (spec.week_col, *spec.segment_cols) if c in extract.columns]]
-    return cut_lineage(moments.cell_moments(extract, keys, metrics, spec.primary_metric, spec.covariate))
+    cells = cut_lineage(moments.cell_moments(extract, keys, metrics, spec.primary_metric, spec.covariate))
+    abtest.require_arms(cells)
+    return cells
 
 
 def cuped_result(cells: DataFrame, spec: ExperimentSpec) -> DataFrame | None:

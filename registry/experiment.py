@@ -225,7 +225,7 @@ def top_segment(spark, sf_dir):
     return abtest.top_segments(abtest.heterogeneous_effects(segs, min_segment_size=8))
 
 
-@query("segment_interaction", "D17", f"""WITH {demo.EXTRACT_SQL},
+_INTERACTION = f"""WITH {demo.EXTRACT_SQL},
 long AS (SELECT 'platform' AS segment_col, platform AS lev, * FROM xt UNION ALL SELECT 'user_segment', user_segment, * FROM xt),
 c AS (SELECT segment_col, lev, variant = 'treatment' AS tr, count(*) AS n, avg(avg_value) AS m,
         count(*) * var_pop(avg_value) AS ss FROM long WHERE avg_value IS NOT NULL GROUP BY ALL),
@@ -237,12 +237,24 @@ t AS (SELECT segment_col, CAST(sum(n) AS BIGINT) AS n, count(*) AS n_levels, sum
       FROM lv JOIN b USING (segment_col) GROUP BY ALL)
 SELECT 'avg_value' AS metric, *, (ss_extra / (n_levels - 1)) / (ss_full / (n - 2 * n_levels)) AS f_stat,
        {demo.f_upper_sql('((ss_extra / (n_levels - 1)) / (ss_full / (n - 2 * n_levels)))', '(n_levels - 1)', '(n - 2 * n_levels)')} AS p_value
-FROM t""", "f_stat p_value", {"ss_full": 3, "ss_extra": 3})
+FROM t"""
+
+
+@query("segment_interaction", "D17", _INTERACTION, "f_stat p_value", {"ss_full": 3, "ss_extra": 3})
 def segment_interaction(spark, sf_dir):
     level_cells = abtest.interaction_cells(cells(spark, sf_dir), list(demo.SPEC.segment_cols), ["avg_value"])
     return abtest.interaction_test(level_cells)
 
 
+@query("smallest_interaction", "D16 D17", f"SELECT metric, arg_min(segment_col, p_value) AS segment_col, min(p_value) AS interaction_p_value FROM ({_INTERACTION}) GROUP BY metric", "interaction_p_value")
+def smallest_interaction(spark, sf_dir):
+    """From the segment result, which carries it on every row."""
+    c = cells(spark, sf_dir)
+    tests = abtest.interaction_test(abtest.interaction_cells(c, list(demo.SPEC.segment_cols), ["avg_value"]))
+    effects = abtest.heterogeneous_effects(moments.segment_moments(c, list(demo.SPEC.segment_cols), ["avg_value"]), min_segment_size=2, interactions=tests)
+    return abtest.smallest_interaction(tests).drop("interaction_p_value").join(effects.select("metric", "interaction_p_value").distinct(), "metric")
+
+
 @query("sample_ratio", "D18", f"""WITH {demo.EXTRACT_SQL},
 n AS (SELECT count(avg_value) FILTER (variant = 'control') AS n_control, count(avg_value) FILTER (variant = 'treatment') AS n_treatment FROM xt),
 c AS (SELECT *, pow(n_control - 0.5 * (n_control + n_treatment), 2) / (0.5 * (n_control + n_treatment))

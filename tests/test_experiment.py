@@ -195,3 +195,14 @@ def test_spec_validation():
         ExperimentSpec("m", "x", segment_cols=(" ",))
     spec = ExperimentSpec.from_dict({"primary_metric": "m", "covariate": "x", "guardrail_metrics": ["m", "g"], "segment_cols": [], "unknown": 1})
     assert spec.extra_guardrails == ("g",) and spec.metric_source_col == "m" and spec.alternative == "greater"
+
+
+@pytest.mark.parametrize("missing", ["control", "treatment"])
+def test_cells_need_both_arms(spark, extract, missing):
+    from gaugeline.plans.experiment import experiment_cells
+    from gaugeline.spec import ExperimentSpec
+    spec = ExperimentSpec(primary_metric="rate", metric_source_col="rate", covariate="pre_sessions", covariate_source_col="session_count",
+                          guardrail_metrics=("notif_optout",), segment_cols=("platform", "user_segment"), experiment_start="2024-01-15")
+    assert experiment_cells(extract, spec).count() > 0
+    with pytest.raises(ValueError, match="must contain both"):
+        experiment_cells(extract.where(F.col("variant") != missing), spec)
