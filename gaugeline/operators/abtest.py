@@ -219,6 +219,12 @@ def sample_ratio(moments: DataFrame, by: list[str], expected_ratio: float = 0.5,
     return out.withColumn("srm_detected", F.col("p_value") < alpha)
 
 
+def week_effects(weeks: DataFrame) -> DataFrame:
+    """Difference in means per metric and week, for every week of the moments; null where an arm has no value."""
+    mean = lambda arm: ratio(F.sum(F.when(F.col("variant") == arm, F.col("s1"))), F.sum(F.when(F.col("variant") == arm, F.col("n"))))
+    return weeks.groupBy("metric", "week").agg((mean(TREATMENT) - mean(CONTROL)).alias("ate"))
+
+
 def novelty(weeks: DataFrame) -> DataFrame:
     """Week-1 against week-2 effect per metric: direction and whether it looks like a novelty effect."""
     aggs = []

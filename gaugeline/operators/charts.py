@@ -55,9 +55,9 @@ def segment_bars(effects: DataFrame, top: int = 8) -> DataFrame:
     return effects.orderBy(F.abs("effect_size").desc(), "segment").limit(top).select("segment", F.col("effect_size").alias("effect"), "significant")
 
 
-def week_bars(novelty: DataFrame) -> DataFrame:
-    weeks = F.array(*[F.struct(F.lit(f"Week {i}").alias("week"), F.col(f"week{i}_ate").alias("effect")) for i in (1, 2)])
-    return novelty.select("metric", F.explode(weeks).alias("w")).select("metric", "w.*")
+def week_bars(effects: DataFrame) -> DataFrame:
+    """One bar per metric and week, however many weeks there are."""
+    return effects.select("metric", F.concat(F.lit("Week "), "week").alias("week"), F.col("ate").alias("effect"))
 
 
 def funnel_bars(funnel: DataFrame) -> DataFrame:

@@ -397,14 +397,14 @@ e AS (SELECT mean_diff - (SELECT theta FROM th) * (avg(pre_value) FILTER (varian
 SELECT 'avg_value' AS metric, w.week, w.effect, e.ate, mean_diff - high * std_err AS ci_lower, mean_diff + high * std_err AS ci_upper,
        {ex.TWO_SIDED} < 0.05 AS significant
 FROM test, e, (SELECT high FROM crit WHERE step = 50),
- (SELECT 'Week ' || week AS week, avg(avg_value) FILTER (variant = 'treatment') - avg(avg_value) FILTER (variant = 'control') AS effect FROM xt WHERE week IN (1, 2) GROUP BY week) w""",
+ (SELECT 'Week ' || week AS week, avg(avg_value) FILTER (variant = 'treatment') - avg(avg_value) FILTER (variant = 'control') AS effect FROM xt GROUP BY week) w""",
        "effect ate ci_lower ci_upper")
 def experiment_chart_series(spark, sf_dir):
     cells = ex.cells(spark, sf_dir)
     test = abtest.welch_test(moments.long_moments(cells, ["variant"], ["avg_value"]), ["metric"])
     adjusted = abtest.cuped(moments.joint_moments(cells)).withColumn("metric", F.lit("avg_value"))
     bar = charts.effect_bar(test, adjusted)
-    weeks = charts.week_bars(abtest.novelty(moments.week_moments(cells, ["avg_value"])))
+    weeks = charts.week_bars(abtest.week_effects(moments.week_moments(cells, ["avg_value"])))
     return weeks.join(bar, "metric")
 
 

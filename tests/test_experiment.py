@@ -129,6 +129,14 @@ def test_novelty_skips_without_two_weeks(extract):
     assert row["status"].startswith("skipped") and not row["novelty_likely"]
 
 
+def test_week_bars_show_every_week(spark):
+    from gaugeline.operators import charts
+    rows = [("m", w, v, 2, 2.0 * (w if v == "treatment" else 0.5), 0.0, 0.0) for w in (1, 2, 3, 7) for v in ("control", "treatment")] + [("m", 8, "control", 2, 1.0, 0.0, 0.0)]
+    moments_ = spark.createDataFrame(rows, "metric string, week int, variant string, n long, s1 double, s2 double, s3 double")
+    bars = {r["week"]: r["effect"] for r in charts.week_bars(abtest.week_effects(moments_)).collect()}
+    assert bars == {"Week 1": 0.5, "Week 2": 1.5, "Week 3": 2.5, "Week 7": 6.5, "Week 8": None}
+
+
 def test_guardrails(extract):
     long = moments.long_moments(cells_of(extract), ["variant"], ["notif_optout", "session_count"])
     rows = {r["metric"]: r for r in abtest.guardrails(long, default_direction="decrease").collect()}
