@@ -44,6 +44,28 @@ def test_ingest_checks(spark):
     assert files.preview(spark.range(10)).count() == 5
 
 
+def test_ingest_of_a_table_longer_than_one_upload(spark):
+    long = spark.range(0, 2_500_000, 1, 2)
+    with pytest.raises(ValueError, match="rows"):
+        files.check_ingest(long)
+    parts = files.uploads(long)
+    files.check_ingest(parts, by="upload")
+    sizes = [r["count"] for r in parts.groupBy("upload").count().collect()]
+    assert sum(sizes) == 2_500_000 and max(sizes) == files.MAX_ROWS and len(sizes) == 4
+    with pytest.raises(ValueError, match="an upload"):
+        files.check_ingest(files.uploads(long, 2_000_000), by="upload")
+    with pytest.raises(ValueError, match="empty"):
+        files.check_ingest(files.uploads(spark.range(0)), by="upload")
+
+
+def test_checked_ingest_counts_all_rows_of_a_long_table(spark, tmp_path):
+    from registry.catalog import ENTRIES
+    rows = spark.range(0, 1_200_000, 1, 1).select(F.col("id").alias("o_orderkey"), F.when(F.col("id") % 3 == 0, "1-URGENT").otherwise("5-LOW").alias("o_orderpriority"), F.lit(1.0).alias("o_totalprice"))
+    rows.write.parquet(str(tmp_path / "orders.parquet"))
+    got = {r["priority"]: r["n"] for r in ENTRIES["ingest_checked"].run(spark, str(tmp_path)).collect()}
+    assert got == {"1-URGENT": 400_000, "5-LOW": 800_000}
+
+
 def test_result_ceiling(spark):
     with pytest.raises(catalog.ResultTooLargeError) as e:
         catalog.collect_guarded(spark.range(101), 100)
