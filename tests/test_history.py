@@ -25,6 +25,42 @@ def test_similar_runs_equal_brute_force_with_copies_and_a_hot_scope(spark):
     assert got == want and len(got) > 50
 
 
+def test_similar_runs_are_the_same_in_many_small_blocks(spark, monkeypatch):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(12)]
+    rows = [(i, "hot" if i % 4 else "cold", " ".join(rng.choice(words) for _ in range(rng.randrange(0, 7))), i % 50) for i in range(300)]
+    rd = spark.createDataFrame(rows, "run_id int, user_id string, task string, ts int")
+    qd = spark.createDataFrame([(i, s, " ".join(t.split()[1:]), 0) for i, s, t, _ in rows], "question_id int, user_id string, task string, x int")
+    found = lambda: sorted(map(tuple, history.similar_runs(qd, rd, ["user_id"], "question_id", "run_id").collect()))
+    whole = found()
+    monkeypatch.setattr(history, "BLOCK", 16)
+    monkeypatch.setattr(history, "CHUNK", 3)
+    assert found() == whole and len(whole) > 50
+
+
+@pytest.mark.parametrize("block", [4, 16_384])
+def test_examples_equal_brute_force_with_nulls_and_equal_scores(spark, monkeypatch, block):
+    monkeypatch.setattr(history, "BLOCK", block)
+    rng = random.Random(8)
+    words = ["revenue", "region", "churn", "weekly", "country", "orders"]
+    text = lambda: " ".join(rng.choice(words) for _ in range(rng.randrange(0, 5)))
+    some = lambda *v: rng.choice([None, "", *v])
+    rd = [(i, rng.choice("uv"), i % 7, text(), "select 1", some("p", "q"), some("c", "d")) for i in range(60)]
+    qd = [(i, rng.choice("uvw"), text(), some("p", "q"), some("c", "d")) for i in range(30)]
+    runs_ = spark.createDataFrame(rd, "run_id int, user_id string, ts int, task string, sql string, metric_pack_id string, connection_id string")
+    asked = spark.createDataFrame(qd, "question_id int, user_id string, task string, metric_pack_id string, connection_id string")
+    vec = lambda df, k: {r[k]: r["vector"] for r in vectors.dense(vectors.embed(df, [k], "task"), [k], "double").collect()}
+    rv, qv, none = vec(runs_, "run_id"), vec(asked, "question_id"), [0.0] * vectors.DIMENSIONS
+    part = lambda own, other, same, apart: 0.0 if not own else same if own == other else apart if other else 0.0
+    want = []
+    for q, user, _, pack, conn in qd:
+        scores = [(round(sum(a * b for a, b in zip(qv.get(q, none), rv.get(r, none))) + 0.05 * (part(pack, p, 2.0, -1.5) + part(conn, c, 1.0, -1.0)), 7), ts, r)
+                  for r, u, ts, _, _, p, c in rd if u == user]
+        want += [(q, r, s, k + 1) for k, (s, _, r) in enumerate(sorted((x for x in scores if x[0] >= 0.4), reverse=True)[:2])]
+    got = sorted(map(tuple, history.example_statements(asked, runs_).collect()))
+    assert [(q, r, pytest.approx(s, abs=2e-7), k) for q, r, s, k in sorted(want)] == got and len(got) > 20
+
+
 def test_cap_marks_but_keeps_rows(spark):
     df = spark.createDataFrame([("a" if i < 90 else "b", i) for i in range(100)], "scope string, t int")
     out = history.flag_over_cap(df, ["scope"], "t", "t", 20)
