@@ -476,6 +476,31 @@ def test_large_families_of_lines_keep_one(spark):
     assert 395 <= got <= 399
 
 
+def test_followers_of_different_rows_of_a_large_bucket_meet():
+    import pyarrow as pa
+    from itertools import combinations
+    ones = lambda k: (1 << k) - 1
+    # 0 leads 2, 1 leads 3; 2 and 3 are near each other but not to the other's lead
+    sh, n = [0, ones(30), ones(10), ones(20)], [100] * 4
+    rng = np.random.default_rng(4)
+    far = rng.integers(0, 1 << 62, 60)
+    sh, n = np.array(sh + [int(v) for v in far] + [int(far[0]) ^ ones(k % 13) for k in range(40)]), np.array(n + [100] * 100)
+    h = np.arange(len(sh)) + 1000
+    key = np.zeros(len(sh), dtype=np.int64)
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in (key, h, n, sh, h)], ["key", "h", "n", "sh", "g"])
+    met, owned = set(), {}
+    for out in lines._bucket_pairs(0.9)([batch]):
+        for a, b, first in zip(*(c.to_pylist() for c in out.columns)):
+            met.add((min(a, b), max(a, b)))
+            if first:
+                owned.setdefault(b, set()).add(a)
+    assert (1002, 1003) in met
+    for i, j in combinations(range(len(sh)), 2):
+        if int(sh[i] ^ sh[j]).bit_count() <= lines.MOST:
+            a, b = 1000 + i, 1000 + j
+            assert (a, b) in met or owned[a] & owned[b]
+
+
 # ---- 10 ----
 
 def test_neighbours_are_found_ranked_and_exact(spark, rng):
