@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -15,11 +16,16 @@ from gaugeline.operators.limiter import admit
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: waiting events that are gathered before they go to the state
+GATHER = 500_000
+
+
 class WindowLimit(StatefulProcessor):
     """Keeps events until the watermark has passed them, since earlier ones may still come and take their place.
 
-    State of a key: waiting times with their numbers, and the at most ``limit`` newest admitted times. A timer at the earliest
-    waiting time wakes the key when the watermark gets there, also if no event of it comes any more.
+    State of a key: waiting times with their numbers, one entry per stretch of ``width``, and the at most ``limit`` newest
+    admitted times. A call touches each stretch once and holds one at a time. A timer at the earliest waiting time wakes the
+    key when the watermark gets there, also if no event of it comes any more.
     """
 
     def __init__(self, width: int, limit: int):
@@ -27,40 +33,72 @@ class WindowLimit(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "us bigint", "n bigint")
+        self.waiting = handle.getMapState("waiting", "stretch bigint", "us binary, n binary")
         self.held = handle.getListState("held", "us bigint, n bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new: dict[int, int] = {}
+        stretches = {k[0] for k in self.waiting.keys()}
+        new, gathered = [], 0
         for frame in rows:
-            for us, n in frame["us"].value_counts().items():
-                new[int(us)] = new.get(int(us), 0) + int(n)
-        for us, n in new.items():
-            before = self.waiting.getValue((us,)) if self.waiting.containsKey((us,)) else (0,)
-            self.waiting.updateValue((us,), (before[0] + n,))
-        yield from self.settle(key, timerValues.getCurrentWatermarkInMs())
+            new.append(frame["us"].to_numpy(dtype="int64"))
+            gathered += len(frame)
+            if gathered >= GATHER:
+                self.keep(np.concatenate(new), stretches)
+                new, gathered = [], 0
+        if gathered:
+            self.keep(np.concatenate(new), stretches)
+        yield from self.settle(key, timerValues.getCurrentWatermarkInMs(), stretches)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self.settle(key, timerValues.getCurrentWatermarkInMs())
-
-    def settle(self, key, watermark_ms: int) -> Iterator[pd.DataFrame]:
+        yield from self.settle(key, timerValues.getCurrentWatermarkInMs(), {k[0] for k in self.waiting.keys()})
+
+    def keep(self, us: np.ndarray, stretches: set[int]) -> None:
+        """Add events to the waiting ones; ``stretches`` are those of the state and grow with it."""
+        at, n = np.unique(us, return_counts=True)
+        of = at // self.width
+        for start, end in pairwise([*np.flatnonzero(np.diff(of, prepend=of[0] - 1)).tolist(), len(of)]):
+            stretch = int(of[start])
+            times, numbers = at[start:end], n[start:end].astype(np.int64)
+            if stretch in stretches:
+                before, counted = self.read(stretch)
+                times, where = np.unique(np.concatenate([before, times]), return_inverse=True)
+                sums = np.zeros(len(times), dtype=np.int64)
+                np.add.at(sums, where, np.concatenate([counted, numbers]))
+                numbers = sums
+            self.write(stretch, times, numbers)
+            stretches.add(stretch)
+
+    def read(self, stretch: int) -> tuple[np.ndarray, np.ndarray]:
+        us, n = self.waiting.getValue((stretch,))
+        return np.frombuffer(bytes(us), dtype=np.int64), np.frombuffer(bytes(n), dtype=np.int64)
+
+    def write(self, stretch: int, us: np.ndarray, n: np.ndarray) -> None:
+        self.waiting.updateValue((stretch,), (us.tobytes(), n.tobytes()))
+
+    def settle(self, key, watermark_ms: int, stretches: set[int]) -> Iterator[pd.DataFrame]:
         """Decide on all waiting events that the watermark has passed; wake up again for the next."""
-        waiting = sorted((k[0], v[0]) for k, v in self.waiting.iterator())
-        # the watermark drops what is strictly before it, so its own millisecond may still grow
-        ready = [(us, n) for us, n in waiting if us < watermark_ms * 1000]
         for expiry in list(self.handle.listTimers()):
             self.handle.deleteTimer(expiry[0] if isinstance(expiry, tuple) else expiry)
-        if len(ready) < len(waiting):
-            self.handle.registerTimer(waiting[len(ready)][0] // 1000 + 1)
-        if not ready:
-            return
-        held = deque(tuple(h) for h in self.held.get())
-        at, n = np.array([r[0] for r in ready], dtype=np.int64), np.array([r[1] for r in ready], dtype=np.int64)
-        admitted = admit(held, at, n, self.width, self.limit)
-        self.held.put([(int(t), int(k)) for t, k in held]) if held else self.held.clear()
-        for us, _ in ready:
-            self.waiting.removeKey((us,))
-        yield pd.DataFrame({"key": key[0], "at_us": at, "events": n, "admitted": admitted})
+        # the watermark drops what is strictly before it, so its own millisecond may still grow
+        passed = watermark_ms * 1000
+        held, decided = None, False
+        for stretch in sorted(stretches):
+            at, n = self.read(stretch)
+            ready = int(np.searchsorted(at, passed))
+            if ready:
+                if held is None:
+                    held = deque(tuple(h) for h in self.held.get())
+                admitted = admit(held, at[:ready], n[:ready], self.width, self.limit)
+                decided = True
+                yield pd.DataFrame({"key": key[0], "at_us": at[:ready], "events": n[:ready], "admitted": admitted})
+            if ready < len(at):
+                self.handle.registerTimer(int(at[ready]) // 1000 + 1)
+                if ready:
+                    self.write(stretch, at[ready:], n[ready:])
+                break
+            self.waiting.removeKey((stretch,))
+        if decided:
+            self.held.put([(int(t), int(k)) for t, k in held]) if held else self.held.clear()
 
     def close(self) -> None:
         pass

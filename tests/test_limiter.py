@@ -3,6 +3,7 @@
 import random
 from collections import defaultdict, deque
 
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -73,3 +74,65 @@ def test_stream_equals_batch_over_a_restart(spark, tmp_path):
     second = run("*.parquet")
     assert first < second
     assert {r for r in second if r[0] != "beat"} == plain(rows, 60_000_000, 3)
+
+
+class _Calls:
+    """The state of one key, and how often it was asked."""
+
+    def __init__(self):
+        self.entries, self.list, self.timers, self.n = {}, [], [], 0
+
+    def getMapState(self, *_):
+        return self
+
+    def getListState(self, *_):
+        return type("L", (), {"get": lambda _: list(self.list), "put": lambda _, v: setattr(self, "list", v), "clear": lambda _: setattr(self, "list", [])})()
+
+    def keys(self):
+        return list(self.entries)
+
+    def iterator(self):
+        return list(self.entries.items())
+
+    def containsKey(self, k):
+        self.n += 1
+        return k in self.entries
+
+    def getValue(self, k):
+        self.n += 1
+        return self.entries[k]
+
+    def updateValue(self, k, v):
+        self.n += 1
+        self.entries[k] = v
+
+    def removeKey(self, k):
+        self.n += 1
+        del self.entries[k]
+
+    def listTimers(self):
+        return [(t,) for t in self.timers]
+
+    def deleteTimer(self, t):
+        self.timers.remove(t)
+
+    def registerTimer(self, t):
+        self.timers.append(t)
+
+
+def test_stream_asks_its_state_once_a_stretch_and_not_once_an_event():
+    from gaugeline.streaming import limiter as streaming
+    rng, state = np.random.default_rng(2), _Calls()
+    window = streaming.WindowLimit(60_000_000, 3)
+    window.init(state)
+    us = rng.integers(-300_000_000, 3_000_000_000, 20_000) // 1000 * 1000
+    mark = lambda ms: type("T", (), {"getCurrentWatermarkInMs": lambda _: ms})()
+    out = []
+    for part, ms in zip(np.split(us, 4), (-10**9, -10**9, -10**9, 1_000_000)):
+        out += window.handleInputRows(("a",), iter([pd.DataFrame({"us": p}) for p in np.split(part, 5)]), mark(ms))
+    assert len(state.timers) == 1 and state.n < 2_000
+    out += window.handleExpiredTimer(("a",), mark(4_000_000), None)
+    got = pd.concat(out)
+    at, n = np.unique(us, return_counts=True)
+    assert np.array_equal(got["at_us"], at) and np.array_equal(got["events"], n) and not state.entries and not state.timers
+    assert np.array_equal(got["admitted"], limiter.admit(deque(), at, n, 60_000_000, 3))
