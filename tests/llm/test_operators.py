@@ -203,6 +203,15 @@ def test_fingerprints_estimate_generalised_jaccard(docs, corpus):
     assert got[3, len(corpus[3][1])].fingerprint == got[131, len(corpus[3][1])].fingerprint
 
 
+@pytest.mark.parametrize("depth", [0.5, 4.0])
+def test_terms_left_out_never_are_the_sample(docs, monkeypatch, depth):
+    """Scoring all terms, and few of them with a second pass for the texts that lack samples, gives the same rows."""
+    monkeypatch.setattr(fingerprint, "DEPTH", fingerprint.ALL)
+    want = sorted(map(str, fingerprint.fingerprints(docs).collect()))
+    monkeypatch.setattr(fingerprint, "DEPTH", depth)
+    assert sorted(map(str, fingerprint.fingerprints(docs).collect())) == want
+
+
 # ---- 5 ----
 
 def _sets(corpus):
