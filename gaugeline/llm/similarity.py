@@ -7,7 +7,8 @@
 4. Each set is first compared with one centre, the set it shares most tiles with. That joins nearly all groups.
 5. What is left are tiles whose sets are in different groups. A set only meets sets of at least three quarters of its size:
    large tiles are cut into size bands, and bands into blocks. The bit counts of hashed bitmaps bound each overlap from
-   above, and only pairs that can still link go on to the exact intersection of sorted arrays.
+   above, and only pairs that can still link go on to the exact intersection of sorted arrays. A first pass names each set's
+   likeliest mate only; the second all that are still in other groups, each pair in the first large tile that both share.
 
 Defined results: null, empty and blank texts have no shingles and link with nothing; a text of fewer than five words is one
 shingle. Rows with a null id take part; they show the smallest id they reach, null if none. An empty table gives no rows.
@@ -51,12 +52,16 @@ def _facts(bits: int):
 
 def _levels(chunks: DataFrame, bits: int) -> np.ndarray:
     """For each hash bucket: 0 for a usual count, else a level that grows with the logarithm of the count."""
-    counts = np.zeros((1 << bits) // CHUNK * CHUNK, dtype=np.int64).reshape(-1, CHUNK)
+    counts, total = np.zeros((1 << bits) // CHUNK * CHUNK, dtype=np.uint32).reshape(-1, CHUNK), 0
     for r in tree_sum(chunks, "<i4", deflated=True).toLocalIterator():
-        counts[r.chunk] = np.frombuffer(r["values"], dtype="<i8")
-    counts = counts.ravel()
-    usual = max(16.0, 4 * counts.mean())
-    return np.where(counts > usual, np.minimum(120, 1 + np.floor(4 * np.log2(np.maximum(counts, 1) / usual))), 0).astype(np.int8)
+        values = np.frombuffer(r["values"], dtype="<i8")
+        total += int(values.sum())
+        counts[r.chunk] = np.minimum(values, (1 << 32) - 1)
+    usual = max(16.0, 4 * total / counts.size)
+    levels = np.zeros(counts.shape, dtype=np.int8)
+    for level, c in zip(levels, counts):  # chunk by chunk: the driver never holds all counts as doubles
+        level[:] = np.where(c > usual, np.minimum(120, 1 + np.floor(4 * np.log2(np.maximum(c, 1) / usual))), 0)
+    return levels.ravel()
 
 
 def _prefixes(levels: np.ndarray, bits: int):
@@ -183,29 +188,44 @@ def _may_link(n: pd.Series, bits: pd.Series, m: pd.Series, others: pd.Series) ->
     return pd.Series(out, dtype=bool)
 
 
-def _band_pairs(frame: pd.DataFrame) -> pd.DataFrame:
+def _band_pairs(every: bool):
     """Pairs of a band of a tile or family that may link: sizes fit, groups differ, and the bitmaps allow the overlap.
 
-    Two sets of one family meet there and in no tile.
+    Two sets of one family meet there and in no tile. Of each set (side 1) only the likeliest pair, or ``every`` one, but
+    each only in the first of the tiles (``tokens``) that both sets have.
     """
-    frame = frame.sort_values(["n", "sig"], kind="stable").reset_index(drop=True)
-    n, group, sig = frame["n"].to_numpy(np.int64), frame["component"].to_numpy(), frame["sig"].to_numpy()
-    family = frame["family"].to_numpy() if frame["token"].notna().all() else None
-    left = frame.index[frame["side"] == 0].to_numpy()
-    raw = [np.frombuffer(b, dtype=np.uint8) for b in frame["bits"]]
-    width = min(len(b) for b in raw)
-    maps = np.stack([fold(b, width) for b in raw])
-    out = []
-    for i in frame.index[frame["side"] == 1]:
-        j = left[(4 * n[left] >= 3 * n[i]) & ((n[left] < n[i]) | ((n[left] == n[i]) & (sig[left] < sig[i]))) & (group[left] != group[i])]
-        if family is not None:
-            j = j[family[j] != family[i]]
-        if len(j):
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["n", "sig"], kind="stable").reset_index(drop=True)
+        n, group, sig = frame["n"].to_numpy(np.int64), frame["component"].to_numpy(), frame["sig"].to_numpy()
+        token = frame["token"].iloc[0] if frame["token"].notna().all() else None
+        family = frame["family"].to_numpy() if token is not None else None
+        tiles_of = [frozenset(t) for t in frame["tokens"]] if every and token is not None else None
+        left = frame.index[frame["side"] == 0].to_numpy()
+        raw = [np.frombuffer(b, dtype=np.uint8) for b in frame["bits"]]
+        width = min(len(b) for b in raw)
+        maps = np.stack([fold(b, width) for b in raw])
+        out = []
+        for i in frame.index[frame["side"] == 1]:
+            j = left[(4 * n[left] >= 3 * n[i]) & ((n[left] < n[i]) | ((n[left] == n[i]) & (sig[left] < sig[i]))) & (group[left] != group[i])]
+            if family is not None:
+                j = j[family[j] != family[i]]
+            if not len(j):
+                continue
             apart = _ONES[maps[j] ^ maps[i]].sum(axis=1, dtype=np.int64)
             most = (n[j] + n[i] - apart) // 2  # every differing bit is a member of only one set
             may = 100 * most >= 75 * (n[j] + n[i] - most)
-            out.append(pd.DataFrame({"sig": sig[i], "n": n[i], "csig": sig[j[may]], "cn": n[j[may]], "likely": most[may] / (n[j[may]] + n[i] - most[may])}))
-    return pd.concat(out) if out else pd.DataFrame({"sig": [], "n": [], "csig": [], "cn": [], "likely": []}).astype({"sig": "int64", "n": "int64", "csig": "int64", "cn": "int64", "likely": "float64"})
+            j, most = j[may], most[may]
+            likely = most / (n[j] + n[i] - most)
+            if tiles_of is not None:
+                first = [min(tiles_of[i] & tiles_of[x]) == token for x in j]
+                j, likely = j[first], likely[first]
+            elif not every and len(j):
+                best = [int(np.argmax(likely))]
+                j, likely = j[best], likely[best]
+            if len(j):
+                out.append(pd.DataFrame({"sig": sig[i], "n": n[i], "csig": sig[j], "cn": n[j], "likely": likely}))
+        return pd.concat(out) if out else pd.DataFrame({"sig": [], "n": [], "csig": [], "cn": [], "likely": []}).astype({"sig": "int64", "n": "int64", "csig": "int64", "cn": "int64", "likely": "float64"})
+    return run
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -269,28 +289,40 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     large = placed.filter(F.col("sets") > SMALL).select("token", "family", "sig", "n", "component", band.alias("band")).union(
         groups.join(apart, "family").select(F.lit(None).cast("long").alias("token"), "family", "sig", "n", "component", band.alias("band")))
     large = scratch.keep(large.withColumn("place", F.coalesce("token", "family")).withColumn("kind", F.col("token").isNull()))
-    rows = large.select("*", F.lit(1).alias("side")).union(large.select("*", F.lit(0).alias("side"))).union(
-        large.withColumn("band", F.col("band") + 1).select("*", F.lit(0).alias("side")))
-    blocks = large.groupBy("kind", "place", "band").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
-    rows = rows.join(blocks, ["kind", "place", "band"]).withColumn("block", F.explode(F.when(F.col("side") == 1, F.array(F.pmod("sig", F.col("blocks"))))
-                                                                                     .otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))))
-    kind = "sig long, n int, csig long, cn int, likely double"
-    banded = rows.join(bits_of, ["sig", "n"]).groupBy("kind", "place", "band", "block").applyInPandas(_band_pairs, kind)
-    pairs = scratch.keep(few.withColumn("likely", F.lit(0.0)).union(banded).groupBy("sig", "n", "csig", "cn").agg(F.max("likely").alias("likely")))
+    def banded(now: DataFrame, every: bool) -> DataFrame:
+        """Pairs (sig, n, csig, cn, likely) of the large tiles and families that are in several groups of ``now``."""
+        at = large.drop("component").join(now.select("sig", "n", "component"), ["sig", "n"])
+        several = at.groupBy("kind", "place").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("kind", "place")
+        at = scratch.keep(at.join(several, ["kind", "place"]))
+        rows = at.select("*", F.lit(1).alias("side")).union(at.select("*", F.lit(0).alias("side"))).union(
+            at.withColumn("band", F.col("band") + 1).select("*", F.lit(0).alias("side")))
+        blocks = at.groupBy("kind", "place", "band").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
+        rows = rows.join(blocks, ["kind", "place", "band"]).withColumn("block", F.explode(F.when(F.col("side") == 1, F.array(F.pmod("sig", F.col("blocks"))))
+                                                                                         .otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))))
+        known = bits_of
+        if every:
+            known = at.groupBy("sig", "n").agg(F.collect_set("token").alias("tokens")).join(bits_of, ["sig", "n"])
+        return scratch.keep(rows.join(known, ["sig", "n"]).groupBy("kind", "place", "band", "block").applyInPandas(
+            _band_pairs(every), "sig long, n int, csig long, cn int, likely double"))
 
     def in_groups(found: DataFrame, of: DataFrame) -> DataFrame:
         """Adds ca and cb, the groups of both sets."""
         return (found.join(of.select("sig", "n", F.col("component").alias("ca")), ["sig", "n"])
                 .join(of.select(F.col("sig").alias("csig"), F.col("n").alias("cn"), F.col("component").alias("cb")), ["csig", "cn"]))
 
-    # the likeliest pair of each set first; it joins most of what belongs together, and only pairs still apart follow
-    likeliest = pairs.groupBy("sig", "n").agg(F.max(F.struct("likely", "csig", "cn")).alias("best")).select("sig", "n", "best.csig", "best.cn")
-    for candidates in (likeliest, pairs):
-        waiting = in_groups(candidates.select("sig", "n", "csig", "cn"), groups).filter("ca <> cb").select("sig", "n", "csig", "cn")
-        linked = in_groups(verified(waiting), groups).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    def merged(found: DataFrame, now: DataFrame) -> DataFrame:
+        """``now`` with the groups that linked pairs of ``found`` join."""
+        waiting = in_groups(found.select("sig", "n", "csig", "cn"), now).filter("ca <> cb").select("sig", "n", "csig", "cn").distinct()
+        linked = in_groups(verified(waiting), now).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
         top = connected(scratch.keep(linked))
-        groups = scratch.keep(groups.join(top.select(F.col("id").alias("component"), F.col("component").alias("top")), "component", "left").select(
+        return scratch.keep(now.join(top.select(F.col("id").alias("component"), F.col("component").alias("top")), "component", "left").select(
             "sig", "n", "id", F.coalesce("top", "component").alias("component")))
+
+    # the likeliest pair of each set first; it joins most of what belongs together, and only pairs still apart follow
+    few = scratch.keep(few.withColumn("likely", F.lit(0.0)))
+    likeliest = few.union(banded(groups, False)).groupBy("sig", "n").agg(F.max(F.struct("likely", "csig", "cn")).alias("best")).select("sig", "n", "best.csig", "best.cn")
+    groups = merged(likeliest, groups)
+    groups = merged(few.union(banded(groups, True)), groups)
     final = groups.select("sig", "n", "component")
     # a class shows its group's smallest id, or its own
     shown = (classes.join(final, ["sig", "n"], "left").select("sig", "n", F.coalesce("component", "doc_id").alias("c"))

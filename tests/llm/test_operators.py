@@ -239,6 +239,19 @@ def test_near_duplicates_equal_brute_force(docs, corpus, monkeypatch, small):
     assert got == want and len(set(of)) < len(of) - 20
 
 
+def test_pairs_of_a_family_do_not_grow_with_its_square(rng):
+    """Near copies that meet in two tiles: one pair a set first; later each pair once, not once a tile."""
+    base = np.unique(np.array([rng.randrange(10**9) for _ in range(200)], dtype=np.int64))
+    sets = [np.unique(np.append(base, np.arange(k, dtype=np.int64) + 10**10 * (k + 1))) for k in range(60)]
+    rows = [(1, token, len(s), shingles.signature(s), k, k, shingles.bitmap(s), [7, 9], side)
+            for token in (7, 9) for k, s in enumerate(sets) for side in (0, 1)]
+    frame = pd.DataFrame(rows, columns=["kind", "token", "n", "sig", "component", "family", "bits", "tokens", "side"])
+    first, every = ([run(frame[frame.token == t].copy()) for t in (7, 9)] for run in (similarity._band_pairs(False), similarity._band_pairs(True)))
+    assert all(0 < len(f) < 60 for f in first)
+    assert len(every[0]) > 1000 and not len(every[1])
+    assert set(zip(first[0].sig, first[0].csig)) <= set(zip(every[0].sig, every[0].csig))
+
+
 def test_bit_counts_bound_the_overlap(rng):
     for _ in range(200):
         a, b = (np.unique(np.array([rng.randrange(10**6) for _ in range(rng.randint(1, 300))], dtype=np.int64)) for _ in (0, 1))
