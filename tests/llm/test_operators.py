@@ -498,6 +498,31 @@ def test_large_families_of_lines_keep_one(spark):
     assert 395 <= got <= 399
 
 
+def test_counts_of_characters_bound_the_edit_distance(rng):
+    draw = lambda n: "".join(rng.choice("abcdefghijklmnop é漢") for _ in range(n))
+    pairs = []
+    for _ in range(150):
+        a = draw(rng.randint(1, 60))
+        b = list(a)
+        for _ in range(rng.randint(0, 6)):
+            p = rng.randrange(len(b) + 1)
+            b[p: p + rng.randint(0, 1)] = rng.choice(["", "x", "é"])
+        pairs += [(a, "".join(b) or "x"), (a, draw(rng.randint(1, 60)))]
+    pairs += [("a" * 40, "a" * 23), ("a" * 16, "b" * 16)]
+    least = lines._edits(lines.bags([a for a, _ in pairs]), lines.bags([b for _, b in pairs]))
+    assert all(k <= 2 * _distance(a, b) for k, (a, b) in zip(least.tolist(), pairs)) and least.max() > 30
+
+
+def test_pairs_that_counts_of_characters_rule_out_are_not_listed():
+    """Two SimHashes of a block that differ in few bits, of lines with other characters: no text has to be fetched for them."""
+    import pyarrow as pa
+    same, other = lines.bags(["abcdefghij " * 5] * 2), lines.bags(["abcdefghij " * 5, "klmnopqrst " * 5])
+    key, h, n, sh = np.zeros(2, dtype=np.int64), np.array([1, 2]), np.array([55, 55], dtype=np.int32), np.array([0, 1])
+    for bag, found in ((same, 1), (other, 0)):
+        batch = pa.RecordBatch.from_arrays([pa.array(c) for c in (key, h, n, sh, bag)], ["key", "h", "n", "sh", "bag"])
+        assert sum(len(b) for b in lines._bucket_pairs(0.9)([batch])) == found
+
+
 def test_followers_of_different_rows_of_a_large_bucket_meet():
     import pyarrow as pa
     from itertools import combinations
