@@ -498,6 +498,29 @@ def test_large_families_of_lines_keep_one(spark):
     assert 395 <= got <= 399
 
 
+def test_only_pairs_of_a_family_that_are_still_apart_are_compared(spark, monkeypatch):
+    """Lines of one family: less than half of the pairs that share a block are compared."""
+    tried, plain = spark.sparkContext.accumulator(0), lines._unsettled
+
+    def counted(similarity):
+        def seen(batches):
+            for batch in batches:
+                tried.add(len(batch))
+                yield batch
+        return lambda batches: plain(similarity)(seen(batches))
+
+    monkeypatch.setattr(lines, "_unsettled", counted)
+    rng = random.Random(8)
+    words = ["".join(rng.choice("etaoinshrdlucm") for _ in range(rng.randint(2, 9))) for _ in range(80)]
+    rows = []
+    for i in range(300):
+        own = list(words)
+        own[rng.randrange(80)] = "x" * rng.randint(1, 9)
+        rows.append((i, " ".join(own), "a"))
+    assert lines.without_lines(table(spark, rows)).agg(F.sum("n_removed")).first()[0] == 299
+    assert 150 <= tried.value <= 5000  # 8,912 when every pair was compared
+
+
 def test_counts_of_characters_bound_the_edit_distance(rng):
     draw = lambda n: "".join(rng.choice("abcdefghijklmnop é漢") for _ in range(n))
     pairs = []
